@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from docflow.plans import script  # noqa: F401
+from docflow.plans import lists, pages, script  # noqa: F401
 from docflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
