@@ -10,9 +10,9 @@ from docflow.sources import tables as t
 
 SIZE_LABEL = (
     "CASE WHEN {0} < 1024 THEN {0}::VARCHAR || ' B'"
-    " WHEN {0} < 1048576 THEN printf('%.1f KB', {0} / 1024.0)"
-    " WHEN {0} < 1073741824 THEN printf('%.1f MB', {0} / 1048576.0)"
-    " ELSE printf('%.1f GB', {0} / 1073741824.0) END"
+    " WHEN {0} < 1048576 THEN printf('%.1f KB', round({0} / 1024.0::DOUBLE, 1))"
+    " WHEN {0} < 1073741824 THEN printf('%.1f MB', round({0} / 1048576.0::DOUBLE, 1))"
+    " ELSE printf('%.1f GB', round({0} / 1073741824.0::DOUBLE, 1)) END"
 )
 FILE_PATHS = {
     "file_no": "page_id",
