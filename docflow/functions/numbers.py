@@ -247,7 +247,7 @@ def group_whole(digits: Column, base: int) -> Column:
 
 def group_part(digits: Column, base: int) -> Column:
     size = GROUP_SIZE.get(base)
-    return F.regexp_replace(digits, rf"(?<=[^.])(?<=^\.(?:.{{{size}}}){{1,16}})(?=.)", " ") if size else digits
+    return F.regexp_replace(digits, rf"(.{{{size}}})(?=.)", "$1 ") if size else digits
 
 
 def cell_number(text: Column) -> Column:

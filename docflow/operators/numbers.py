@@ -24,15 +24,16 @@ def base_fanout(numbers: DataFrame, keys: Sequence[str], text: str, base: int, f
         N.by_base(to, lambda b: N.part_text(c("part"), base, b, limit)).alias("f"),
     )
     minus = F.when(c("negative") & ((c("w") != "0") | c("f.digits").rlike("[^0:]")), "-").otherwise("")
-    fraction = F.when(c("f.digits").rlike("[^0:]") | ~c("f.exact"), F.concat(F.lit("."), c("f.digits"))).otherwise("")
+    has_part = c("f.digits").rlike("[^0:]") | ~c("f.exact")
+    behind = lambda digits: F.when(has_part, F.concat(F.lit("."), digits)).otherwise("")
     return written.select(
         *keys, "base",
-        F.concat(minus, c("w"), fraction).alias("value"),
+        F.concat(minus, c("w"), behind(c("f.digits"))).alias("value"),
         c("f.exact").alias("is_exact"),
         F.concat(
             minus,
             N.by_base(to, lambda b: N.group_whole(c("w"), b)),
-            N.by_base(to, lambda b: N.group_part(fraction, b)),
+            behind(N.by_base(to, lambda b: N.group_part(c("f.digits"), b))),
         ).alias("display"),
     )
 
