@@ -8,6 +8,7 @@ from docflow.operators import layout as L
 from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
 from docflow.plans.values import LINES_SQL, doc_lines
+from docflow.sources.placing import settle, spread
 
 # ---- words of the documents -----------------------------------------------------------
 
@@ -41,18 +42,19 @@ m AS (SELECT l.doc_id, l.page_no, any_value(body_size) AS body_size, min(lft) AS
 
 
 def raw_words(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("e\n"), F.lit("e-\n")).alias("text"))
-    return L.words_from_text(docs, "doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    hyphened = docs.withColumn("text", F.replace("text", F.lit("e\n"), F.lit("e-\n")))
+    return L.words_from_text(hyphened, "doc_id", "text")
 
 
 def words(spark, sf):
     shift = F.when(F.col("line_no") % 5 == 3, 20.0).otherwise(0.0)
     off = (F.col("word_no") % 3) * 0.5
-    return raw_words(spark, sf).select(
+    return settle(raw_words(spark, sf).select(
         "doc_id", "page_no", "word_no", "text", (F.col("left") + shift).alias("left"), (F.col("right") + shift).alias("right"),
         (F.col("top") + off).alias("top"), (F.col("bottom") + off).alias("bottom"), "baseline", "font_size", "n_letters",
         F.when(F.col("line_no") % 7 == 3, F.col("n_letters")).otherwise(0).alias("n_bold"),
-    )
+    ))
 
 
 def lines(spark, sf):
@@ -61,7 +63,7 @@ def lines(spark, sf):
 
 @query("words_from_text", f"WITH {RAW_WORDS_SQL.format(docs='SELECT * FROM documents')} SELECT * RENAME (lft AS \"left\", rgt AS \"right\") FROM w0")
 def words_from_text(spark, sf):
-    return L.words_from_text(table(spark, sf, "documents"), "doc_id", "text")
+    return L.words_from_text(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 @query("build_lines", f"WITH {WORDS_SQL} SELECT doc_id, page_no, line_no, word_no, text, lft AS \"left\" FROM w")
@@ -79,7 +81,7 @@ def line_stats(spark, sf):
 
 @query("page_metrics", f"WITH {METRICS_SQL} SELECT * FROM m")
 def page_metrics(spark, sf):
-    return L.page_metrics(lines(spark, sf))
+    return L.page_metrics(settle(lines(spark, sf)))
 
 
 KIND_SQL = METRICS_SQL + """,
@@ -90,7 +92,7 @@ k AS (SELECT l.*, m.min_left, m.max_right, CASE WHEN regexp_matches(text, '^\\s*
 
 
 def classified(spark, sf):
-    built = lines(spark, sf)
+    built = settle(lines(spark, sf))
     return L.classify_lines(built, L.page_metrics(built))
 
 
@@ -188,15 +190,16 @@ def table_words(spark, sf):
         F.struct(F.lit("x").alias("text"), (at + 24 + 6.0 * F.length("v")).alias("left")),
     )
     bottom = 800 - 14.0 * (F.col("row") - 1)
-    return cells.select("doc_id", "row", "c", F.posexplode(parts).alias("p", "w")).select(
+    placed = cells.select("doc_id", "row", "c", F.posexplode(parts).alias("p", "w")).select(
         "doc_id", F.lit(1).alias("page_no"), (F.col("c") * 3 + F.col("p")).alias("word_no"), "w.text", "w.left",
         (F.col("w.left") + 6.0 * F.length("w.text")).alias("right"), (bottom + 10).alias("top"), bottom.alias("bottom"),
         bottom.alias("baseline"), F.lit(11.0).alias("font_size"), F.length("w.text").alias("n_letters"), F.lit(0).alias("n_bold"),
     )
+    return settle(placed)
 
 
 def gapped(spark, sf):
-    built = L.line_stats(L.build_lines(table_words(spark, sf)))
+    built = settle(L.line_stats(L.build_lines(table_words(spark, sf))))
     return L.column_gaps(built, L.page_metrics(built))
 
 
@@ -245,7 +248,7 @@ WITH RECURSIVE {EDGES_SQL}
 SELECT doc_id, 1 AS page_no, table_no, unnest(range(1, len(e)))::INTEGER AS col_no, round_even(unnest(e[1:len(e)-1]), 6) AS edge_lo, round_even(unnest(e[2:]), 6) AS edge_hi,
   round_even(unnest(list_transform(wide, lambda v: v / list_sum(wide))), 6) AS width FROM fl""")
 def column_edges(spark, sf):
-    edges = L.column_edges(tabled(spark, sf))
+    edges = L.column_edges(settle(tabled(spark, sf)))
     pairs = F.arrays_zip(F.slice("edges", F.lit(1), F.size("edges") - 1).alias("lo"), F.slice("edges", F.lit(2), F.size("edges")).alias("hi"), F.col("widths").alias("w"))
     return edges.select("doc_id", "page_no", "table_no", F.posexplode(pairs).alias("i", "z")).select(
         "doc_id", "page_no", "table_no", (F.col("i") + 1).alias("col_no"), F.bround("z.lo", 6).alias("edge_lo"),
@@ -258,7 +261,7 @@ ce AS (SELECT doc_id, 1 AS page_no, table_no, row_no, (c + 1)::INTEGER AS col_no
 
 
 def cells(spark, sf):
-    found = tabled(spark, sf)
+    found = settle(tabled(spark, sf))
     return L.words_to_columns(found, L.column_edges(found))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docflow.functions import script as S
 from docflow.operators import script as ops
 from docflow.plans.registry import query, table
+from docflow.sources.placing import spread
 
 APOS = S.APOSTROPHES.replace("'", "''")
 WORDISH = rf"[\p{{L}}\p{{Nd}}{APOS}]"
@@ -109,7 +110,7 @@ WITH c AS (SELECT lang, source, sum(n_cyr)::BIGINT AS n_cyr, sum(n_lat)::BIGINT
            FROM (SELECT lang, source, {COUNTS_SQL} FROM documents) GROUP BY ALL)
 SELECT lang, source, n_cyr, n_lat, {DIRECTION_SQL} AS direction FROM c""")
 def script_census(spark, sf):
-    return ops.script_census(table(spark, sf, "documents"), "text", ["lang", "source"])
+    return ops.script_census(spread(table(spark, sf, "documents")), "text", ["lang", "source"])
 
 
 @query("transliterate_corpus", f"""
@@ -118,13 +119,13 @@ SELECT doc_id, coalesce({DIRECTION_SQL}, 'cyr_to_lat') AS direction,
        CASE WHEN n_cyr > n_lat OR n_lat = 0 THEN {cyr_sql("text")} ELSE {lat_sql("text")} END AS text,
        length(text)::INTEGER AS n_chars FROM c""")
 def transliterate_corpus(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     return ops.transliterate_corpus(docs, "text")
 
 
 @query("lat_to_cyr", f"SELECT conv_id, turn, {lat_sql('text')} AS text FROM conversations")
 def lat_to_cyr(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = spread(table(spark, sf, "conversations"))
     return turns.select("conv_id", "turn", S.latin_to_cyrillic(F.col("text")).alias("text"))
 
 
@@ -132,7 +133,7 @@ def lat_to_cyr(spark, sf):
 WITH c AS (SELECT doc_id, {lat_sql("text")} AS text FROM documents)
 SELECT doc_id, {cyr_sql("text")} AS text FROM c""")
 def cyr_to_lat(spark, sf):
-    docs = ops.cyrillic_documents(table(spark, sf, "documents"))
+    docs = ops.cyrillic_documents(spread(table(spark, sf, "documents")))
     return docs.select("doc_id", S.cyrillic_to_latin(F.col("text")).alias("text"))
 
 
@@ -142,4 +143,4 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE text = {cyr_sql("cyr")})
        round_even(avg(CASE WHEN text = {cyr_sql("cyr")} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share
 FROM c GROUP BY lang""")
 def roundtrip_quality(spark, sf):
-    return ops.roundtrip_quality(table(spark, sf, "documents"), ["lang"])
+    return ops.roundtrip_quality(spread(table(spark, sf, "documents")), ["lang"])

@@ -9,6 +9,7 @@ from docflow.operators import numbers as ops
 from docflow.operators import texts
 from docflow.plans.registry import query, table
 from docflow.sources import tables as t
+from docflow.sources.placing import spread
 
 WS = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -25,7 +26,7 @@ q AS (SELECT id, neg, string_split(body, '.')[1]::BIGINT AS i, coalesce(string_s
 
 
 def _numbers(spark, sf):
-    return t.derived(spark, sf, NUMBERS, "orders")
+    return spread(t.derived(spark, sf, NUMBERS, "orders"))
 
 
 @query("base_fanout", f"""
@@ -66,7 +67,7 @@ r AS (SELECT base, CASE WHEN x IS NULL OR x = '' THEN 'blank' WHEN length(x) > 5
   WHEN NOT regexp_matches(b, '[0-9A-Za-z]') THEN 'no_digits' ELSE 'ok' END AS reason FROM p)
 SELECT base, reason, count(*) AS n FROM r GROUP BY ALL""")
 def number_quality(spark, sf):
-    return ops.number_quality(t.derived(spark, sf, ODD_NUMBERS, "lineitem"), "text", "base")
+    return ops.number_quality(spread(t.derived(spark, sf, ODD_NUMBERS, "lineitem")), "text", "base")
 
 
 @query("positional_value", f"WITH {VALUE_SQL} SELECT id, i AS integer, f // CASE WHEN f % 100 = 0 THEN 100 WHEN f % 10 = 0 THEN 10 ELSE 1 END AS numerator,"
@@ -135,12 +136,12 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE clean <> text) AS n_chan
   round_even(avg(CASE WHEN clean <> text THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share_changed
 FROM c GROUP BY lang""")
 def clean_corpus(spark, sf):
-    return texts.clean_corpus(table(spark, sf, "documents"), "text", ["lang"])
+    return texts.clean_corpus(spread(table(spark, sf, "documents")), "text", ["lang"])
 
 
 def doc_lines(spark, sf):
     """Lines of every document, numbered from 0."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
 LINES_SQL = (
