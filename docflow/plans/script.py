@@ -144,3 +144,69 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE text = {cyr_sql("cyr")})
 FROM c GROUP BY lang""")
 def roundtrip_quality(spark, sf):
     return ops.roundtrip_quality(spread(table(spark, sf, "documents")), ["lang"])
+
+
+# ---- runs and samples -----------------------------------------------------------------
+
+TURNS_SQL = f"""
+p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN {lat_sql("text")} ELSE text END AS text,
+  CASE WHEN turn % 2 = 1 THEN 'cyr_to_lat' ELSE 'lat_to_cyr' END AS direction FROM conversations)"""
+
+
+def _aligned_sql(text: str, char) -> str:
+    """SQL for the list of what each letter of a text becomes."""
+    cells = f"list_transform(range(1, length(tok) + 1), lambda i: {char('tok', 'i')})"
+    return (
+        f"flatten(list_transform(regexp_extract_all({text}, '[^\\s]+|[\\s]+'), lambda tok:"
+        f" CASE WHEN regexp_matches(tok, '^\\s') OR contains(tok, '://') OR (contains(tok, '@') AND contains(tok, '.'))"
+        f" OR starts_with(lower(tok), 'www.') THEN string_split(tok, '') ELSE {cells} END))"
+    )
+
+
+@query("run_transliteration", f"""
+WITH {TURNS_SQL},
+a AS (SELECT conv_id, turn, text, CASE WHEN direction = 'cyr_to_lat' THEN {_aligned_sql("text", _cyr_char)} ELSE {_aligned_sql("text", _lat_char)} END AS cells FROM p)
+SELECT conv_id, turn, k::INTEGER AS run_no, array_to_string(cells[7 * k + 1:7 * k + 7], '') AS text
+FROM (SELECT conv_id, turn, cells, unnest(range(0, (length(text) + 6) // 7)) AS k FROM a)""")
+def run_transliteration(spark, sf):
+    odd = F.col("turn") % 2 == 1
+    turns = spread(table(spark, sf, "conversations")).select(
+        "conv_id", "turn",
+        F.when(odd, S.latin_to_cyrillic(F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.when(odd, S.CYR_TO_LAT).otherwise(S.LAT_TO_CYR).alias("direction"),
+    )
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))
+    runs = turns.select("conv_id", "turn", "direction", F.posexplode(pieces).alias("run_no", "text"))
+    return ops.convert_runs(runs, ["conv_id", "turn"], "run_no", "direction")
+
+
+WORD_SPANS_SQL = """w AS (SELECT doc_id, i, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS start
+  FROM (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)))"""
+
+
+@query("segments_to_runs", """
+WITH s AS (SELECT doc_id, k * 11 AS start, text[k * 11 + 1:k * 11 + 11] AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 10) // 11)) AS k FROM documents))
+SELECT doc_id, start::INTEGER AS start, (start // 97)::INTEGER AS run_id, text FROM s""")
+def segments_to_runs(spark, sf):
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,11}"), F.lit(0))
+    segments = docs.select("doc_id", F.posexplode(pieces).alias("i", "text")).select("doc_id", (F.col("i") * 11).alias("start"), "text")
+    marks = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 97).cast("int"))
+    runs = docs.where("text <> ''").select("doc_id", F.explode(marks).alias("run_id")).select(
+        "doc_id", (F.col("run_id") * 97).alias("start"), "run_id"
+    )
+    return ops.segments_to_runs(segments, runs, ["doc_id"])
+
+
+@query("sample_prefix", """
+WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT doc_id, line_no, i, unnest(range(1, 3)) AS run_no, unnest([text[1:length(text) // 2], text[length(text) // 2 + 1:]]) AS text FROM (SELECT *, line_no AS i FROM l)),
+c AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line_no, run_no) + line_no AS upto FROM t),
+k AS (SELECT *, upto - length(text) AS before, CASE WHEN run_no = 2 AND upto < 4000 THEN text || ' ' ELSE text END AS piece FROM c)
+SELECT doc_id, string_agg(piece, '' ORDER BY line_no, run_no) AS sample FROM k WHERE before < 4000 GROUP BY doc_id""")
+def sample_prefix(spark, sf):
+    lines = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    half = F.floor(F.length("line") / 2).cast("int")
+    both = F.array(F.substring("line", F.lit(1), half), F.substring("line", half + 1, F.length("line")))
+    runs = lines.select("doc_id", "line_no", F.posexplode(both).alias("run_no", "text"))
+    return ops.sample_prefix(runs, "doc_id", ["line_no", "run_no"], "line_no")
