@@ -96,16 +96,21 @@ def convert_runs(runs: DataFrame, keys: Sequence[str], seq: str, direction: str,
         "__all", F.array_join(F.col("__runs.text"), "")
     )
     aligned, finish = S.slice_converter(F.col("__all"), F.col(direction), style)
-    placed = joined.select(
-        *keys, direction, aligned.alias("__cells"), F.posexplode("__runs").alias("__i", "__run"), "__runs"
-    )
-    offset = F.aggregate(
-        F.slice("__runs", 1, F.col("__i")), F.lit(0), lambda acc, r: acc + F.length(r["text"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,n:int,seq:{runs.schema[seq].dataType.simpleString()}>>").alias("out"))
+    spans = F.aggregate(
+        "__runs",
+        begin,
+        lambda acc, r: F.struct(
+            (acc["at"] + F.length(r["text"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.length(r["text"]).alias("n"), r[seq].alias("seq")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
     )
+    # The text is converted before its runs become rows, once per paragraph.
+    converted = joined.select(*keys, direction, aligned.alias("__cells"), spans.alias("__spans"))
+    placed = converted.select(*keys, direction, "__cells", F.explode("__spans").alias("__r"))
     return placed.select(
-        *keys,
-        F.col(f"__run.{seq}").alias(seq),
-        finish(F.col("__cells"), offset, F.length("__run.text")).alias("text"),
+        *keys, F.col("__r.seq").alias(seq), finish(F.col("__cells"), F.col("__r.at"), F.col("__r.n")).alias("text")
     )
 
 

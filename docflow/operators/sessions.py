@@ -14,7 +14,7 @@ DAY = 86400
 
 
 def day_of(ts: str) -> Column:
-    return F.floor(F.unix_seconds(ts) / DAY)
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / DAY)
 
 
 def valid_beacons(beacons: DataFrame) -> DataFrame:
@@ -80,10 +80,9 @@ def session_state(packets: DataFrame) -> DataFrame:
 
 def active_duration(states: DataFrame, keys: Sequence[str], running_state: str = "recording") -> DataFrame:
     """Seconds spent in the running state, from each change to the next."""
-    timed = running(
-        states, keys, ["ts", "seq"], day_of("ts"), leads={"__next": F.unix_micros("ts")}
-    )
-    spent = F.when(F.col("state") == running_state, F.col("__next") - F.unix_micros("ts"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = running(states, keys, ["ts", "seq"], day_of("ts"), leads={"__next": at})
+    spent = F.when(F.col("state") == running_state, F.col("__next") - at)
     return timed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("changes"),
         (F.coalesce(F.sum(spent), F.lit(0)) / 1e6).alias("active_seconds"),

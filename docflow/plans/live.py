@@ -8,7 +8,7 @@ from docflow.functions import wire
 from docflow.operators import sessions as ops
 from docflow.plans.registry import query, table
 from docflow.sources import files as files_io
-from docflow.sources.placing import settle, spread
+from docflow.sources.placing import settle
 
 HOST = "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(user_id % 256 AS STRING))"
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
@@ -32,7 +32,8 @@ def beacons(spark, sf):
         wire.little_endian(role, 1), wire.little_endian(port, 2), wire.little_endian(F.length(name), 1), name,
     )
     cut = F.when(e % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
-    return table(spark, sf, "events").select("ts", e.alias("seq"), F.expr(HOST).alias("host"), cut.alias("payload"))
+    packets = table(spark, sf, "events").select("ts", e.alias("seq"), F.expr(HOST).alias("host"), cut.alias("payload"))
+    return settle(packets)
 
 
 @query("beacon_valid", f"WITH {BEACONS_SQL} SELECT ts, seq, host, role, port, name FROM b")
@@ -82,17 +83,18 @@ def frames(spark, sf):
         .when(e % 313 == 0, wire.build_frame(F.expr(TYPE_CASE), payload, F.crc32(payload).bitwiseXOR(F.lit(1))))
         .otherwise(good)
     )
-    return table(spark, sf, "events").select(F.col("user_id").alias("session"), e.alias("seq"), "ts", spoilt.alias("data"))
+    packets = table(spark, sf, "events").select(F.col("user_id").alias("session"), e.alias("seq"), "ts", spoilt.alias("data"))
+    return settle(packets)
 
 
 REASON_SQL = (
     "CASE WHEN event_id % 301 = 0 THEN 'bad_magic' WHEN event_id % 307 = 0 THEN 'bad_version' "
-    "WHEN event_id % 311 = 0 THEN 'too_long' WHEN event_id % 313 = 0 THEN 'bad_crc' {0} END"
+    "WHEN event_id % 311 = 0 THEN 'too_long' {0} WHEN event_id % 313 = 0 THEN 'bad_crc' {1} END"
 )
 
 
 @query("frame_integrity", f"""
-WITH f AS (SELECT user_id AS session, {REASON_SQL.format("WHEN event_id % 29 = 0 THEN 'incomplete' ELSE 'ok'")} AS reason,
+WITH f AS (SELECT user_id AS session, {REASON_SQL.format("WHEN event_id % 29 = 0 THEN 'incomplete'", "ELSE 'ok'")} AS reason,
   14 + length(props) - CASE WHEN event_id % 29 = 0 THEN 3 ELSE 0 END AS n FROM events)
 SELECT session, reason, count(*) AS frames, sum(n)::BIGINT AS bytes FROM f GROUP BY ALL""")
 def frame_integrity(spark, sf):
@@ -111,7 +113,7 @@ def chunks(spark, sf):
 
 @query("frame_reassembly", f"""
 WITH f AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame_no, {TYPE_CASE} AS type, props AS payload,
-  {REASON_SQL.format('')} AS reason, min(CASE WHEN event_id % 301 = 0 OR event_id % 307 = 0 OR event_id % 311 = 0 OR event_id % 313 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS bad, event_id FROM events)
+  {REASON_SQL.format('', '')} AS reason, min(CASE WHEN event_id % 301 = 0 OR event_id % 307 = 0 OR event_id % 311 = 0 OR event_id % 313 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS bad, event_id FROM events)
 SELECT session, frame_no, CASE WHEN reason IS NULL THEN type END AS type, CASE WHEN reason IS NULL THEN payload END AS payload, reason
 FROM f WHERE bad IS NULL OR event_id <= bad""")
 def frame_reassembly(spark, sf):
@@ -173,7 +175,7 @@ def inputs(spark, sf):
         F.unhex(F.lit("00")), half, F.when(e % 5 == 0, two).otherwise(half), wheel, wire.little_endian(e % 200, 2),
     )
     data = F.when(e % 9 == 0, F.substring(packet, 1, 17)).otherwise(packet)
-    return table(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", data.alias("payload"))
+    return settle(table(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", data.alias("payload")))
 
 
 @query("input_activity", """
@@ -226,7 +228,7 @@ def zipped_pages(spark, sf):
 
 @query("archive_entries", """
 WITH p AS (SELECT *, page_id || '.zip' AS archive_id FROM pages)
-SELECT archive_id, 0 AS entry_no, 'docs/' AS path, 0 AS size, true AS is_directory, false AS is_encrypted, NULL AS error FROM p WHERE page_id % 20 <> 0
+SELECT archive_id, 0::BIGINT AS entry_no, 'docs/' AS path, 0::BIGINT AS size, true AS is_directory, false AS is_encrypted, NULL AS error FROM p WHERE page_id % 20 <> 0
 UNION ALL SELECT archive_id, 1, 'docs/page' || page_id || '.html', octet_length(encode(html)), false, false, NULL FROM p WHERE page_id % 20 <> 0
 UNION ALL SELECT archive_id, 2, 'url.txt', octet_length(encode(url)), false, false, NULL FROM p WHERE page_id % 20 <> 0
 UNION ALL SELECT archive_id, NULL, NULL, NULL, NULL, NULL, 'ValueError' FROM p WHERE page_id % 20 = 0""")
