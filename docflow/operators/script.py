@@ -78,10 +78,12 @@ def sample_prefix(runs: DataFrame, doc: str, order: Sequence[str], group: str, l
     before = F.col("__upto") + F.col("__spaces") - F.length("text") - F.col("__ends").cast("int")
     reached = F.col("__upto") + F.col("__spaces") - F.col("__ends").cast("int") >= limit
     piece = F.concat("text", F.when(F.col("__ends") & ~reached, " ").otherwise(""))
+    # Pieces without a letter or space add nothing, so what is gathered is as long as the sample.
+    pieces = F.collect_list(F.when(F.length(piece) > 0, F.struct(*order, piece.alias("piece"))))
     return (
         counted.where(before < limit)
         .groupBy(doc)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, piece.alias("piece")))).alias("p"))
+        .agg(F.array_sort(pieces).alias("p"))
         .select(doc, F.array_join(F.col("p.piece"), "").alias("sample"))
     )
 

@@ -8,7 +8,8 @@ from docflow.functions import wire
 from docflow.operators import sessions as ops
 from docflow.plans.registry import query, table
 from docflow.sources import files as files_io
-from docflow.sources.placing import settle
+from docflow.sources.placing import scratch, settle
+from docflow.streaming import live as streams
 
 HOST = "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(user_id % 256 AS STRING))"
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
@@ -33,21 +34,25 @@ def beacons(spark, sf):
     )
     cut = F.when(e % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
     packets = table(spark, sf, "events").select("ts", e.alias("seq"), F.expr(HOST).alias("host"), cut.alias("payload"))
-    return settle(packets)
+    return packets
 
 
 @query("beacon_valid", f"WITH {BEACONS_SQL} SELECT ts, seq, host, role, port, name FROM b")
 def beacon_valid(spark, sf):
-    return ops.valid_beacons(beacons(spark, sf))
+    return ops.valid_beacons(settle(beacons(spark, sf)))
 
 
 REGISTRY_SQL = BEACONS_SQL + """,
 r AS (SELECT host, port, arg_min(name, ts) AS name, min(ts) AS first_seen FROM b WHERE role = 2 GROUP BY ALL)"""
 
 
-@query("peer_registry", f"WITH {REGISTRY_SQL} SELECT * FROM r")
+@query("peer_registry", f"WITH {REGISTRY_SQL} SELECT host, port, name FROM r")
 def peer_registry(spark, sf):
-    return ops.peer_registry(beacons(spark, sf))
+    folder = scratch(spark, "beacons")
+    files_io.write_table(beacons(spark, sf), folder)
+    packets = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    seen = streams.run_available(streams.peer_registry_stream(packets), scratch(spark, "registry"))
+    return seen.select("host", "port", "name")
 
 
 @query("registry_new", f"WITH {REGISTRY_SQL} SELECT * FROM r WHERE (host, port) NOT IN (SELECT concat('10.0.', c_custkey // 256, '.', c_custkey % 256), 5000 FROM customer)")
@@ -55,7 +60,7 @@ def registry_new(spark, sf):
     known = table(spark, sf, "customer").select(
         F.expr(HOST.replace("user_id", "c_custkey")).alias("host"), F.lit(5000).alias("port")
     )
-    return ops.registry_new(beacons(spark, sf), known)
+    return ops.registry_new(settle(beacons(spark, sf)), known)
 
 
 @query("host_presence", f"""
@@ -63,7 +68,7 @@ WITH {BEACONS_SQL}, g AS (SELECT host, ts, CASE WHEN ts - lag(ts) OVER (PARTITIO
 s AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY ts) AS k FROM g)
 SELECT host, min(ts) AS online_from, max(ts) AS last_seen, count(*) AS beacons FROM s GROUP BY host, k""")
 def host_presence(spark, sf):
-    return ops.host_presence(ops.valid_beacons(beacons(spark, sf)), "6 hours")
+    return ops.host_presence(ops.valid_beacons(settle(beacons(spark, sf))), "6 hours")
 
 
 # ---- frames ---------------------------------------------------------------------------
@@ -236,6 +241,8 @@ def archive_entries(spark, sf):
     return files_io.list_archives(zipped_pages(spark, sf)).drop("compressed_size", "modified")
 
 
-@query("sink_atomic", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("sink_atomic", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def sink_atomic(spark, sf):
-    return settle(table(spark, sf, "nation"))
+    target = scratch(spark, "orders")
+    files_io.write_table(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), target)
+    return spark.read.parquet(target)

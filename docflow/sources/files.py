@@ -22,6 +22,7 @@ def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = ())
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files with their content. The reader leaves empty files out."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 

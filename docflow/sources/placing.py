@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -15,20 +15,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table that several steps read, and go on from the written copy.
-
-    It goes to the folder that ``spark.checkpoint.dir`` names, which every executor reaches, so
-    a lost executor costs no recomputation. Without that setting a local session uses a
-    folder of its own, and a cluster keeps the lineage.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder ``spark.checkpoint.dir`` names. A local session without one gets its own;
+    a cluster without one has none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
+    if not root and spark.sparkContext.master.startswith("local"):
         root = tempfile.mkdtemp(prefix="docflow-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/") if root else None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    root = shared_folder(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several steps read, and go on from the written copy, which a lost
+    executor cannot take away. Without a shared folder the lineage stays."""
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
+        return df
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
