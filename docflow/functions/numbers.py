@@ -6,6 +6,8 @@ takes a few steps per limb, and holds for inputs of any accepted length.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,73 +98,120 @@ def _limbs(digits: Column, base: int, from_right: bool) -> Column:
     )
 
 
-def _spell(limb: Column, base: int) -> Column:
-    """A limb as digits of ``base``, one symbol each or values for the wide bases."""
-    n = LIMB_DIGITS[base]
-    if base <= MAX_SYMBOL_BASE:
-        return F.split(F.lpad(F.conv(limb.cast("string"), 10, base), n, "0"), "")
-    bits = base.bit_length() - 1
-    return F.array(*(F.shiftright(limb, bits * i).bitwiseAND(F.lit(base - 1)).cast("string") for i in reversed(range(n))))
+class Target(NamedTuple):
+    """The base to write in, as columns: one expression serves all bases."""
+
+    base: Column
+    digits: Column  # per limb
+    limb: Column  # base to the power of digits
+    room: Column  # bits a limb surely holds
+    bits: Column  # per digit, for the wide bases
+
+    @property
+    def wide(self) -> Column:
+        return self.base > MAX_SYMBOL_BASE
+
+
+def targets() -> Column:
+    """All bases as an array of structs, one per base."""
+    return F.array(
+        *(
+            F.struct(
+                F.lit(b).alias("base"),
+                F.lit(n).alias("digits"),
+                F.lit(b**n).cast("bigint").alias("limb"),
+                F.lit((b**n).bit_length() - 1).alias("room"),
+                F.lit(b.bit_length() - 1).alias("bits"),
+            )
+            for b, n in LIMB_DIGITS.items()
+        )
+    )
 
 
-def _join(symbols: Column, base: int) -> Column:
-    return F.array_join(symbols, "" if base <= MAX_SYMBOL_BASE else ":")
+def target(row: Column) -> Target:
+    return Target(*(row[f] for f in Target._fields))
+
+
+def _bits(base: int) -> int:
+    """Bits that hold any digit of a base."""
+    return (base - 1).bit_length()
+
+
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("bigint") if isinstance(b, int) else b)
+
+
+def _groups(value: Column, count: Column, to: Target) -> Column:
+    """``count`` digits of a wide base, highest first."""
+    return F.transform(
+        F.sequence(count - 1, F.lit(0)),
+        lambda i: F.call_function("shiftright", value, i * to.bits).bitwiseAND((to.base - 1).cast("bigint")).cast("string"),
+    )
 
 
-def whole_symbols(digits: Column, base: int, to: int) -> Column:
-    """Digits of a whole number in another base: divide by a limb of it until nothing is left."""
-    limb_to = to ** LIMB_DIGITS[to]
+def _symbols(limb: Column, to: Target) -> Column:
+    """A limb as digits, one symbol each or values for the wide bases."""
+    plain = F.split(F.lpad(F.call_function("conv", limb.cast("string"), F.lit(10), to.base), to.digits, F.lit("0")), "")
+    return F.when(to.wide, _groups(limb, to.digits, to)).otherwise(plain)
+
+
+def _join(symbols: Column, to: Target) -> Column:
+    return F.when(to.wide, F.array_join(symbols, ":")).otherwise(F.array_join(symbols, ""))
+
+
+def _turn(acc: Column, done: Column, out) -> Column:
+    """One round of a long conversion; ``done`` is worked out once."""
+    return F.get(F.transform(F.array(done), lambda d: F.struct(d["rest"].alias("rest"), out(acc, d).alias("out"))), F.lit(0))
+
+
+def whole_symbols(digits: Column, base: int, to: Target) -> Column:
+    """Digits of a whole number of any length: divide by a limb until nothing is left."""
     limb_from = base ** LIMB_DIGITS[base]
-    limbs = _limbs(digits, base, True)
-    rounds = F.ceil(F.size(digits) * ((base.bit_length() if base & (base - 1) else base.bit_length() - 1) / (limb_to.bit_length() - 1)))
 
     def divide(rest: Column) -> Column:
-        start = F.struct(F.array().cast(_LONGS).alias("q"), F.lit(0).cast("bigint").alias("r"))
+        start = F.struct(F.array().cast(_LONGS).alias("rest"), F.lit(0).cast("bigint").alias("r"))
 
         def step(acc: Column, limb: Column) -> Column:
             value = acc["r"] * limb_from + limb
-            quotient = F.call_function("div", value, F.lit(limb_to).cast("bigint"))
-            return F.struct(F.concat(acc["q"], F.array(quotient)).alias("q"), (value % limb_to).alias("r"))
+            return F.struct(F.concat(acc["rest"], F.array(_div(value, to.limb))).alias("rest"), (value % to.limb).alias("r"))
 
         return F.aggregate(rest, start, step)
 
-    def turn(acc: Column, _: Column) -> Column:
-        done = F.transform(F.array(divide(acc["rest"])), lambda d: F.struct(d["q"].alias("rest"), F.concat(F.array(d["r"]), acc["out"]).alias("out")))
-        return F.get(done, F.lit(0))
-
-    start = F.struct(limbs.alias("rest"), F.array().cast(_LONGS).alias("out"))
-    made = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(rounds, F.lit(1).cast("bigint"))), start, turn)["out"]
-    symbols = F.flatten(F.transform(made, lambda limb: _spell(limb, to)))
+    rounds = F.ceil(F.size(digits) * _bits(base) / to.room).cast("int")
+    start = F.struct(_limbs(digits, base, True).alias("rest"), F.array().cast(_LONGS).alias("out"))
+    made = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))),
+        start,
+        lambda acc, _: _turn(acc, divide(acc["rest"]), lambda a, d: F.concat(F.array(d["r"]), a["out"])),
+    )["out"]
+    symbols = F.flatten(F.transform(made, lambda limb: _symbols(limb, to)))
     lead = F.array_position(F.transform(symbols, lambda s: s != "0"), True)
     return F.when(lead == 0, F.array(F.lit("0"))).otherwise(F.slice(symbols, lead.cast("int"), F.size(symbols)))
 
 
-def part_symbols(digits: Column, base: int, to: int, limit: int) -> Column:
-    """Fraction digits in another base, cut at the limit and never rounded, and whether that
-    is exact: multiply by a limb of the base, what carries out is the next digits."""
-    limb_to = to ** LIMB_DIGITS[to]
+def part_symbols(digits: Column, base: int, to: Target, limit: int) -> Column:
+    """Fraction digits, cut at the limit and never rounded, and whether that is exact:
+    multiply by a limb, and what carries out is the next digits."""
     limb_from = base ** LIMB_DIGITS[base]
-    rounds = -(-limit // LIMB_DIGITS[to])
 
     def multiply(rest: Column) -> Column:
-        start = F.struct(F.array().cast(_LONGS).alias("low"), F.lit(0).cast("bigint").alias("carry"))
+        start = F.struct(F.array().cast(_LONGS).alias("rest"), F.lit(0).cast("bigint").alias("carry"))
 
         def step(acc: Column, limb: Column) -> Column:
-            value = limb * limb_to + acc["carry"]
+            value = limb * to.limb + acc["carry"]
             return F.struct(
-                F.concat(F.array(value % limb_from), acc["low"]).alias("low"),
-                F.call_function("div", value, F.lit(limb_from).cast("bigint")).alias("carry"),
+                F.concat(F.array(value % limb_from), acc["rest"]).alias("rest"), _div(value, limb_from).alias("carry")
             )
 
         return F.aggregate(F.reverse(rest), start, step)
 
-    def turn(acc: Column, _: Column) -> Column:
-        done = F.transform(F.array(multiply(acc["rest"])), lambda m: F.struct(m["low"].alias("rest"), F.concat(acc["out"], F.array(m["carry"])).alias("out")))
-        return F.get(done, F.lit(0))
-
     start = F.struct(_limbs(digits, base, False).alias("rest"), F.array().cast(_LONGS).alias("out"))
-    made = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
-    symbols = F.flatten(F.transform(made["out"], lambda limb: _spell(limb, to)))
+    made = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(F.lit(limit) / to.digits).cast("int")),
+        start,
+        lambda acc, _: _turn(acc, multiply(acc["rest"]), lambda a, d: F.concat(a["out"], F.array(d["carry"]))),
+    )
+    symbols = F.flatten(F.transform(made["out"], lambda limb: _symbols(limb, to)))
     kept = F.slice(symbols, 1, limit)
     exact = ~F.exists(made["rest"], lambda v: v != 0) & ~F.exists(
         F.slice(symbols, limit + 1, F.greatest(F.size(symbols) - limit, F.lit(0))), lambda s: s != "0"
@@ -176,46 +225,38 @@ def _value(digits: Column, base: int) -> Column:
     return F.aggregate(digits, F.lit(0).cast("bigint"), lambda acc, d: acc * base + d)
 
 
-def _fits(digits: Column, base: int, bits: int) -> Column:
-    """Whether digits surely make a value below 2^bits."""
-    return F.size(digits) <= int(bits / (base.bit_length() if base & (base - 1) else base.bit_length() - 1))
+def short_value(digits: Column, base: int, bits: int = 60) -> Column:
+    """Value of digits that surely stay below 2^bits, null for longer ones."""
+    return F.when(F.size(digits) <= bits // _bits(base), _value(digits, base))
 
 
-def whole_text(digits: Column, base: int, to: int) -> Column:
-    """A whole number written in base ``to``. Numbers below 2^60 take a built-in call."""
-    value = _value(digits, base)
-    if to <= MAX_SYMBOL_BASE:
-        short = F.conv(value.cast("string"), 10, to)
-    else:
-        bits = to.bit_length() - 1
-        places = F.greatest(F.ceil(F.length(F.bin(value)) / bits).cast("int"), F.lit(1))
-        groups = F.filter(F.array(*(F.lit(i) for i in reversed(range(-(-60 // bits))))), lambda i: i < places)
-        short = F.array_join(
-            F.transform(groups, lambda i: F.call_function("shiftright", value, i * bits).bitwiseAND(F.lit(to - 1)).cast("string")), ":"
-        )
-    return F.when(_fits(digits, base, 60), short).otherwise(_join(whole_symbols(digits, base, to), to))
+def whole_text(value: Column, digits: Column, base: int, to: Target) -> Column:
+    """A whole number in another base; ``value`` is its short value where it has one."""
+    places = F.greatest(F.ceil(F.length(F.bin(value)) / to.bits).cast("int"), F.lit(1))
+    short = F.when(to.wide, F.array_join(_groups(value, places, to), ":")).otherwise(
+        F.call_function("conv", value.cast("string"), F.lit(10), to.base)
+    )
+    return F.when(value.isNotNull(), short).otherwise(_join(whole_symbols(digits, base, to), to))
 
 
-def part_text(digits: Column, base: int, to: int, limit: int) -> Column:
-    """Fraction digits in base ``to`` behind a dot, and whether they are exact."""
-    over = F.aggregate(digits, F.lit(1).cast("bigint"), lambda acc, _: acc * base)
-    start = F.struct(
-        _value(digits, base).alias("top"), over.alias("under"), F.lit("").alias("out"),
-    )
-    symbol = (lambda d: F.substring(F.lit(DIGITS), d.cast("int") + 1, F.lit(1))) if to <= MAX_SYMBOL_BASE else (lambda d: d.cast("string"))
-    mark = "" if to <= MAX_SYMBOL_BASE else ":"
+def part_text(value: Column, digits: Column, base: int, to: Target, limit: int) -> Column:
+    """Fraction digits in another base, and whether they are exact."""
+    under = F.aggregate(digits, F.lit(1).cast("bigint"), lambda acc, _: acc * base)
+    start = F.struct(value.alias("top"), under.alias("under"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
-        shifted = acc["top"] * to
-        digit = F.call_function("div", shifted, acc["under"])
-        more = F.concat(acc["out"], F.when(acc["out"] == "", "").otherwise(mark), symbol(digit))
+        shifted = acc["top"] * to.base
+        more = F.concat(acc["out"], F.array(_div(shifted, acc["under"])))
         return F.when(acc["top"] == 0, acc).otherwise(
             F.struct((shifted % acc["under"]).alias("top"), acc["under"].alias("under"), more.alias("out"))
         )
 
+    spell = lambda out: F.when(to.wide, F.array_join(out.cast("array<string>"), ":")).otherwise(
+        F.array_join(F.transform(out, lambda d: F.substring(F.lit(DIGITS), (d + 1).cast("int"), F.lit(1))), "")
+    )
     short = F.aggregate(
         F.sequence(F.lit(1), F.lit(limit)), start, step,
-        lambda acc: F.struct(acc["out"].alias("digits"), (acc["top"] == 0).alias("exact")),
+        lambda acc: F.struct(spell(acc["out"]).alias("digits"), (acc["top"] == 0).alias("exact")),
     )
     long = F.get(
         F.transform(
@@ -225,7 +266,7 @@ def part_text(digits: Column, base: int, to: int, limit: int) -> Column:
         F.lit(0),
     )
     none = F.struct(F.lit("").alias("digits"), F.lit(True).alias("exact"))
-    return F.when(F.size(digits) == 0, none).when(_fits(digits, base, 54), short).otherwise(long)
+    return F.when(F.size(digits) == 0, none).when(value.isNotNull(), short).otherwise(long)
 
 
 def by_base(base: Column, make) -> Column:
@@ -240,14 +281,21 @@ def fraction_limit(digits: int) -> int:
     return max(FRACTION_LIMITS[0], min(FRACTION_LIMITS[1], digits))
 
 
-def group_whole(digits: Column, base: int) -> Column:
-    size = GROUP_SIZE.get(base)
-    return F.regexp_replace(digits, rf"(?<=.)(?=(?:.{{{size}}})+$)", " ") if size else digits
+def _grouped(digits: Column, base: Column, by) -> Column:
+    """Apply the grouping of the row's base; bases without one keep their digits."""
+    fours = [b for b, n in GROUP_SIZE.items() if n == 4]
+    threes = [b for b, n in GROUP_SIZE.items() if n == 3]
+    return F.when(base.isin(fours), by(4)).when(base.isin(threes), by(3)).otherwise(digits)
+
+
+def group_whole(digits: Column, base: Column) -> Column:
+    """Blanks between groups counted from the right."""
+    return _grouped(digits, base, lambda n: F.regexp_replace(digits, rf"(?<=.)(?=(?:.{{{n}}})+$)", " "))
 
 
-def group_part(digits: Column, base: int) -> Column:
-    size = GROUP_SIZE.get(base)
-    return F.regexp_replace(digits, rf"(.{{{size}}})(?=.)", "$1 ") if size else digits
+def group_part(digits: Column, base: Column) -> Column:
+    """Blanks between groups counted from the left."""
+    return _grouped(digits, base, lambda n: F.regexp_replace(digits, rf"(.{{{n}}})(?=.)", "$1 "))
 
 
 def cell_number(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def weighted_median(pairs: Column) -> Column:
     """Median of ``array<struct<v double, n bigint>>`` where each value counts n times; the
     two middle values are averaged. Null for an empty array."""
-    ordered = F.array_sort(pairs)
+    ordered = F.sort_array(pairs)
     total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
     start = F.struct(
         F.lit(0).cast("bigint").alias("seen"), total.alias("total"),
@@ -25,7 +25,11 @@ def weighted_median(pairs: Column) -> Column:
             pick(acc["high"], F.floor(acc["total"] / 2)).alias("high"),
         )
 
-    return F.aggregate(ordered, start, step, lambda acc: (acc["low"] + acc["high"]) / 2)
+    # Mostly all values are equal, and then there is nothing to count.
+    values = F.transform(pairs, lambda p: p["v"])
+    same = F.array_min(values) == F.array_max(values)
+    counted = F.aggregate(ordered, start, step, lambda acc: (acc["low"] + acc["high"]) / 2)
+    return F.when(same, F.array_min(values)).otherwise(counted)
 
 
 def breaks_to_slices(items: Column, breaks: Column) -> Column:

@@ -72,7 +72,7 @@ def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     page = list(page)
     height = F.abs(F.col("top") - F.col("bottom"))
     usable = (
-        words.where((F.col("n_letters") > 0) & (trim_space(F.col("text")) != ""))
+        words.where((F.col("n_letters") > 0) & F.col("text").rlike(rf"[^{SPACE}]"))
         .withColumn("__c", (F.col("bottom") + F.col("top")) / 2)
         .withColumn("__h", F.when(height > 0, height).otherwise(10.0))
         .withColumn("__level", F.floor(-F.col("__c") / _LEVEL))
@@ -86,11 +86,15 @@ def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     islands = levels.withColumn("__cut", F.when(apart, 1).otherwise(0)).select(
         *page, "__level", F.sum("__cut").over(down).alias("__island")
     )
-    word = F.struct((-F.col("__c")).alias("down"), "left", "word_no", F.col("__h").alias("h"), *WORD_FIELDS)
+    word = F.struct("left", (-F.col("__c")).alias("down"), "word_no", F.col("__h").alias("h"), *WORD_FIELDS)
     touching = (
         usable.join(islands, [*page, "__level"])
         .groupBy(*page, "__island")
-        .agg(F.array_sort(F.collect_list(word)).alias("__words"))
+        .agg(
+            F.sort_array(F.collect_list(word)).alias("__words"),
+            (F.max("__c") - F.min("__c")).alias("__range"),
+            F.min("__h").alias("__low"),
+        )
     )
 
     none = F.array().cast("array<int>")
@@ -113,24 +117,28 @@ def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
             .alias("breaks"),
         )
 
-    cut = touching.withColumn("__breaks", F.aggregate("__words", start, step, lambda acc: acc["breaks"]))
-    by_left = lambda ws: F.array_sort(
-        F.transform(ws, lambda w: F.struct(w["left"].alias("left"), w["down"].alias("down"), w["word_no"].alias("word_no"), *(w[f].alias(f) for f in WORD_FIELDS)))
+    order_as = lambda ws, *first: F.sort_array(
+        F.transform(ws, lambda w: F.struct(*(w[f].alias(f) for f in (*first, "word_no", "h", *WORD_FIELDS))))
     )
-    lines = cut.select(
-        *page, "__island", F.posexplode(breaks_to_slices(F.col("__words"), F.col("__breaks"))).alias("__local", "__slice")
+    downward = order_as(F.col("__words"), "down", "left")
+    breaks = F.aggregate(downward, start, step, lambda acc: acc["breaks"])
+    walked = F.transform(breaks_to_slices(downward, breaks), lambda ws: order_as(ws, "left", "down"))
+    # Words that all lie within the least tolerance are one line, and need no walk.
+    level = F.col("__range") <= 0.5 * F.greatest(F.lit(1.0), F.col("__low"))
+    lines = touching.select(
+        *page, "__island", F.posexplode(F.when(level, F.array("__words")).otherwise(walked)).alias("__local", "words")
     )
     order = Window.partitionBy(*page).orderBy("__island", "__local")
-    return lines.select(*page, F.row_number().over(order).alias("line_no"), by_left(F.col("__slice")).alias("words"))
+    return lines.select(*page, F.row_number().over(order).alias("line_no"), "words")
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
     """Text, box, baseline, size and boldness of each line."""
-    pick = lambda f: F.transform("words", lambda w: w[f])
+    pick = lambda f: F.col(f"words.{f}")
     weigh = lambda f, keep: F.transform(
         F.filter("words", keep), lambda w: F.struct(w[f].alias("v"), w["n_letters"].cast("bigint").alias("n"))
     )
-    add = lambda f: F.aggregate("words", F.lit(0), lambda acc, w: acc + w[f])
+    add = lambda f: F.aggregate(pick(f), F.lit(0), lambda acc, n: acc + n)
     size = weighted_median(weigh("font_size", lambda w: (w["font_size"] > 0) & ~F.isnan(w["font_size"])))
     return lines.select(
         "*",
@@ -217,7 +225,7 @@ def detect_tables(gapped: DataFrame, page: Sequence[str] = PAGE, near: float = 5
     walked = (
         stretches.where(count > 0)
         .groupBy(*page, "__stretch")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "gaps"))).alias("__lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("line_no", "gaps"))).alias("__lines"))
     )
     start = F.struct(
         F.lit(0).alias("i"), F.array().cast("array<double>").alias("anchor"), F.array().cast("array<int>").alias("breaks")
@@ -257,7 +265,7 @@ def column_edges(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
         .groupBy(*table, "__i")
         .agg(F.avg("__x").alias("__x"))
         .groupBy(*table)
-        .agg(F.array_sort(F.collect_list(F.struct("__i", "__x"))).alias("__inner"))
+        .agg(F.sort_array(F.collect_list(F.struct("__i", "__x"))).alias("__inner"))
     )
     edges = F.concat(
         F.array(F.col("__left") - 1), F.transform("__inner", lambda e: e["__x"] - 2), F.array(F.col("__right") + 1)
@@ -334,7 +342,7 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
     marked = classified.withColumn("__cut", F.when(cut | in_table, 1).otherwise(0)).withColumn("__tall", tall)
     stretches = marked.withColumn("__stretch", F.sum("__cut").over(order)).where(~in_table)
     walked = stretches.groupBy(*page, "__stretch").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "left", F.col("__tall").alias("tall")))).alias("__lines")
+        F.sort_array(F.collect_list(F.struct("line_no", "left", F.col("__tall").alias("tall")))).alias("__lines")
     )
     start = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("count"), F.lit(0.0).alias("second"), F.lit(0.0).alias("previous"),
@@ -386,7 +394,7 @@ def paragraph_build(
     """One row per paragraph: text with end-of-line hyphens taken out, box, indent, spacing."""
     keys = [*page, "para_no"]
     gathered = grouped.where("para_no IS NOT NULL").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("__lines"),
+        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("__lines"),
         F.min("left").alias("left"), F.max("right").alias("right"),
         F.max("top").alias("__top"), F.min("bottom").alias("__bottom"),
         F.first("kind").alias("kind"), F.first("min_left").alias("min_left"), F.first("max_right").alias("max_right"),
@@ -426,7 +434,7 @@ def coalesce_runs(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
     changed = F.when(F.lag(look).over(window).eqNullSafe(look), 0).otherwise(1)
     numbered = pieces.withColumn("__new", changed).withColumn("run_no", F.sum("__new").over(window))
     return numbered.groupBy(*keys, "run_no", *style).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t")))), lambda p: p["__t"]), "").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__t")))), lambda p: p["__t"]), "").alias("text")
     )
 
 
@@ -479,7 +487,7 @@ def weighted_line_height(paragraphs: DataFrame, keys: Sequence[str]) -> DataFram
 def complete_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row of a table gets all of its columns; spans leave empty cells behind them."""
     row = [*keys, "row_no"]
-    listed = F.array_sort(F.collect_list(F.struct("cell_no", "text", F.greatest("span", F.lit(1)).alias("span"))))
+    listed = F.sort_array(F.collect_list(F.struct("cell_no", "text", F.greatest("span", F.lit(1)).alias("span"))))
     rows = cells.groupBy(*row).agg(listed.alias("__cells"))
     # The table is as wide as its widest row.
     widths = cells.groupBy(*row).agg(F.sum("span").alias("__n")).groupBy(*keys).agg(F.max("__n").cast("int").alias("__cols"))

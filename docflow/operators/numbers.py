@@ -13,28 +13,26 @@ from docflow.functions.text import trim_space
 
 def base_fanout(numbers: DataFrame, keys: Sequence[str], text: str, base: int, fraction_digits: int) -> DataFrame:
     """Every number written in all nine bases; numbers that fail to parse are left out."""
-    limit, to, c = N.fraction_limit(fraction_digits), F.col("base"), F.col
+    limit, to, c = N.fraction_limit(fraction_digits), N.target(F.col("to")), F.col
     parsed = numbers.select(*keys, N.parse_number(F.col(text), base).alias("p"))
     rows = parsed.select(
-        *keys, "p.negative", "p.whole", "p.part", F.explode(F.array(*map(F.lit, N.BASES))).alias("base")
-    ).where("whole IS NOT NULL")
+        *keys, "p.negative", "p.whole", "p.part",
+        N.short_value(c("p.whole"), base).alias("whole_value"),
+        N.short_value(c("p.part"), base, 54).alias("part_value"),
+    ).select("*", F.explode(F.when(c("whole").isNotNull(), N.targets())).alias("to"))
     written = rows.select(
-        *keys, "base", "negative",
-        N.by_base(to, lambda b: N.whole_text(c("whole"), base, b)).alias("w"),
-        N.by_base(to, lambda b: N.part_text(c("part"), base, b, limit)).alias("f"),
+        *keys, "to.base", "negative",
+        N.whole_text(c("whole_value"), c("whole"), base, to).alias("w"),
+        N.part_text(c("part_value"), c("part"), base, to, limit).alias("f"),
     )
-    minus = F.when(c("negative") & ((c("w") != "0") | c("f.digits").rlike("[^0:]")), "-").otherwise("")
     has_part = c("f.digits").rlike("[^0:]") | ~c("f.exact")
+    minus = F.when(c("negative") & ((c("w") != "0") | has_part), "-").otherwise("")
     behind = lambda digits: F.when(has_part, F.concat(F.lit("."), digits)).otherwise("")
     return written.select(
         *keys, "base",
         F.concat(minus, c("w"), behind(c("f.digits"))).alias("value"),
         c("f.exact").alias("is_exact"),
-        F.concat(
-            minus,
-            N.by_base(to, lambda b: N.group_whole(c("w"), b)),
-            behind(N.by_base(to, lambda b: N.group_part(c("f.digits"), b))),
-        ).alias("display"),
+        F.concat(minus, N.group_whole(c("w"), c("base")), behind(N.group_part(c("f.digits"), c("base")))).alias("display"),
     )
 
 

@@ -50,43 +50,41 @@ def rotation_total(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def parse_ranges(requests: DataFrame, keys: Sequence[str], expr: str, page_count: str | None = None) -> DataFrame:
     """One row per part of a page-range text, with first, last and the reason if it is bad."""
-    blank = F.trim(F.regexp_replace(expr, r"\s+", " ")) == ""
-    parts = F.filter(
-        F.transform(F.split(F.col(expr), r"[,;\n\r]"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")),
-        lambda p: p != "",
-    )
-    empty = F.col(expr).isNull() | blank
-    rows = requests.select(
-        *keys,
-        *([page_count] if page_count else []),
-        F.posexplode(F.when(empty | (F.size(parts) == 0), F.array(F.lit(None).cast("string"))).otherwise(parts)).alias(
-            "pos", "part"
-        ),
-    )
-    pieces = F.transform(F.split("part", "[-–—]"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    dash, whole = "[-–—]", r"\+?\d{1,18}"
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(F.coalesce(expr, F.lit("")), r"[,;\n\r]"), bare), lambda p: p != "")
+    listed = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(None).cast("string")))
+
+    # A dash always parts two numbers, so a number never has a minus sign.
+    def read(p: Column) -> Column:
+        number = lambda pattern: F.regexp_extract(p, pattern, 1).try_cast("int")
+        return F.struct(
+            p.alias("part"),
+            F.regexp_count(p, F.lit(dash)).alias("dashes"),
+            number(rf"^\s*({whole})\s*(?:{dash}|$)").alias("a"),
+            number(rf"{dash}\s*({whole})\s*$").alias("b"),
+        )
 
-    def number(text: Column) -> Column:
-        value = F.when(text.rlike(r"^[+-]?\d{1,18}$"), text).try_cast("int")
-        return F.when(value >= 1, value)
+    def check(t: Column) -> Column:
+        first, last = t["a"], F.when(t["dashes"] == 1, t["b"]).otherwise(t["a"])
+        reason = (
+            F.when(t["part"].isNull(), "empty")
+            .when(t["dashes"] > 1, "bad_range")
+            .when(first.isNull() | (first < 1), "bad_number")
+            .when(last.isNull() | (last < 1), "bad_last_number")
+            .when(first > last, "reversed")
+        )
+        if page_count:
+            reason = reason.when(last > F.col(page_count), "past_end")
+        kept = reason.isNull() | (reason == "past_end")
+        return F.struct(
+            t["part"].alias("part"), F.when(kept, first).alias("first"), F.when(kept, last).alias("last"), reason.alias("reason")
+        )
 
-    first = number(F.get("__pieces", F.lit(0)))
-    last = F.when(F.size("__pieces") == 2, number(F.get("__pieces", F.lit(1)))).otherwise(first)
-    parsed = rows.withColumn("__pieces", pieces).withColumn("first", first).withColumn("last", last)
-    reason = (
-        F.when(F.col("part").isNull(), "empty")
-        .when(~F.size("__pieces").isin(1, 2), "bad_range")
-        .when(F.col("first").isNull(), "bad_number")
-        .when(F.col("last").isNull(), "bad_last_number")
-        .when(F.col("first") > F.col("last"), "reversed")
-    )
-    if page_count:
-        reason = F.coalesce(reason, F.when(F.col("last") > F.col(page_count), "past_end"))
-    return parsed.withColumn("reason", reason).select(
-        *keys, "pos", "part",
-        F.when(F.col("reason").isNull() | (F.col("reason") == "past_end"), F.col("first")).alias("first"),
-        F.when(F.col("reason").isNull() | (F.col("reason") == "past_end"), F.col("last")).alias("last"),
-        "reason",
-    )
+    # Checked before the parts become rows: a filter on the outcome then reads a value and
+    # does not parse again.
+    checked = F.transform(F.transform(listed, read), check)
+    return requests.select(*keys, F.posexplode(checked).alias("pos", "__p")).select(*keys, "pos", "__p.*")
 
 
 def range_pages(ranges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def sample_prefix(runs: DataFrame, doc: str, order: Sequence[str], group: str, l
     return (
         counted.where(before < limit)
         .groupBy(doc)
-        .agg(F.array_sort(pieces).alias("p"))
+        .agg(F.sort_array(pieces).alias("p"))
         .select(doc, F.array_join(F.col("p.piece"), "").alias("sample"))
     )
 
@@ -93,7 +93,7 @@ def convert_runs(runs: DataFrame, keys: Sequence[str], seq: str, direction: str,
 
     A paragraph is one line of a document, so its runs fit one row.
     """
-    cells = F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("text"))))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(seq), F.col("text"))))
     joined = runs.groupBy(*keys, direction).agg(cells.alias("__runs")).withColumn(
         "__all", F.array_join(F.col("__runs.text"), "")
     )

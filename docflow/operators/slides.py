@@ -41,7 +41,7 @@ def slide_chunks(lines: DataFrame, keys: Sequence[str], line_no: str, text: str,
     blocks = (
         lines.withColumn("__block", F.floor(F.col(line_no) / block))
         .groupBy(*keys, "__block")
-        .agg(F.array_sort(F.collect_list(line)).alias("__lines"))
+        .agg(F.sort_array(F.collect_list(line)).alias("__lines"))
     )
     costs = F.transform("__lines", lambda l: l["cost"])
     table = F.transform(
@@ -60,7 +60,7 @@ def slide_chunks(lines: DataFrame, keys: Sequence[str], line_no: str, text: str,
         blocks.join(chained, keys, "left_semi")
         .select(*keys, F.struct("__block", table.alias("__table")).alias("__t"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__t")).alias("__tables"))
+        .agg(F.sort_array(F.collect_list("__t")).alias("__tables"))
     )
     begin = F.struct(
         _state(F.lit(0), F.lit(0)).alias("now"),

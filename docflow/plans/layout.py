@@ -286,7 +286,7 @@ SPANS = {
 
 @query("complete_cells", """
 WITH s AS (SELECT l_orderkey AS table_no, l_linenumber AS row_no, 'v' || l_partkey AS text, 1 + l_suppkey % 3 AS span,
-  sum(1 + l_suppkey % 3) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) - (l_suppkey % 3) AS col FROM lineitem),
+  sum(1 + l_suppkey % 3) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) - (l_suppkey % 3) AS col FROM lineitem),
 w AS (SELECT table_no, max(n) AS n FROM (SELECT table_no, row_no, sum(span) AS n FROM s GROUP BY ALL) GROUP BY ALL),
 r AS (SELECT DISTINCT s.table_no, row_no, unnest(range(1, n::BIGINT + 1))::INTEGER AS col_no FROM s JOIN w ON s.table_no = w.table_no)
 SELECT r.table_no, r.row_no, r.col_no, coalesce(s.text, '') AS text FROM r LEFT JOIN s ON s.table_no = r.table_no AND s.row_no = r.row_no AND s.col = r.col_no""")

@@ -327,13 +327,13 @@ def first_match(spark, sf):
     return rows.where("first_installer IS NOT NULL")
 
 
-TRUSTED = ("blog.tionsh.example.net", "THTHER.example.org", "m.ththth.example.net")
+TRUSTED = ("blog.tionsh.example.net", "THTHER.example.org", "m.ththth.example.net", "m.tionsh.example.net", "thther.example.com")
 
 
 @query("trusted_urls", """
 WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN replace(url, '.example.', '.example.evil.') WHEN 1 THEN upper(left(url, 8)) || substr(url, 9)
   WHEN 2 THEN 'not a url ' || page_id WHEN 3 THEN replace(url, '://', '://a@') ELSE url END AS url FROM pages)
-SELECT page_id, url FROM u WHERE regexp_matches(lower(url), '^https://(a@)?(blog\\.tionsh\\.example\\.net|thther\\.example\\.org|m\\.ththth\\.example\\.net)(/|$|\\?|#)')""")
+SELECT page_id, url FROM u WHERE regexp_matches(lower(url), '^https://(a@)?(blog\\.tionsh\\.example\\.net|thther\\.example\\.org|m\\.ththth\\.example\\.net|m\\.tionsh\\.example\\.net|thther\\.example\\.com)(/|$|\\?|#)')""")
 def trusted_urls(spark, sf):
     rows = table(spark, sf, "pages").selectExpr(
         "page_id",

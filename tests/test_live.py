@@ -15,7 +15,7 @@ def frame(kind, payload, crc=None, magic=b"\x59\x41", version=1, length=None):
     return magic + bytes([version, kind, 0, 0]) + struct.pack("<II", size, zlib.crc32(payload) if crc is None else crc) + payload
 
 
-def beacon(role=2, port=5406, name=b"pc", magic=b"YAD", version=1, size=None):
+def beacon(role=2, port=5406, name=b"pc", magic=bytes.fromhex("594144"), version=1, size=None):
     return magic + bytes([version, role]) + struct.pack("<H", port) + bytes([len(name) if size is None else size]) + name
 
 
@@ -26,7 +26,7 @@ def column(spark, values, make):
 
 def test_beacons(spark):
     good = [beacon(), beacon(name=b""), beacon(role=1, port=65535, name="ўз".encode()), beacon() + b"tail"]
-    bad = [b"", b"YAD", beacon(magic=b"YAE"), beacon(version=2), beacon(role=3), beacon(port=0), beacon(size=9)]
+    bad = [b"", bytes.fromhex("594144"), beacon(magic=bytes.fromhex("594145")), beacon(version=2), beacon(role=3), beacon(port=0), beacon(size=9)]
     got = column(spark, good + bad, wire.parse_beacon)
     assert [tuple(g) for g in got[:4]] == [(2, 5406, "pc"), (2, 5406, ""), (1, 65535, "ўз"), (2, 5406, "pc")]
     assert got[4:] == [None] * len(bad)
