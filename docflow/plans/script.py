@@ -75,27 +75,42 @@ def _cyr_char(t: str, i: str) -> str:
     )
 
 
-def _text_sql(text: str, char) -> str:
-    """SQL that converts a text token by token and letter by letter, leaving links alone."""
+def _token_sql(tok: str, char) -> str:
+    """SQL that converts one token letter by letter and leaves links alone."""
     www = rf"^((?:.*?[^\p{{L}}\p{{Nd}}{APOS}])?)([wW]{{3}}\..*)$"
     letters = lambda t: f"array_to_string(list_transform(range(1, length({t}) + 1), lambda i: {char(t, 'i')}), '')"
     return (
-        f"array_to_string(list_transform(regexp_extract_all({text}, '[^\\s]+|[\\s]+'), lambda tok:"
-        f" CASE WHEN regexp_matches(tok, '^\\s') THEN tok"
-        f" WHEN contains(tok, '://') OR (contains(tok, '@') AND contains(tok, '.')) THEN tok"
-        f" WHEN regexp_matches(tok, '{www}') THEN"
-        f" array_to_string(list_transform([regexp_extract(tok, '{www}', 1)], lambda h: {letters('h')}), '')"
-        f" || regexp_extract(tok, '{www}', 2)"
-        f" ELSE {letters('tok')} END), '')"
+        f"CASE WHEN regexp_matches({tok}, '^\\s') THEN {tok}"
+        f" WHEN contains({tok}, '://') OR (contains({tok}, '@') AND contains({tok}, '.')) THEN {tok}"
+        f" WHEN regexp_matches({tok}, '{www}') THEN"
+        f" array_to_string(list_transform([regexp_extract({tok}, '{www}', 1)], lambda h: {letters('h')}), '')"
+        f" || regexp_extract({tok}, '{www}', 2)"
+        f" ELSE {letters(tok)} END"
     )
 
 
-def lat_sql(text: str) -> str:
-    return _text_sql(text, _lat_char)
+def lat_sql(tok: str) -> str:
+    return _token_sql(tok, _lat_char)
 
 
-def cyr_sql(text: str) -> str:
-    return _text_sql(text, _cyr_char)
+def cyr_sql(tok: str) -> str:
+    return _token_sql(tok, _cyr_char)
+
+
+def _tokens_sql(source: str, ids: str) -> str:
+    """CTEs with the tokens of a source's texts, and every different token once."""
+    return f"""
+tk AS (SELECT {ids}, unnest(ts) AS tok, unnest(range(1, len(ts) + 1)) AS pos
+  FROM (SELECT {ids}, regexp_extract_all(text, '[^\\s]+|[\\s]+') AS ts FROM {source})),
+ds AS MATERIALIZED (SELECT DISTINCT tok FROM tk)"""
+
+
+def _joined_sql(source: str, ids: str, out: str = "text") -> str:
+    """Texts put together again from their converted tokens."""
+    return (
+        f"(SELECT {ids}, coalesce(any_value(j.{out}), '') AS {out} FROM {source} LEFT JOIN"
+        f" (SELECT {ids}, string_agg(w, '' ORDER BY pos) AS {out} FROM tk JOIN cv USING (tok) GROUP BY {ids}) j USING ({ids}) GROUP BY {ids})"
+    )
 
 
 COUNTS_SQL = (
@@ -114,43 +129,48 @@ def script_census(spark, sf):
 
 
 @query("transliterate_corpus", f"""
-WITH c AS (SELECT doc_id, text, {COUNTS_SQL} FROM documents)
-SELECT doc_id, coalesce({DIRECTION_SQL}, 'cyr_to_lat') AS direction,
-       CASE WHEN n_cyr > n_lat OR n_lat = 0 THEN {cyr_sql("text")} ELSE {lat_sql("text")} END AS text,
-       length(text)::INTEGER AS n_chars FROM c""")
+WITH c AS (SELECT doc_id, text, {COUNTS_SQL} FROM documents),
+e AS (SELECT doc_id, text, coalesce({DIRECTION_SQL}, 'cyr_to_lat') AS direction FROM c), {_tokens_sql("e", "doc_id, direction")},
+cv AS (SELECT tok, {lat_sql("tok")} AS w, {cyr_sql("tok")} AS k FROM ds),
+o AS (SELECT doc_id, string_agg(CASE WHEN direction = 'cyr_to_lat' THEN k ELSE w END, '' ORDER BY pos) AS text FROM tk JOIN cv USING (tok) GROUP BY doc_id)
+SELECT e.doc_id, direction, coalesce(o.text, '') AS text, length(e.text)::INTEGER AS n_chars FROM e LEFT JOIN o ON o.doc_id = e.doc_id""")
 def transliterate_corpus(spark, sf):
     docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     return ops.transliterate_corpus(docs, "text")
 
 
-@query("lat_to_cyr", f"SELECT conv_id, turn, {lat_sql('text')} AS text FROM conversations")
+@query("lat_to_cyr", f"""
+WITH {_tokens_sql("conversations", "conv_id, turn")}, cv AS (SELECT tok, {lat_sql("tok")} AS w FROM ds)
+SELECT * FROM {_joined_sql("conversations", "conv_id, turn")}""")
 def lat_to_cyr(spark, sf):
     turns = spread(table(spark, sf, "conversations"))
     return turns.select("conv_id", "turn", S.latin_to_cyrillic(F.col("text")).alias("text"))
 
 
 @query("cyr_to_lat", f"""
-WITH c AS (SELECT doc_id, {lat_sql("text")} AS text FROM documents)
-SELECT doc_id, {cyr_sql("text")} AS text FROM c""")
+WITH {_tokens_sql("documents", "doc_id")}, lc AS MATERIALIZED (SELECT tok, {lat_sql("tok")} AS c FROM ds), cv AS (SELECT tok, {cyr_sql("c")} AS w FROM lc)
+SELECT * FROM {_joined_sql("documents", "doc_id")}""")
 def cyr_to_lat(spark, sf):
     docs = ops.cyrillic_documents(spread(table(spark, sf, "documents")))
     return docs.select("doc_id", S.cyrillic_to_latin(F.col("text")).alias("text"))
 
 
 @query("roundtrip_quality", f"""
-WITH c AS (SELECT lang, text, {lat_sql("text")} AS cyr FROM documents)
-SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE text = {cyr_sql("cyr")}) AS n_equal,
-       round_even(avg(CASE WHEN text = {cyr_sql("cyr")} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share
-FROM c GROUP BY lang""")
+WITH {_tokens_sql("documents", "doc_id")}, lc AS MATERIALIZED (SELECT tok, {lat_sql("tok")} AS c FROM ds), cv AS (SELECT tok, {cyr_sql("c")} AS w FROM lc),
+b AS (SELECT d.lang, coalesce(same, true) AS same FROM documents d LEFT JOIN
+  (SELECT doc_id, bool_and(w = tok) AS same FROM tk JOIN cv USING (tok) GROUP BY doc_id) s ON s.doc_id = d.doc_id)
+SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE same) AS n_equal, round_even(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share
+FROM b GROUP BY lang""")
 def roundtrip_quality(spark, sf):
     return ops.roundtrip_quality(spread(table(spark, sf, "documents")), ["lang"])
 
 
 # ---- runs and samples -----------------------------------------------------------------
 
-TURNS_SQL = f"""
-p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN {lat_sql("text")} ELSE text END AS text,
-  CASE WHEN turn % 2 = 1 THEN 'cyr_to_lat' ELSE 'lat_to_cyr' END AS direction FROM conversations)"""
+TURNS_SQL = f"""{_tokens_sql("conversations", "conv_id, turn")}, cv AS (SELECT tok, {lat_sql("tok")} AS w FROM ds),
+lt AS {_joined_sql("conversations", "conv_id, turn")},
+p AS (SELECT c.conv_id, c.turn, CASE WHEN c.turn % 2 = 1 THEN lt.text ELSE c.text END AS text,
+  CASE WHEN c.turn % 2 = 1 THEN 'cyr_to_lat' ELSE 'lat_to_cyr' END AS direction FROM conversations c JOIN lt ON lt.conv_id = c.conv_id AND lt.turn = c.turn)"""
 
 
 def _aligned_sql(text: str, char) -> str:
