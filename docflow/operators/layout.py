@@ -26,19 +26,30 @@ _LEVEL = 8.0
 def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50) -> DataFrame:
     """Positioned words of plain text: 6 points a letter, 14 points a line."""
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("__line", "__text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("words"))
-    # Each token starts where the one before it ended, plus the blank between.
-    placed = F.aggregate(
-        F.split("__text", " "),
-        start,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t) + 1).alias("at"),
-            F.when(t == "", acc["words"])
-            .otherwise(F.concat(acc["words"], F.array(F.struct(acc["at"].alias("at"), t.alias("text")))))
-            .alias("words"),
-        ),
-        lambda acc: acc["words"],
-    )
+    # Each token starts where the one before it ended, plus the blank between. Tokens are
+    # placed in blocks, so that a line of any length takes time in step with its length.
+    tokens, block = F.split("__text", " "), 256
+    last = F.floor((F.size(tokens) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(tokens, b * block + 1, F.lit(block)))
+    taken = F.transform(blocks, lambda ts: F.aggregate(ts, F.lit(0), lambda acc, t: acc + F.length(t) + 1))
+
+    def place(ts: Column, b: Column) -> Column:
+        first = F.aggregate(F.slice(F.col("__taken"), F.lit(1), b), F.lit(0), lambda acc, n: acc + n)
+        start = F.struct(first.alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("words"))
+        return F.aggregate(
+            ts,
+            start,
+            lambda acc, t: F.struct(
+                (acc["at"] + F.length(t) + 1).alias("at"),
+                F.when(t == "", acc["words"])
+                .otherwise(F.concat(acc["words"], F.array(F.struct(acc["at"].alias("at"), t.alias("text")))))
+                .alias("words"),
+            ),
+            lambda acc: acc["words"],
+        )
+
+    lines = lines.select(doc, "__line", blocks.alias("__blocks"), taken.alias("__taken"))
+    placed = F.flatten(F.transform("__blocks", place))
     words = lines.select(doc, "__line", F.posexplode(placed).alias("word_no", "__w"))
     left, length = 50 + 6.0 * F.col("__w.at"), F.length("__w.text")
     bottom = 800 - 14.0 * (F.col("__line") % lines_per_page)

@@ -160,3 +160,47 @@ def _fold_names(df, keys, name, seq, first, opening, closing):
     walk = _name_walker(schema.names, keys, name, first, opening, closing)
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *seq)
     return placed.mapInPandas(walk, schema)
+
+
+# What a sheet name may not hold, how long it may be, its default.
+SHEET_FORBIDDEN, SHEET_LIMIT, SHEET_DEFAULT = "[]:*?/\\", 31, "Sheet"
+
+
+def sheet_name(name: Column) -> Column:
+    """A name fit for a sheet: no forbidden characters, no quotes or blanks at its ends."""
+    plain = F.regexp_replace(F.translate(name, SHEET_FORBIDDEN, " " * len(SHEET_FORBIDDEN)), "^[' ]+|[' ]+$", "")
+    return F.left(F.when(plain == "", SHEET_DEFAULT).otherwise(plain), F.lit(SHEET_LIMIT))
+
+
+def sheet_names(names: DataFrame, keys: Sequence[str], name: str, seq: Sequence[str]) -> DataFrame:
+    """Sheet names that differ within each workbook, none longer than the limit.
+
+    A counter may cut a name, so names that begin alike before any bracket are walked
+    together, in order, in a sorted partition that holds only the names in use.
+    """
+    alike = SHEET_LIMIT - len("  (9999999)")
+    rooted = names.withColumn("__clean", sheet_name(F.col(name))).withColumn(
+        "__root", F.lower(F.left(F.regexp_replace("__clean", r"(?s) \(.*$", ""), F.lit(alike)))
+    )
+    schema = T.StructType([*rooted.schema.fields, T.StructField("unique_name", T.StringType())])
+    group, columns = [*keys, "__root"], schema.names
+
+    def walk(batches):
+        root, used, nexts = None, set(), {}
+        for frame in batches:
+            out = []
+            for *key, text in frame[[*group, "__clean"]].itertuples(index=False, name=None):
+                if key != root:
+                    root, used, nexts = key, set(), {}
+                low, made = text.lower(), text
+                n = nexts.get(low, 2)
+                while made.lower() in used:
+                    tail = f" ({n})"
+                    made, n = text[: SHEET_LIMIT - len(tail)] + tail, n + 1
+                nexts[low] = n
+                used.add(made.lower())
+                out.append(made)
+            yield frame.assign(unique_name=out)[columns]
+
+    placed = rooted.repartition(*group).sortWithinPartitions(*group, *seq)
+    return placed.mapInPandas(walk, schema).drop("__clean", "__root")

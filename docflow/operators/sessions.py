@@ -17,11 +17,17 @@ def day_of(ts: str) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / DAY)
 
 
+def _parsed(value: Column) -> Column:
+    """Rows whose value is there, and no others. As a generator it parses once, where a
+    filter would parse again."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def valid_beacons(beacons: DataFrame) -> DataFrame:
     """Beacons that parse; everything else on the port is dropped without a word."""
-    return beacons.withColumn("__b", wire.parse_beacon(F.col("payload"))).where("__b IS NOT NULL").select(
-        *(c for c in beacons.columns if c != "payload"), "__b.role", "__b.port", "__b.name"
-    )
+    return beacons.select(
+        *(c for c in beacons.columns if c != "payload"), _parsed(wire.parse_beacon(F.col("payload"))).alias("b")
+    ).select(*(c for c in beacons.columns if c != "payload"), "b.role", "b.port", "b.name")
 
 
 def agents(beacons: DataFrame) -> DataFrame:
@@ -99,7 +105,7 @@ def frame_integrity(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def input_activity(inputs: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
     """Input events per session, kind and window; broken ones are left out."""
-    parsed = inputs.withColumn("e", wire.parse_input(F.col("payload"))).where("e IS NOT NULL")
+    parsed = inputs.select(*keys, "ts", _parsed(wire.parse_input(F.col("payload"))).alias("e"))
     far = F.col("e.x").between(0, 1) & F.col("e.y").between(0, 1)
     return parsed.groupBy(*keys, F.col("e.kind").alias("kind"), F.window("ts", length).alias("w")).agg(
         F.count(F.lit(1)).alias("n"),

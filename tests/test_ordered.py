@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docflow.operators.manifest import unique_names
+from docflow.operators.manifest import sheet_names, unique_names
 from docflow.operators.ordered import first_rows, running
 from docflow.operators.slides import slide_chunks
 
@@ -75,3 +75,18 @@ def test_slides_across_blocks_match_a_loop(spark):
     for d in range(3):
         want = slow_chunks([max(1, -(-len(t) // 95)) for dd, _, t in rows if dd == d])
         assert [got[d, i] for i in range(len(want))] == want
+
+
+def test_sheet_names(spark):
+    long = "x" * 40
+    rows = ["Data", "data", "a/b", " 'q' ", "", long, long, "x" * 27 + " (2)", "Data (2)", "???", "Data"]
+    frame = spark.createDataFrame([(1, i, n) for i, n in enumerate(rows)], "w int, i int, name string")
+    got = [r.unique_name for r in sheet_names(frame, ["w"], "name", ["i"]).orderBy("i").collect()]
+    assert got == ["Data", "data (2)", "a b", "q", "Sheet", "x" * 31, "x" * 27 + " (2)", "x" * 27 + " (3)", "Data (2) (2)",
+                   "Sheet (2)", "Data (3)"]
+
+
+def test_dashed_counters(spark):
+    frame = spark.createDataFrame([(1, i, n) for i, n in enumerate(["a.pdf", "A.pdf", "a.pdf", "b.pdf"])], "w int, i int, name string")
+    out = unique_names(frame, ["w"], "name", ["i"], F.floor(F.col("i") / 16), first=1, opening="-", closing="")
+    assert [r.unique_name for r in out.orderBy("i").collect()] == ["a.pdf", "A-1.pdf", "a-2.pdf", "b.pdf"]
