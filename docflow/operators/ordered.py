@@ -34,7 +34,8 @@ def running(
     ``block`` must never fall along ``order``. ``number`` counts rows from 1, ``total`` is
     the row count of the key, ``sums`` and ``maxes`` include the current row, ``lasts`` is
     the latest non-null value up to the current row, ``lags`` and ``leads`` are the
-    neighbours' values.
+    neighbours' values. Keys are not null. The input is read twice, so settle one that is
+    dear to compute.
     """
     sums, maxes, lasts = dict(sums or {}), maxes or {}, lasts or {}
     lags, leads = lags or {}, leads or {}
