@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import running
+from docflow.sources.placing import settle
 
 # Longest chain followed, bullets by level, Roman digits.
 CHAIN_LIMIT = 16
@@ -110,10 +111,12 @@ def outline_numbers(paragraphs: DataFrame, keys: Sequence[str], seq: str, block:
         counted, keys, [seq], block, sums={f"__c{k}": (level < k).cast("int") for k in range(1, levels)}
     )
     stretch = F.coalesce(*(F.when(level == k, F.col(f"__c{k}")) for k in range(1, levels)), F.lit(0))
-    placed = cuts.withColumn("__stretch", stretch).drop(*(f"__c{k}" for k in range(1, levels)))
+    # Each pass reads its input twice, so what one pass makes is settled for the next.
+    placed = settle(cuts.withColumn("__stretch", stretch).drop(*(f"__c{k}" for k in range(1, levels))))
     valued = running(placed, [*keys, "level", "__stretch"], [seq], block, number="__n").withColumn(
         "__value", (F.col("start") + F.col("__n") - 1).cast("int")
-    )
+    ).drop("__n", "__stretch")
+    valued = settle(valued.withColumn("__own", numeral(F.col("__value"), F.col("form"))))
     above = running(
         valued, keys, [seq], block,
         lasts={
@@ -122,7 +125,7 @@ def outline_numbers(paragraphs: DataFrame, keys: Sequence[str], seq: str, block:
         },
     )
     other = lambda k: F.when(level > k, F.coalesce(F.col(f"__v{k}")["v"], F.lit(1))).otherwise(1).cast("string")
-    own = numeral(F.col("__value"), F.col("form"))
+    own = F.col("__own")
 
     def fill(token: Column) -> Column:
         out = F.when(~token.rlike(r"^%\d$"), token)

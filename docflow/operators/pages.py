@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import first_rows, running
+from docflow.sources.placing import settle
 
 
 def plan_violations(plan: DataFrame, sources: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def plan_resolve(plan: DataFrame, sources: DataFrame, block: Column) -> DataFram
     """Pages of every plan that holds no violation, in plan order, rotation added."""
     joined = plan.join(sources, "source_id", "left")
     ok = (F.col("page_index") >= 0) & (F.col("page_index") < F.col("page_count"))
-    checked = joined.withColumn("__bad", F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1))
+    checked = settle(joined.withColumn("__bad", F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1)))
     rejected = checked.where("__bad = 1").select("plan_id").distinct()
     numbered = running(
         checked.join(rejected, "plan_id", "left_anti"), ["plan_id"], ["seq"], block, number="out_page"

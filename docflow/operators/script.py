@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import script as S
 from docflow.operators.ordered import running
+from docflow.sources.placing import settle
 
 SAMPLE_LENGTH = 4000
 
@@ -72,7 +73,7 @@ def sample_prefix(runs: DataFrame, doc: str, order: Sequence[str], group: str, l
     # Each group before this one added a space.
     ends = F.col("__next").isNull() | (F.col("__next") != F.col(group))
     counted = running(
-        spaced.withColumn("__ends", ends), [doc], order, F.floor(F.col(order[0]) / 256),
+        settle(spaced.withColumn("__ends", ends)), [doc], order, F.floor(F.col(order[0]) / 256),
         sums={"__spaces": F.col("__ends").cast("int")},
     )
     before = F.col("__upto") + F.col("__spaces") - F.length("text") - F.col("__ends").cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import wire
 from docflow.operators.ordered import running
+from docflow.sources.placing import settle
 
 DAY = 86400
 
@@ -77,9 +78,9 @@ def session_state(packets: DataFrame) -> DataFrame:
         F.col("__end").isNull() | (F.struct("ts", "seq") <= F.col("__end"))
     ).drop("__end")
     block = day_of("ts")
-    before = running(live, ["session"], ["ts", "seq"], block, lags={"__was": F.col("action") == "start"})
+    before = running(settle(live), ["session"], ["ts", "seq"], block, lags={"__was": F.col("action") == "start"})
     on = F.col("action") == "start"
-    changes = before.where(on != F.coalesce("__was", F.lit(False)))
+    changes = settle(before.where(on != F.coalesce("__was", F.lit(False))))
     paired = running(changes, ["session"], ["ts", "seq"], block, leads={"ended": F.col("ts")})
     return paired.where(on).select("session", F.col("ts").alias("started"), "ended")
 
