@@ -40,7 +40,9 @@ def parse_releases(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Release fields from JSON text; text that is no JSON object gives nulls."""
     is_object = F.col(column).rlike(r"^\s*\{")
     parsed = F.when(is_object, F.from_json(F.col(column), RELEASE_SCHEMA))
-    return raw.withColumn("release", parsed).withColumn("version", tag_version(F.col("release.tag_name")))
+    # As a generator the text is parsed once; filters on its fields would each parse it again.
+    rows = raw.select("*", F.explode_outer(F.array(parsed)).alias("release"))
+    return rows.withColumn("version", tag_version(F.col("release.tag_name")))
 
 
 def accept_releases(
