@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, each with its registered query."""
 
-from docflow.llm import exact, mixing, simhash  # noqa: F401
+from docflow.llm import bpe, exact, langid, mixing, simhash  # noqa: F401
 from docflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
