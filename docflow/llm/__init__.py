@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, each with its registered query."""
 
-from docflow.llm import bpe, crf, divergence, exact, langid, mixing, repeats, simhash  # noqa: F401
+from docflow.llm import bpe, crf, divergence, exact, langid, mixing, pii, repeats, simhash  # noqa: F401
 from docflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
