@@ -56,3 +56,8 @@ def words(text: Column) -> Column:
 def bucket(doc_id: Column, parts: int) -> Column:
     """The fold of a document: CRC-32 of its id as text. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def row_key(id_col: str) -> Column:
+    """An id as text that joins, null included."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.common import LOWER, UPPER, documents, lower_ascii, query, steady
+from docflow.llm.common import LOWER, UPPER, documents, lower_ascii, query, row_key, steady
 
 _TEXT = ["digest", "size", "check"]
 
@@ -59,13 +59,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Of rows that repeat an id and a text
     one stays."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(_key(F.col("doc_id")).alias("__key"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.select("*", _key(F.col(id_col)).alias("__key"), F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("__sha"))
-    return keyed.join(keep, ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"]).select(*docs.columns)
-
-
-def _key(doc_id):
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(row_key("doc_id").alias("key"), F.col("text_sha256").alias("sha")).distinct()
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"), sha.alias("sha"))
+    return keyed.join(keep, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("row.*")
 
 
 @query(

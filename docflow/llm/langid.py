@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import bucket, documents, query
+from docflow.llm.common import bucket, documents, query, row_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -188,9 +188,9 @@ def identify(
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents whose language is identified, with all their columns. Rows that share an id
     stay together when one of them is identified."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    rejected = identify(docs, id_col=id_col).groupBy(key(F.col("doc_id")).alias("__key")).agg(F.max(F.col("lang_pred") != "und").alias("known")).where("not known")
-    return docs.withColumn("__key", key(F.col(id_col))).join(rejected, "__key", "left_anti").select(*docs.columns)
+    known = identify(docs, id_col=id_col).groupBy(row_key("doc_id").alias("key")).agg(F.max(F.col("lang_pred") != "und").alias("known"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"))
+    return keyed.join(known.where("not known").select("key"), "key", "left_anti").select("row.*")
 
 
 @query("op10_language_id")

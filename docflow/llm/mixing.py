@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import WORD, documents, query, steady
+from docflow.llm.common import WORD, documents, query, row_key, steady
 
 _BLOCK_DIGITS = 3  # hexadecimal digits of the key that name a block: 4096 blocks per source
 
@@ -80,10 +80,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: all columns of the documents taken, each as often as it has epochs.
     Rows that share an id share the largest number of epochs among them."""
     id_col = options.get("id_col", "doc_id")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    times = mix(docs, **options).groupBy(key("doc_id").alias("__key")).agg(F.max("epochs").alias("__times")).where("__times > 0")
-    taken = docs.withColumn("__key", key(id_col)).join(times, "__key")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    times = mix(docs, **options).groupBy(row_key("doc_id").alias("key")).agg(F.max("epochs").alias("times")).where("times > 0")
+    taken = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key")).join(times, "key")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 @query(
