@@ -32,6 +32,7 @@ _WORD_START = rf"(?<![\p{{L}}\p{{Nd}}{APOSTROPHES}{_BMP}])"
 _SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Marks that live only between two passes; Unicode keeps them out of interchanged text.
 _SOFT, _CAPS, _PAD, _LINK = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_MARKS = _SOFT + _CAPS + _PAD + _LINK
 
 
 def script_counts(text: Column) -> tuple[Column, Column]:
@@ -133,12 +134,21 @@ def _around_links(text: Column, words, link=lambda kept: kept) -> Column:
     return F.when(suspicious, F.array_join(F.transform(pieces, convert), "")).otherwise(words(text))
 
 
+def _beside_marks(text: Column, convert) -> Column:
+    """Apply ``convert`` to the stretches between characters that serve as marks here, which
+    stay as they are. They are no letters, so nothing is spelled across them."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)[{_MARKS}]+|[^{_MARKS}]+"), F.lit(0))
+    done = F.transform(parts, lambda p: F.when(p.rlike(f"^[{_MARKS}]"), p).otherwise(convert(p)))
+    return F.when(text.rlike(f"[{_MARKS}]"), F.array_join(done, "")).otherwise(convert(text))
+
+
 def latin_to_cyrillic(text: Column) -> Column:
-    return _around_links(text, _latin_words_to_cyrillic)
+    return _beside_marks(text, lambda part: _around_links(part, _latin_words_to_cyrillic))
 
 
 def cyrillic_to_latin(text: Column, style: str = "ascii") -> Column:
-    return _around_links(text, lambda part: _spell_latin(_mark_cyrillic(part, style), style))
+    spelled = lambda part: _spell_latin(_mark_cyrillic(part, style), style)
+    return _beside_marks(text, lambda part: _around_links(part, spelled))
 
 
 def transliterate(text: Column, direction: Column, style: str = "ascii") -> Column:
@@ -151,14 +161,17 @@ def slice_converter(text: Column, direction: Column, style: str = "ascii"):
     """Convert a whole text once, then hand out the part that starts in [offset, offset+n).
 
     Returns the converted text in a form where every source position is still countable,
-    and a function from that form and a position to the finished slice.
+    and a function from that form and a position to the finished slice. Characters of the
+    source that serve as marks here travel behind a mark of their own.
     """
+    text = F.regexp_replace(text, f"([{_MARKS}])", _LINK + "$1")
     cyrillic = direction == CYR_TO_LAT
     units = F.regexp_extract_all(
-        _around_links(text, lambda part: _mark_cyrillic(part, style), lambda link: F.regexp_replace(link, r"(?s)(.)", _LINK + "$1")),
-        F.lit(rf"(?s)[{_SOFT}{_LINK}]?[^{_SOFT}{_LINK}{_CAPS}]{_CAPS}?"), F.lit(0),
+        _around_links(text, lambda part: _mark_cyrillic(part, style), lambda link: F.regexp_replace(link, rf"(?s){_LINK}?(.)", _LINK + "$1")),
+        F.lit(rf"(?s){_LINK}.|{_SOFT}?[^{_SOFT}{_LINK}{_CAPS}]{_CAPS}?"), F.lit(0),
     )
-    letters = F.split(_around_links(text, lambda part: _latin_words_to_cyrillic(part, _PAD)), "")
+    padded = _around_links(text, lambda part: _latin_words_to_cyrillic(part, _PAD))
+    letters = F.regexp_extract_all(padded, F.lit(rf"(?s){_LINK}.|."), F.lit(0))
     aligned = F.when(cyrillic, units).otherwise(letters)
 
     def finish(cells: Column, offset: Column, n: Column) -> Column:
@@ -166,9 +179,9 @@ def slice_converter(text: Column, direction: Column, style: str = "ascii"):
         parts = F.regexp_extract_all(joined, F.lit(rf"(?s)(?:{_LINK}.)+|[^{_LINK}]+"), F.lit(0))
         spelled = F.transform(
             parts,
-            lambda p: F.when(p.startswith(_LINK), F.replace(p, F.lit(_LINK), F.lit("")))
+            lambda p: F.when(p.startswith(_LINK), F.regexp_replace(p, f"(?s){_LINK}(.)", "$1"))
             .otherwise(_spell_latin(p, style)),
         )
-        return F.when(cyrillic, F.array_join(spelled, "")).otherwise(F.replace(joined, F.lit(_PAD), F.lit("")))
+        return F.when(cyrillic, F.array_join(spelled, "")).otherwise(F.regexp_replace(joined, f"(?s){_LINK}(.)|{_PAD}", "$1"))
 
     return aligned, finish

@@ -45,6 +45,12 @@ def little_endian(value: Column, size: int) -> Column:
     return F.unhex(F.concat(*(F.substring(hexed, size * 2 - 1 - 2 * i, 2) for i in range(size))))
 
 
+def utf8(data: Column) -> Column:
+    """Text of bytes. Bad sequences become replacement characters; a foreign packet stops
+    nothing."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def parse_beacon(payload: Column) -> Column:
     """Role, port and name of a beacon, null for anything else."""
     role, port, size = unsigned(payload, 4, 1), unsigned(payload, 5, 2), unsigned(payload, 7, 1)
@@ -56,7 +62,7 @@ def parse_beacon(payload: Column) -> Column:
         & (port != 0)
         & (F.length(payload) >= BEACON_HEADER + size)
     )
-    name = F.decode(F.substring(payload, F.lit(BEACON_HEADER + 1), size.cast("int")), "UTF-8")
+    name = utf8(F.substring(payload, F.lit(BEACON_HEADER + 1), size.cast("int")))
     # A name is cut at 64 characters.
     return F.when(
         valid, F.struct(role.cast("int").alias("role"), port.cast("int").alias("port"), F.left(name, F.lit(64)).alias("name"))
@@ -129,7 +135,7 @@ def parse_command(payload: Column, most: int = 1200) -> Column:
     """Kind and text of a remote command, null for an unknown or broken one."""
     kind, size = unsigned(payload, 0, 1), unsigned(payload, 2, 2)
     valid = (F.length(payload) >= 4) & (size <= most) & (F.length(payload) == size + 4) & kind.isin(1, 2)
-    text = F.decode(F.substring(payload, F.lit(5), size.cast("int")), "UTF-8")
+    text = utf8(F.substring(payload, F.lit(5), size.cast("int")))
     return F.when(
         valid, F.struct(F.when(kind == 1, "ShowMessage").otherwise("LockScreen").alias("kind"), F.when(kind == 1, text).alias("text"))
     )

@@ -71,9 +71,9 @@ def _smooth(cells: DataFrame, keys: Sequence[str], axis: str, length: int, value
 def gaussian_smooth(cells: DataFrame, keys: Sequence[str], value: str, width: int, height: int, radius: float) -> DataFrame:
     """Smooth along x and then y, clamped at the edges, back to 0..255."""
     weights = kernel(radius)
-    if not weights:
-        return cells
     place = [*keys, "x", "y"]
+    if not weights:
+        return cells.select(*place, F.col(value).cast("int").alias(value))
     floats = cells.select(*place, F.col(value).cast("double").alias(value))
     across = _smooth(floats, place, "x", width, value, weights)
     both = _smooth(across, place, "y", height, value, weights)

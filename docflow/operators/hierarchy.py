@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import running
-from docflow.sources.placing import settle
 
 # Longest chain followed, bullets by level, Roman digits.
 CHAIN_LIMIT = 16
@@ -21,15 +20,21 @@ ROMAN = (
 )
 
 
-def style_chain(styles: DataFrame, keys: Sequence[str], attrs: Sequence[str], default: DataFrame | None = None) -> DataFrame:
+def style_chain(
+    styles: DataFrame, keys: Sequence[str], attrs: Sequence[str], default: DataFrame | None = None, order: str | None = None
+) -> DataFrame:
     """Effective attributes of each style: the nearest value up its ``based_on`` chain.
 
     Chains double in length at each join, so sixteen steps take four joins whatever the
     depth. A chain ends before a style it has already met. ``default`` names one style per
-    key whose chain fills what is still missing.
+    key whose chain fills what is still missing. Of styles of one id, whatever their case,
+    the last by ``order`` counts (without one, the greatest by all columns).
     """
     keys = list(keys)
     low = lambda c: F.lower(F.col(c).cast("string"))
+    whole = F.struct("style_id", "based_on", *attrs)
+    last = F.max_by(whole, F.struct(*([order] if order else []), whole.alias("row")))
+    styles = styles.groupBy(*keys, low("style_id").alias("__low")).agg(last.alias("__s")).select(*keys, "__s.*")
     links = styles.select(*keys, low("style_id").alias("__id"), low("based_on").alias("__next"))
     known = links.select(*keys, F.col("__id").alias("__next"), F.lit(True).alias("__known"))
     paths = links.join(known, [*keys, "__next"], "left").select(
@@ -97,28 +102,27 @@ def numeral(value: Column, form: Column) -> Column:
     )
 
 
-def outline_numbers(paragraphs: DataFrame, keys: Sequence[str], seq: str, block: Column, levels: int = 9) -> DataFrame:
+def outline_numbers(paragraphs: DataFrame, keys: Sequence[str], seq: str, levels: int = 9) -> DataFrame:
     """Marker of each list paragraph.
 
     A level counts on from its start until a shallower paragraph comes, which is a row number
     within the stretch between two shallower ones. Stretches and the last value of each level
-    are running values, so a list of any length stays in pieces.
+    are running values of a document, so all passes share one shuffle.
     """
     keys = list(keys)
     form, level = F.lower("form"), F.col("level")
     counted = paragraphs.where(~form.isin("bullet", "none"))
     cuts = running(
-        counted, keys, [seq], block, sums={f"__c{k}": (level < k).cast("int") for k in range(1, levels)}
+        counted, keys, [seq], sums={f"__c{k}": (level < k).cast("int") for k in range(1, levels)}
     )
     stretch = F.coalesce(*(F.when(level == k, F.col(f"__c{k}")) for k in range(1, levels)), F.lit(0))
-    # Each pass reads its input twice, so what one pass makes is settled for the next.
-    placed = settle(cuts.withColumn("__stretch", stretch).drop(*(f"__c{k}" for k in range(1, levels))))
-    valued = running(placed, [*keys, "level", "__stretch"], [seq], block, number="__n").withColumn(
+    placed = cuts.withColumn("__stretch", stretch).drop(*(f"__c{k}" for k in range(1, levels)))
+    valued = running(placed, [*keys, "level", "__stretch"], [seq], number="__n").withColumn(
         "__value", (F.col("start") + F.col("__n") - 1).cast("int")
     ).drop("__n", "__stretch")
-    valued = settle(valued.withColumn("__own", numeral(F.col("__value"), F.col("form"))))
+    valued = valued.withColumn("__own", numeral(F.col("__value"), F.col("form")))
     above = running(
-        valued, keys, [seq], block,
+        valued, keys, [seq],
         lasts={
             f"__v{k}": F.when(level <= k, F.struct(F.when(level == k, F.col("__value")).alias("v")))
             for k in range(levels)

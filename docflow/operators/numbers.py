@@ -63,8 +63,8 @@ def positional_value(digits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         rows.groupBy(*keys)
         .agg(
-            F.sum(whole.cast("decimal(28,0)")).alias("integer"),
-            F.sum(part.cast("decimal(28,0)")).alias("numerator"),
+            F.sum(whole.cast("decimal(38,0)")).alias("integer"),
+            F.sum(part.cast("decimal(38,0)")).alias("numerator"),
             F.max(power(F.col("__depth"))).alias("denominator"),
         )
     )

@@ -1,8 +1,9 @@
 """Running values over long ordered groups.
 
-A plain window puts one key in one task. These helpers cut each key into blocks that follow
-the order, run the window inside the blocks, and carry one row per block across them, so a
-key that holds a third of the table is still spread over the cluster.
+A plain window takes one shuffle and puts one key in one task, which is right for keys of
+ordinary size. Where a key may hold a good part of the table, a caller names blocks of many
+rows that follow the order: the window runs inside the blocks, and one row per block is
+carried across them, so such a key is still spread over the cluster.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None = None,
     *,
     number: str | None = None,
     total: str | None = None,
@@ -31,14 +32,16 @@ def running(
 ) -> DataFrame:
     """Add running columns per ``keys`` in ``order``.
 
-    ``block`` must never fall along ``order``. ``number`` counts rows from 1, ``total`` is
+    Without ``block`` this is one window per key. A ``block`` must never fall along ``order``
+    and should hold thousands of rows. ``number`` counts rows from 1, ``total`` is
     the row count of the key, ``sums`` and ``maxes`` include the current row, ``lasts`` is
     the latest non-null value up to the current row, ``lags`` and ``leads`` are the
-    neighbours' values. Keys are not null. The input is read twice, so settle one that is
-    dear to compute.
+    neighbours' values. With blocks keys are not null and the input is read twice.
     """
     sums, maxes, lasts = dict(sums or {}), maxes or {}, lasts or {}
     lags, leads = lags or {}, leads or {}
+    if block is None:
+        return _plain(df, list(keys), order, number, total, sums, maxes, lasts, lags, leads)
     keys, position = list(keys), F.struct(*order)
     source = df.withColumn(_BLOCK, block)
 
@@ -92,6 +95,22 @@ def running(
     )
 
 
+def _plain(df, keys, order, number, total, sums, maxes, lasts, lags, leads) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    line = whole.orderBy(*order)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(
+        *df.columns,
+        *([F.row_number().over(line).cast("bigint").alias(number)] if number else []),
+        *([F.count(F.lit(1)).over(whole).alias(total)] if total else []),
+        *(F.sum(v).over(upto).alias(c) for c, v in sums.items()),
+        *(F.max(v).over(upto).alias(c) for c, v in maxes.items()),
+        *(F.last(v, ignorenulls=True).over(upto).alias(c) for c, v in lasts.items()),
+        *(F.lag(v).over(line).alias(c) for c, v in lags.items()),
+        *(F.lead(v).over(line).alias(c) for c, v in leads.items()),
+    )
+
+
 def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
     """The first row per key. An aggregate, so map-side combining thins a hot key."""
     named = [k if isinstance(k, Column) else F.col(k) for k in keys]

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import first_rows, running
-from docflow.sources.placing import settle
 
 
 def plan_violations(plan: DataFrame, sources: DataFrame) -> DataFrame:
@@ -21,15 +20,13 @@ def plan_violations(plan: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("plan_id", "seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def plan_resolve(plan: DataFrame, sources: DataFrame, block: Column) -> DataFrame:
-    """Pages of every plan that holds no violation, in plan order, rotation added."""
+def plan_resolve(plan: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pages of every plan that holds no violation, in plan order, rotation added. Rows of a
+    plan are together once, for its verdict and for its numbers."""
     joined = plan.join(sources, "source_id", "left")
     ok = (F.col("page_index") >= 0) & (F.col("page_index") < F.col("page_count"))
-    checked = settle(joined.withColumn("__bad", F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1)))
-    rejected = checked.where("__bad = 1").select("plan_id").distinct()
-    numbered = running(
-        checked.join(rejected, "plan_id", "left_anti"), ["plan_id"], ["seq"], block, number="out_page"
-    )
+    bad = F.max((~F.coalesce(ok, F.lit(False))).cast("int")).over(Window.partitionBy("plan_id"))
+    numbered = running(joined.withColumn("__bad", bad).where("__bad = 0"), ["plan_id"], ["seq"], number="out_page")
     return numbered.select(
         "plan_id", "out_page", "source_id", "page_index",
         F.pmod(F.col("base_rotation") + F.col("rotation"), F.lit(360)).alias("rotation"),
@@ -88,12 +85,13 @@ def parse_ranges(requests: DataFrame, keys: Sequence[str], expr: str, page_count
     return requests.select(*keys, F.posexplode(checked).alias("pos", "__p")).select(*keys, "pos", "__p.*")
 
 
-def range_pages(ranges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Pages of each range. Ranges meet their source by key and unfold into its pages, so
-    overlapping and repeated ranges keep all their rows and no pair is ever compared."""
-    bounded = ranges.join(sources.select("source_id", "page_count"), "source_id").where(
-        "first >= 1 AND first <= last AND last <= page_count"
-    )
+def range_pages(ranges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Pages of each range. Ranges unfold into pages, so overlapping and repeated ranges keep
+    all their rows and no pair is ever compared. ``sources`` bounds them by page count;
+    ranges that were parsed with one are bounded already."""
+    bounded = ranges.where("first >= 1 AND first <= last")
+    if sources is not None:
+        bounded = bounded.join(sources.select("source_id", "page_count"), "source_id").where("last <= page_count")
     return bounded.select(
         "source_id", "part_no", "first", "last", F.explode(F.sequence("first", "last")).alias("page_no")
     )
@@ -208,5 +206,5 @@ def compression_report(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reading_order(blocks: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Position of each block on its page, from the top and then from the left."""
     return running(
-        blocks, keys, ["top", "left", *ties], F.floor(F.col("top") / 64), number="position"
+        blocks, keys, ["top", "left", *ties], number="position"
     )

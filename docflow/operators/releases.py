@@ -74,10 +74,9 @@ def latest_release(accepted: DataFrame, keys: Sequence[str], tie: str) -> DataFr
 
 
 def is_throttled(status: Column, headers: Column) -> Column:
-    """Status 429, or 403 with no calls remaining."""
-    low = F.transform_keys(headers, lambda k, _: F.lower(k))
-    left = F.try_element_at(low, F.lit("x-ratelimit-remaining"))
-    return (status == 429) | ((status == 403) & F.coalesce(left == "0", F.lit(False)))
+    """Status 429, or 403 with no calls remaining under any spelling of the header."""
+    none = F.exists(F.map_entries(headers), lambda h: (F.lower(h["key"]) == "x-ratelimit-remaining") & (h["value"] == "0"))
+    return (status == 429) | ((status == 403) & F.coalesce(none, F.lit(False)))
 
 
 def throttle_rate(calls: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import script as S
@@ -94,27 +94,19 @@ def convert_runs(runs: DataFrame, keys: Sequence[str], seq: str, direction: str,
 
     A paragraph is one line of a document, so its runs fit one row.
     """
-    cells = F.sort_array(F.collect_list(F.struct(F.col(seq), F.col("text"))))
-    joined = runs.groupBy(*keys, direction).agg(cells.alias("__runs")).withColumn(
+    before = Window.partitionBy(*keys, direction).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    places = runs.withColumn("__at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), "text", F.col("__at").alias("at"), size.alias("n"))))
+    joined = places.groupBy(*keys, direction).agg(cells.alias("__runs")).withColumn(
         "__all", F.array_join(F.col("__runs.text"), "")
     )
     aligned, finish = S.slice_converter(F.col("__all"), F.col(direction), style)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,n:int,seq:{runs.schema[seq].dataType.simpleString()}>>").alias("out"))
-    spans = F.aggregate(
-        "__runs",
-        begin,
-        lambda acc, r: F.struct(
-            (acc["at"] + F.length(r["text"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.length(r["text"]).alias("n"), r[seq].alias("seq")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    # The text is converted before its runs become rows, once per paragraph.
-    converted = joined.select(*keys, direction, aligned.alias("__cells"), spans.alias("__spans"))
-    placed = converted.select(*keys, direction, "__cells", F.explode("__spans").alias("__r"))
-    return placed.select(
-        *keys, F.col("__r.seq").alias(seq), finish(F.col("__cells"), F.col("__r.at"), F.col("__r.n")).alias("text")
-    )
+    # The text is converted once per paragraph and cut there; only finished pieces become rows.
+    converted = joined.select(*keys, direction, aligned.alias("__cells"), "__runs")
+    piece = lambda r: F.struct(r["seq"].alias("seq"), finish(F.col("__cells"), r["at"], r["n"]).alias("text"))
+    rows = converted.select(*keys, F.explode(F.transform("__runs", piece)).alias("__r"))
+    return rows.select(*keys, F.col("__r.seq").alias(seq), F.col("__r.text").alias("text"))
 
 
 def segments_to_runs(segments: DataFrame, runs: DataFrame, keys: Sequence[str], block: int = 4096) -> DataFrame:

@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 from docflow.functions import wire
 from docflow.operators.ordered import running
-from docflow.sources.placing import settle
-
-DAY = 86400
-
-
-def day_of(ts: str) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / DAY)
-
 
 def _parsed(value: Column) -> Column:
     """Rows whose value is there, and no others. As a generator it parses once, where a
@@ -77,18 +69,17 @@ def session_state(packets: DataFrame) -> DataFrame:
     live = packets.join(closed, "session", "left").where(
         F.col("__end").isNull() | (F.struct("ts", "seq") <= F.col("__end"))
     ).drop("__end")
-    block = day_of("ts")
-    before = running(settle(live), ["session"], ["ts", "seq"], block, lags={"__was": F.col("action") == "start"})
+    before = running(live, ["session"], ["ts", "seq"], lags={"__was": F.col("action") == "start"})
     on = F.col("action") == "start"
-    changes = settle(before.where(on != F.coalesce("__was", F.lit(False))))
-    paired = running(changes, ["session"], ["ts", "seq"], block, leads={"ended": F.col("ts")})
+    changes = before.where(on != F.coalesce("__was", F.lit(False)))
+    paired = running(changes, ["session"], ["ts", "seq"], leads={"ended": F.col("ts")})
     return paired.where(on).select("session", F.col("ts").alias("started"), "ended")
 
 
 def active_duration(states: DataFrame, keys: Sequence[str], running_state: str = "recording") -> DataFrame:
     """Seconds spent in the running state, from each change to the next."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = running(states, keys, ["ts", "seq"], day_of("ts"), leads={"__next": at})
+    timed = running(states, keys, ["ts", "seq"], leads={"__next": at})
     spent = F.when(F.col("state") == running_state, F.col("__next") - at)
     return timed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("changes"),
@@ -152,7 +143,10 @@ class FrameBuffer:
                 break
             start += wire.FRAME_HEADER + size
             yield head[3], body, None
-        self.rest = bytearray() if self.broken else self.rest[start:]
+        if self.broken:
+            self.rest = bytearray()
+        elif start:  # what is unfinished stays where it is, so a long frame is not copied per chunk
+            del self.rest[:start]
 
 
 FRAME_SCHEMA = "session long, frame_no long, type int, payload binary, reason string"

@@ -47,9 +47,7 @@ def head_tail(lines: DataFrame, keys: Sequence[str], line_no: str, text: str, mo
     left = sizes.where(F.col("__n") > most).select(
         *keys, F.lit(head).alias(line_no), F.concat(F.lit("… "), F.col("__n") - head - tail, F.lit(" more")).alias(text)
     )
-    return kept.select(*keys, line_no, text).where(
-        (F.col("__n") <= most) | (F.col(line_no) < head) | (F.col(line_no) >= F.col("__n") - tail)
-    ).unionByName(left)
+    return kept.select(*keys, line_no, text).unionByName(left)
 
 
 def log_rollup(logs: DataFrame, line: str) -> DataFrame:

@@ -353,7 +353,8 @@ FROM c GROUP BY hour""")
 def throttle_rate(spark, sf):
     calls = table(spark, sf, "events").selectExpr(
         "ts", "CASE WHEN value > 60 THEN 429 WHEN event_type = 'error' THEN 403 ELSE 200 END AS status",
-        "CASE WHEN user_id % 3 = 0 THEN map('X-RateLimit-Remaining', '0') "
+        "CASE WHEN user_id % 6 = 0 THEN map('X-RateLimit-Remaining', '0', 'x-ratelimit-remaining', '7') "
+        "WHEN user_id % 3 = 0 THEN map('X-RateLimit-Remaining', '0') "
         "WHEN user_id % 3 = 1 THEN map('x-ratelimit-remaining', '5') ELSE map() END AS headers",
     )
     return releases.throttle_rate(calls, "ts")

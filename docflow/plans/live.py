@@ -123,7 +123,7 @@ SELECT session, frame_no, CASE WHEN reason IS NULL THEN type END AS type, CASE W
 FROM f WHERE bad IS NULL OR event_id <= bad""")
 def frame_reassembly(spark, sf):
     whole = ops.frame_reassembly(chunks(spark, sf))
-    return whole.withColumn("payload", F.decode("payload", "UTF-8"))
+    return whole.withColumn("payload", wire.utf8(F.col("payload")))
 
 
 @query("traffic_windows", f"""

@@ -15,7 +15,6 @@ SOURCES_SQL = (
     "FROM lineitem GROUP BY l_orderkey"
 )
 PAGES_SQL = t.derived_sql(t.LINE_PAGES, "lineitem")
-SEQ_BLOCK = "floor(seq / 1000000000000)"
 
 
 def plan(spark, sf):
@@ -81,7 +80,7 @@ j AS (SELECT p.*, page_count, base_rotation, bool_or(page_index < 0 OR page_inde
 SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY seq) AS out_page, source_id, page_index,
   ((base_rotation + rotation) % 360)::INTEGER AS rotation FROM j WHERE NOT bad""")
 def plan_resolve(spark, sf):
-    return ops.plan_resolve(plan(spark, sf), sources(spark, sf), F.expr(SEQ_BLOCK))
+    return ops.plan_resolve(plan(spark, sf), sources(spark, sf))
 
 
 @query("page_ranges", f"""
@@ -101,7 +100,7 @@ def _good_ranges(spark, sf):
 WITH {PARTS_SQL}
 SELECT source_id, pos + 1 AS part_no, unnest(range(a, b + 1))::INTEGER AS page_no FROM parsed WHERE reason IS NULL""")
 def range_pages(spark, sf):
-    return ops.range_pages(_good_ranges(spark, sf), sources(spark, sf)).select("source_id", "part_no", "page_no")
+    return ops.range_pages(_good_ranges(spark, sf)).select("source_id", "part_no", "page_no")
 
 
 @query("sink_split_parts", f"""
@@ -110,7 +109,7 @@ x AS (SELECT source_id, pos + 1 AS part_no, a, b, unnest(range(a, b + 1)) AS pag
 SELECT source_id, part_no, 'doc_' || source_id || '_' || a || CASE WHEN a = b THEN '' ELSE '-' || b END || '.pdf' AS part_name,
   count(*) AS pages FROM x GROUP BY ALL""")
 def sink_split_parts(spark, sf):
-    rows = ops.range_pages(_good_ranges(spark, sf), sources(spark, sf))
+    rows = ops.range_pages(_good_ranges(spark, sf))
     name = ops.part_name(F.concat(F.lit("doc:"), F.col("source_id").cast("string")), F.col("first"), F.col("last"))
     return rows.groupBy("source_id", "part_no", name.alias("part_name")).agg(F.count(F.lit(1)).alias("pages"))
 

@@ -62,7 +62,7 @@ SELECT list_id, seq, level, CASE level WHEN 0 THEN v || '.' WHEN 1 THEN coalesce
 UNION ALL SELECT list_id, seq, level, '▪' FROM p WHERE form = 'bullet'""")
 def outline_numbers(spark, sf):
     rows = t.derived(spark, sf, OUTLINE, "lineitem")
-    return H.outline_numbers(rows, ["list_id"], "seq", F.floor(F.col("seq") / 1000000000000), levels=4).select(
+    return H.outline_numbers(rows, ["list_id"], "seq", levels=4).select(
         "list_id", "seq", "level", "marker"
     )
 

@@ -14,8 +14,10 @@ ENTRY_SCHEMA = (
 
 
 def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = ()) -> DataFrame:
-    """Files directly in a folder, without their content, first spelling of each name."""
+    """Files directly in a folder, without their content. Of paths that differ in case only
+    the first in order stays."""
     files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length")
+    files = files.groupBy(F.lower("path").alias("low")).agg(F.min(F.struct("path", "modificationTime", "length")).alias("f")).select("f.*")
     if extensions:
         files = files.where(F.lower(F.regexp_extract("path", r"\.[^./\\]+$", 0)).isin([e.lower() for e in extensions]))
     return files
@@ -32,13 +34,20 @@ def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     data = F.col(content)
     head = lambda n: F.hex(F.substring(data, 1, n))
     rest = lambda n: F.substring(data, F.lit(n + 1), F.length(data))
+    # Bad sequences of UTF-8 behind a mark become replacement characters; UTF-16 that does not
+    # pair up has no text.
+    plain, high, low = "(?:[0-9A-CEF][0-9A-F]|D[0-7])", "D[89AB]", "D[C-F]"
+    paired = lambda data, unit, pair: F.hex(data).rlike(f"^(?:{unit}|{pair})*+$")
+    little = paired(rest(2), f"[0-9A-F]{{2}}{plain}", f"[0-9A-F]{{2}}{high}[0-9A-F]{{2}}{low}")
+    big = paired(rest(2), f"{plain}[0-9A-F]{{2}}", f"{high}[0-9A-F]{{2}}{low}[0-9A-F]{{2}}")
     text = (
-        F.when(head(3) == "EFBBBF", F.decode(rest(3), "UTF-8"))
-        .when(head(2) == "FFFE", F.decode(rest(2), "UTF-16LE"))
-        .when(head(2) == "FEFF", F.decode(rest(2), "UTF-16BE"))
+        F.when(head(3) == "EFBBBF", F.make_valid_utf8(rest(3).cast("string")))
+        .when(head(2) == "FFFE", F.when(little, F.decode(rest(2), "UTF-16LE")))
+        .when(head(2) == "FEFF", F.when(big, F.decode(rest(2), "UTF-16BE")))
         .otherwise(F.try_validate_utf8(data.cast("string")))
     )
-    return files.withColumn("text", text).withColumn("error", F.when(F.col("text").isNull(), "not_utf8"))
+    error = F.when(F.col("text").isNull(), F.when(head(2).isin("FFFE", "FEFF"), "not_utf16").otherwise("not_utf8"))
+    return files.withColumn("text", text).withColumn("error", error)
 
 
 def _entries(name: str, data: bytes):
@@ -53,7 +62,11 @@ def _entries(name: str, data: bytes):
     stream = io.BytesIO(data)
     if zipfile.is_zipfile(stream):
         for info in zipfile.ZipFile(stream).infolist():
-            yield info.filename, info.file_size, info.compress_size, datetime.datetime(*info.date_time), info.is_dir(), bool(info.flag_bits & 1)
+            try:
+                when = datetime.datetime(*info.date_time)
+            except ValueError:  # an entry may have no time
+                when = None
+            yield info.filename, info.file_size, info.compress_size, when, info.is_dir(), bool(info.flag_bits & 1)
         return
     stream.seek(0)
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder ``spark.checkpoint.dir`` names. A local session without one gets its own;
-    a cluster without one has none."""
+    """The folder ``spark.checkpoint.dir`` names. A session in one process gets its own where
+    none is set; a cluster without one has none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and spark.sparkContext.master.startswith("local"):
+    if not root and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         root = tempfile.mkdtemp(prefix="docflow-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/") if root else None
@@ -35,10 +36,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write a table that several steps read, and go on from the written copy, which a lost
-    executor cannot take away. Without a shared folder the lineage stays."""
+    executor cannot take away. A cluster that names no shared folder is an error, not a
+    slower run."""
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df
     path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
