@@ -34,8 +34,13 @@ def weighted_median(pairs: Column) -> Column:
 
 def breaks_to_slices(items: Column, breaks: Column) -> Column:
     """Cut an array at the given 0-based positions into an array of slices."""
-    edges = F.concat(F.array(F.lit(0)), breaks, F.array(F.size(items)))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(breaks) + 1),
-        lambda k: F.slice(items, F.get(edges, k - 1) + 1, F.get(edges, k) - F.get(edges, k - 1)),
-    )
+    # Both are bound to a name, so that they are worked out once and not once per slice.
+    known = F.array(F.struct(items.alias("i"), F.concat(F.array(F.lit(0)), breaks).alias("b")))
+
+    def cut(z: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(z["b"], k), F.size(z["i"]))
+        return F.transform(
+            F.sequence(F.lit(1), F.size(z["b"])), lambda k: F.slice(z["i"], F.get(z["b"], k - 1) + 1, end(k) - F.get(z["b"], k - 1))
+        )
+
+    return F.get(F.transform(known, cut), F.lit(0))

@@ -1,8 +1,9 @@
 """From positioned words to lines, tables and paragraphs.
 
-Words are grouped once. After that a line is one row that carries its words, so line rules
-are array expressions without a shuffle. A page has few lines however many words it holds:
-two lines lie at least half a point apart.
+Words are shuffled once, by page. A line then is one row that carries its words, and what
+follows (metrics, gaps, tables, paragraphs) groups lines by page or by less, which is where
+they already lie: no further shuffle, no second reading, no join of lines with themselves. A
+page has few lines however many words it holds: two lines lie at least half a point apart.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ WORD_FIELDS = ("right", "top", "bottom", "baseline", "font_size", "n_letters", "
 # A4 in points, and what a page without usable words is measured with.
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
 DEFAULT_FONT_SIZE, DEFAULT_GAP = 11.0, 2.0
-_LEVEL = 8.0
 
 
 def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50) -> DataFrame:
@@ -86,20 +86,16 @@ def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
         words.where((F.col("n_letters") > 0) & F.col("text").rlike(rf"[^{SPACE}]"))
         .withColumn("__c", (F.col("bottom") + F.col("top")) / 2)
         .withColumn("__h", F.when(height > 0, height).otherwise(10.0))
-        .withColumn("__level", F.floor(-F.col("__c") / _LEVEL))
     )
-    levels = usable.groupBy(*page, "__level").agg(
-        F.min("__c").alias("__low"), F.max("__c").alias("__high"), F.max("__h").alias("__tall")
-    )
-    down = Window.partitionBy(*page).orderBy("__level")
-    tallest = F.max("__tall").over(Window.partitionBy(*page))
-    apart = F.lag("__low").over(down) - F.col("__high") > 0.5 * F.greatest(F.lit(1.0), tallest)
-    islands = levels.withColumn("__cut", F.when(apart, 1).otherwise(0)).select(
-        *page, "__level", F.sum("__cut").over(down).alias("__island")
+    down = Window.partitionBy(*page).orderBy((-F.col("__c")), "left", "word_no")
+    tallest = F.max("__h").over(Window.partitionBy(*page))
+    apart = F.lag("__c").over(down) - F.col("__c") > 0.5 * F.greatest(F.lit(1.0), tallest)
+    islands = usable.withColumn("__cut", F.when(apart, 1).otherwise(0)).withColumn(
+        "__island", F.sum("__cut").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     word = F.struct("left", (-F.col("__c")).alias("down"), "word_no", F.col("__h").alias("h"), *WORD_FIELDS)
     touching = (
-        usable.join(islands, [*page, "__level"])
+        islands
         .groupBy(*page, "__island")
         .agg(
             F.sort_array(F.collect_list(word)).alias("__words"),
@@ -131,13 +127,14 @@ def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     order_as = lambda ws, *first: F.sort_array(
         F.transform(ws, lambda w: F.struct(*(w[f].alias(f) for f in (*first, "word_no", "h", *WORD_FIELDS))))
     )
-    downward = order_as(F.col("__words"), "down", "left")
-    breaks = F.aggregate(downward, start, step, lambda acc: acc["breaks"])
-    walked = F.transform(breaks_to_slices(downward, breaks), lambda ws: order_as(ws, "left", "down"))
     # Words that all lie within the least tolerance are one line, and need no walk.
     level = F.col("__range") <= 0.5 * F.greatest(F.lit(1.0), F.col("__low"))
-    lines = touching.select(
-        *page, "__island", F.posexplode(F.when(level, F.array("__words")).otherwise(walked)).alias("__local", "words")
+    sorted_down = touching.select(*page, "__island", "__words", F.when(~level, order_as(F.col("__words"), "down", "left")).alias("__down"))
+    breaks = F.aggregate("__down", start, step, lambda acc: acc["breaks"])
+    walked = F.transform(breaks_to_slices(F.col("__down"), breaks), lambda ws: order_as(ws, "left", "down"))
+    lines = sorted_down.select(
+        *page, "__island",
+        F.posexplode(F.when(F.col("__down").isNull(), F.array("__words")).otherwise(walked)).alias("__local", "words"),
     )
     order = Window.partitionBy(*page).orderBy("__island", "__local")
     return lines.select(*page, F.row_number().over(order).alias("line_no"), "words")
@@ -172,34 +169,52 @@ def word_gaps(words: Column) -> Column:
     )
 
 
-def page_metrics(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
-    """Body size, margins and usual word gap per page. Equal values are counted before the
-    medians are taken, so what meets in one group is distinct values."""
+def _measured(lines: DataFrame, page: Sequence[str], carry: bool) -> DataFrame:
+    """One row per page with its metrics, and with its lines as ``__lines`` if they are carried.
+    Equal values of a line are counted before the medians are taken."""
     page = list(page)
-    one = lambda kind, v, n: F.struct(F.lit(kind).alias("kind"), v.alias("v"), n.cast("bigint").alias("n"))
-    sizes = F.transform("words", lambda w: one("size", w["font_size"], w["n_letters"]))
-    gaps = F.transform(word_gaps(F.col("words")), lambda g: one("gap", g, F.lit(1)))
-    values = (
-        lines.select(*page, F.explode(F.concat(sizes, gaps)).alias("x"))
-        .select(*page, "x.kind", "x.v", "x.n")
-        .where("v > 0 AND NOT isnan(v) AND (kind = 'size' OR v < 100)")
-        .groupBy(*page, "kind", "v")
-        .agg(F.sum("n").alias("n"))
-    )
-    only = lambda kind: F.percentile(F.when(F.col("kind") == kind, F.col("v")), 0.5, F.col("n"))
-    medians = values.groupBy(*page).agg(only("size").alias("__size"), only("gap").alias("__gap"))
-    boxes = lines.groupBy(*page).agg(
-        F.min("left").alias("min_left"), F.max("right").alias("max_right"), F.max("top").alias("max_top")
+    pair = lambda v, n: F.struct(v.alias("v"), n.cast("bigint").alias("n"))
+    usable = lambda x: (x["v"] > 0) & ~F.isnan(x["v"])
+    sizes = F.filter(F.transform("words", lambda w: pair(w["font_size"], w["n_letters"])), usable)
+    gaps = F.filter(F.transform(word_gaps(F.col("words")), lambda g: pair(g, F.lit(1))), lambda x: usable(x) & (x["v"] < 100))
+
+    def counted(pairs: str) -> Column:
+        v, n = F.col(f"{pairs}.v"), F.aggregate(f"{pairs}.n", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return F.when(F.array_min(v) == F.array_max(v), F.array(pair(F.array_min(v), n))).otherwise(F.col(pairs))
+
+    rest = [c for c in lines.columns if c not in page]
+    gathered = (
+        lines.withColumns({"__s": sizes, "__g": gaps})
+        .groupBy(*page)
+        .agg(
+            F.flatten(F.collect_list(counted("__s"))).alias("__s"), F.flatten(F.collect_list(counted("__g"))).alias("__g"),
+            F.min("left").alias("min_left"), F.max("right").alias("max_right"), F.max("top").alias("max_top"),
+            *([F.collect_list(F.struct(*rest)).alias("__lines")] if carry else []),
+        )
     )
-    return boxes.join(medians, page, "left").select(
+    return gathered.select(
         *page,
-        F.coalesce("__size", F.lit(DEFAULT_FONT_SIZE)).alias("body_size"),
+        F.coalesce(weighted_median(F.col("__s")), F.lit(DEFAULT_FONT_SIZE)).alias("body_size"),
         "min_left", "max_right", "max_top",
-        F.coalesce("__gap", F.lit(DEFAULT_GAP)).alias("median_gap"),
+        F.coalesce(weighted_median(F.col("__g")), F.lit(DEFAULT_GAP)).alias("median_gap"),
+        *(["__lines"] if carry else []),
     )
 
 
-def column_gaps(lines: DataFrame, metrics: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+def page_metrics(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+    """Body size, margins and usual word gap per page."""
+    return _measured(lines, page, carry=False)
+
+
+def with_metrics(lines: DataFrame, metrics: DataFrame | None = None, page: Sequence[str] = PAGE) -> DataFrame:
+    """Lines with the metrics of their page: given ones by key, else measured in passing."""
+    if metrics is not None:
+        return lines.join(metrics, list(page))
+    pages = _measured(lines, page, carry=True).withColumn("__line", F.explode("__lines"))
+    return pages.select(*page, "__line.*", "body_size", "min_left", "max_right", "max_top", "median_gap")
+
+
+def column_gaps(lines: DataFrame, metrics: DataFrame | None = None, page: Sequence[str] = PAGE) -> DataFrame:
     """Left edges of the words that follow a wide gap, as an array per line."""
     threshold = F.greatest(2.5 * F.col("median_gap"), F.lit(4.0), 0.9 * F.col("body_size"))
     none = F.array().cast("array<double>")
@@ -218,7 +233,7 @@ def column_gaps(lines: DataFrame, metrics: DataFrame, page: Sequence[str] = PAGE
             lambda acc: acc["gaps"],
         )
 
-    return lines.join(metrics, list(page)).withColumn("gaps", gaps(threshold))
+    return with_metrics(lines, metrics, page).withColumn("gaps", gaps(threshold))
 
 
 def detect_tables(gapped: DataFrame, page: Sequence[str] = PAGE, near: float = 5.0) -> DataFrame:
@@ -233,11 +248,7 @@ def detect_tables(gapped: DataFrame, page: Sequence[str] = PAGE, near: float = 5
     count = F.size("gaps")
     cut = F.when((count == 0) | (F.lag(count).over(order) != count), 1).otherwise(0)
     stretches = gapped.withColumn("__cut", cut).withColumn("__stretch", F.sum("__cut").over(order))
-    walked = (
-        stretches.where(count > 0)
-        .groupBy(*page, "__stretch")
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", "gaps"))).alias("__lines"))
-    )
+    walked = _stretches(stretches, gapped, page)
     start = F.struct(
         F.lit(0).alias("i"), F.array().cast("array<double>").alias("anchor"), F.array().cast("array<int>").alias("breaks")
     )
@@ -251,37 +262,48 @@ def detect_tables(gapped: DataFrame, page: Sequence[str] = PAGE, near: float = 5
             F.when(~first & far, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"]).alias("breaks"),
         )
 
-    runs = walked.select(
-        *page,
-        F.explode(
-            breaks_to_slices(F.col("__lines"), F.aggregate("__lines", start, step, lambda acc: acc["breaks"]))
-        ).alias("__run"),
-    ).where(F.size("__run") >= 2)
-    first = F.get("__run", F.lit(0))["line_no"]
-    numbered = runs.withColumn("table_no", F.row_number().over(Window.partitionBy(*page).orderBy(first))).select(
-        *page, "table_no", F.posexplode("__run.line_no").alias("__at", "line_no")
+    lines = _runs(walked, F.aggregate("__lines", start, step, lambda acc: acc["breaks"]), page)
+    tabular = (F.col("__size") >= 2) & (count > 0)
+    begins = F.when(tabular & (F.col("__at") == 0), 1).otherwise(0)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("__table", F.sum(begins).over(upto)).select(
+        *gapped.columns, F.when(tabular, F.col("__table")).cast("int").alias("table_no"), F.when(tabular, F.col("__at") + 1).alias("row_no")
     )
-    return gapped.join(
-        numbered.select(*page, "line_no", "table_no", (F.col("__at") + 1).alias("row_no")), [*page, "line_no"], "left"
+
+
+def _stretches(marked: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
+    """One row per stretch of lines, with all that the lines hold, in order."""
+    rest = [c for c in lines.columns if c not in (*page, "line_no")]
+    more = [c for c in marked.columns if c not in (*lines.columns, "__cut", "__stretch")]
+    line = F.struct("line_no", *more, *rest)
+    return marked.groupBy(*page, "__stretch").agg(F.sort_array(F.collect_list(line)).alias("__lines"))
+
+
+def _runs(stretches: DataFrame, breaks: Column, page: list[str]) -> DataFrame:
+    """Lines again, with their place in the run that ``breaks`` cut and the run's size."""
+    runs = stretches.select(*page, F.explode(breaks_to_slices(F.col("__lines"), breaks)).alias("__run"))
+    placed = runs.select(*page, F.size("__run").alias("__size"), F.posexplode("__run").alias("__at", "__line"))
+    return placed.select(*page, "__line.*", "__size", "__at")
+
+
+def _edged(tabled: DataFrame, page: Sequence[str], *carried: str) -> DataFrame:
+    """One row per table with the edges of its columns, and with ``carried`` of its lines."""
+    table = [*page, "table_no"]
+    tables = tabled.where("table_no IS NOT NULL").groupBy(*table).agg(
+        F.min("left").alias("__left"), F.max("right").alias("__right"),
+        F.sort_array(F.collect_list(F.struct("row_no", "gaps", *carried))).alias("__lines"),
     )
+    # Lines of a table have equally many gaps.
+    mean = lambda i: F.aggregate("__lines", F.lit(0.0), lambda acc, x: acc + F.get(x["gaps"], i)) / F.size("__lines")
+    inner = F.transform(F.sequence(F.lit(0), F.size(F.get("__lines", F.lit(0))["gaps"]) - 1), mean)
+    edges = F.concat(F.array(F.col("__left") - 1), F.transform(inner, lambda x: x - 2), F.array(F.col("__right") + 1))
+    return tables.select(*table, edges.alias("edges"), "__lines")
 
 
 def column_edges(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Edges and relative widths of each table's columns."""
     table = [*page, "table_no"]
-    lines = tabled.where("table_no IS NOT NULL")
-    boxes = lines.groupBy(*table).agg(F.min("left").alias("__left"), F.max("right").alias("__right"))
-    inner = (
-        lines.select(*table, F.posexplode("gaps").alias("__i", "__x"))
-        .groupBy(*table, "__i")
-        .agg(F.avg("__x").alias("__x"))
-        .groupBy(*table)
-        .agg(F.sort_array(F.collect_list(F.struct("__i", "__x"))).alias("__inner"))
-    )
-    edges = F.concat(
-        F.array(F.col("__left") - 1), F.transform("__inner", lambda e: e["__x"] - 2), F.array(F.col("__right") + 1)
-    )
-    columns = boxes.join(inner, table).select(*table, edges.alias("edges"))
+    columns = _edged(tabled, page).drop("__lines")
     raw = F.transform(
         F.sequence(F.lit(1), F.size("edges") - 1),
         lambda k: F.greatest(F.lit(1.0), F.get("edges", k) - F.get("edges", k - 1)),
@@ -297,13 +319,15 @@ def column_edges(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     )
 
 
-def words_to_columns(tabled: DataFrame, edges: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+def words_to_columns(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Cells of every table: a word belongs to the column its middle falls into.
 
-    A table's edges meet its lines by key, and the band test runs inside the row.
+    A table's lines meet once, for its edges, and the band test runs inside each row.
     """
     table = [*page, "table_no"]
-    joined = tabled.where("table_no IS NOT NULL").join(edges.select(*table, "edges"), table)
+    joined = _edged(tabled, page, "words", "is_bold").withColumn("__line", F.explode("__lines")).select(
+        *table, "edges", "__line.row_no", "__line.words", "__line.is_bold"
+    )
 
     def cell(k: Column) -> Column:
         inside = F.filter(
@@ -318,7 +342,9 @@ def words_to_columns(tabled: DataFrame, edges: DataFrame, page: Sequence[str] =
     ).select(*table, "row_no", (F.col("__c") + 1).alias("col_no"), "text", "is_header")
 
 
-def classify_lines(lines: DataFrame, metrics: DataFrame, page: Sequence[str] = PAGE, headings: bool = True) -> DataFrame:
+def classify_lines(
+    lines: DataFrame, metrics: DataFrame | None = None, page: Sequence[str] = PAGE, headings: bool = True
+) -> DataFrame:
     """ListItem, Heading1-3 or Paragraph for each line."""
     ratio = F.col("font_size") / F.col("body_size")
     heading = (
@@ -331,7 +357,7 @@ def classify_lines(lines: DataFrame, metrics: DataFrame, page: Sequence[str] = P
     kind = F.when(is_list_item(F.col("text")), "ListItem").otherwise(
         F.when(F.col("body_size") > 0, heading).otherwise("Paragraph") if headings else F.lit("Paragraph")
     )
-    return lines.join(metrics, list(page)).withColumn("kind", kind)
+    return with_metrics(lines, metrics, page).withColumn("kind", kind)
 
 
 def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
@@ -351,10 +377,7 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
         | (F.col("kind") == "ListItem") | (gap <= 0) | (gap > tall * 1.6)
     )
     marked = classified.withColumn("__cut", F.when(cut | in_table, 1).otherwise(0)).withColumn("__tall", tall)
-    stretches = marked.withColumn("__stretch", F.sum("__cut").over(order)).where(~in_table)
-    walked = stretches.groupBy(*page, "__stretch").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "left", F.col("__tall").alias("tall")))).alias("__lines")
-    )
+    walked = _stretches(marked.withColumn("__stretch", F.sum("__cut").over(order)), classified, page)
     start = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("count"), F.lit(0.0).alias("second"), F.lit(0.0).alias("previous"),
         F.array().cast("array<int>").alias("breaks"),
@@ -362,9 +385,9 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
 
     def step(acc: Column, line: Column) -> Column:
         body = F.when(acc["count"] >= 2, acc["second"]).otherwise(acc["previous"])
-        aligned = F.abs(line["left"] - body) <= F.greatest(F.lit(8.0), line["tall"] * 1.2)
+        aligned = F.abs(line["left"] - body) <= F.greatest(F.lit(8.0), line["__tall"] * 1.2)
         indented = (
-            (acc["count"] == 1) & (line["left"] < acc["previous"]) & (acc["previous"] - line["left"] <= line["tall"] * 3)
+            (acc["count"] == 1) & (line["left"] < acc["previous"]) & (acc["previous"] - line["left"] <= line["__tall"] * 3)
         )
         stays = (acc["i"] > 0) & (aligned | indented)
         count = F.when(stays, acc["count"] + 1).otherwise(1)
@@ -376,17 +399,12 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
             F.when(stays | (acc["i"] == 0), acc["breaks"]).otherwise(F.concat(acc["breaks"], F.array(acc["i"]))).alias("breaks"),
         )
 
-    groups = walked.select(
-        *page,
-        F.explode(
-            breaks_to_slices(F.col("__lines"), F.aggregate("__lines", start, step, lambda acc: acc["breaks"]))
-        ).alias("__g"),
-    )
-    first = F.get("__g", F.lit(0))["line_no"]
-    numbered = groups.withColumn("para_no", F.row_number().over(Window.partitionBy(*page).orderBy(first))).select(
-        *page, "para_no", F.explode("__g.line_no").alias("line_no")
+    lines = _runs(walked, F.aggregate("__lines", start, step, lambda acc: acc["breaks"]), page)
+    begins = F.when(~in_table & (F.col("__at") == 0), 1).otherwise(0)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("__para", F.sum(begins).over(upto)).select(
+        *classified.columns, F.when(~in_table, F.col("__para")).cast("int").alias("para_no")
     )
-    return classified.join(numbered, [*page, "line_no"], "left")
 
 
 def alignment(left: Column, right: Column, width: float = PAGE_WIDTH) -> Column:

@@ -8,7 +8,7 @@ from docflow.operators import layout as L
 from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
 from docflow.plans.values import LINES_SQL, doc_lines
-from docflow.sources.placing import settle, spread
+from docflow.sources.placing import spread
 
 # ---- words of the documents -----------------------------------------------------------
 
@@ -50,11 +50,11 @@ def raw_words(spark, sf):
 def words(spark, sf):
     shift = F.when(F.col("line_no") % 5 == 3, 20.0).otherwise(0.0)
     off = (F.col("word_no") % 3) * 0.5
-    return settle(raw_words(spark, sf).select(
+    return raw_words(spark, sf).select(
         "doc_id", "page_no", "word_no", "text", (F.col("left") + shift).alias("left"), (F.col("right") + shift).alias("right"),
         (F.col("top") + off).alias("top"), (F.col("bottom") + off).alias("bottom"), "baseline", "font_size", "n_letters",
         F.when(F.col("line_no") % 7 == 3, F.col("n_letters")).otherwise(0).alias("n_bold"),
-    ))
+    )
 
 
 def lines(spark, sf):
@@ -81,7 +81,7 @@ def line_stats(spark, sf):
 
 @query("page_metrics", f"WITH {METRICS_SQL} SELECT * FROM m")
 def page_metrics(spark, sf):
-    return L.page_metrics(settle(lines(spark, sf)))
+    return L.page_metrics(lines(spark, sf))
 
 
 KIND_SQL = METRICS_SQL + """,
@@ -92,8 +92,7 @@ k AS (SELECT l.*, m.min_left, m.max_right, CASE WHEN regexp_matches(text, '^\\s*
 
 
 def classified(spark, sf):
-    built = settle(lines(spark, sf))
-    return L.classify_lines(built, L.page_metrics(built))
+    return L.classify_lines(lines(spark, sf))
 
 
 @query("classify_lines", f"WITH {KIND_SQL} SELECT doc_id, page_no, line_no, kind FROM k")
@@ -195,12 +194,11 @@ def table_words(spark, sf):
         (F.col("w.left") + 6.0 * F.length("w.text")).alias("right"), (bottom + 10).alias("top"), bottom.alias("bottom"),
         bottom.alias("baseline"), F.lit(11.0).alias("font_size"), F.length("w.text").alias("n_letters"), F.lit(0).alias("n_bold"),
     )
-    return settle(placed)
+    return placed
 
 
 def gapped(spark, sf):
-    built = settle(L.line_stats(L.build_lines(table_words(spark, sf))))
-    return L.column_gaps(built, L.page_metrics(built))
+    return L.column_gaps(L.line_stats(L.build_lines(table_words(spark, sf))))
 
 
 def tabled(spark, sf):
@@ -248,7 +246,7 @@ WITH RECURSIVE {EDGES_SQL}
 SELECT doc_id, 1 AS page_no, table_no, unnest(range(1, len(e)))::INTEGER AS col_no, round_even(unnest(e[1:len(e)-1]), 6) AS edge_lo, round_even(unnest(e[2:]), 6) AS edge_hi,
   round_even(unnest(list_transform(wide, lambda v: v / list_sum(wide))), 6) AS width FROM fl""")
 def column_edges(spark, sf):
-    edges = L.column_edges(settle(tabled(spark, sf)))
+    edges = L.column_edges(tabled(spark, sf))
     pairs = F.arrays_zip(F.slice("edges", F.lit(1), F.size("edges") - 1).alias("lo"), F.slice("edges", F.lit(2), F.size("edges")).alias("hi"), F.col("widths").alias("w"))
     return edges.select("doc_id", "page_no", "table_no", F.posexplode(pairs).alias("i", "z")).select(
         "doc_id", "page_no", "table_no", (F.col("i") + 1).alias("col_no"), F.bround("z.lo", 6).alias("edge_lo"),
@@ -261,8 +259,7 @@ ce AS (SELECT doc_id, 1 AS page_no, table_no, row_no, (c + 1)::INTEGER AS col_no
 
 
 def cells(spark, sf):
-    found = settle(tabled(spark, sf))
-    return L.words_to_columns(found, L.column_edges(found))
+    return L.words_to_columns(tabled(spark, sf))
 
 
 @query("words_to_columns", f"WITH RECURSIVE {CELLS_SQL} SELECT * FROM ce")
