@@ -52,8 +52,7 @@ class Codec:
         import regex
 
         vocab, end = spec["vocab"], spec["end"]
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in spec["special"].items()}
-        self.special = spec["special"]
+        self.special = {t: np.int32(i).tobytes() for t, i in spec["special"].items()}
         letters = byte_letters()
         self.inner = np.array([vocab.get(c, -1) for c in letters], dtype=np.int64)
         self.last = np.array([vocab.get(c + end, -1) for c in letters], dtype=np.int64)
@@ -69,17 +68,18 @@ class Codec:
             self.made[rank] = token
         self.pairs = pairs
         self.cut = regex.compile(_PIECE)
-        self.blank = regex.compile(r"\s+")
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[str, bytes] = {}  # ids of a word, four bytes each
 
     def normal(self, text: str) -> str:
-        """NFC, runs of white space to one space, lower case letter by letter."""
+        """NFC and lower case letter by letter. White space only parts words, so its runs may
+        stay as they are."""
         import unicodedata
 
+        if text.isascii():
+            return text.lower()
         # Lower case that looks at neighbours exists for one letter only, the sigma.
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        return self.blank.sub(" ", text).replace("Σ", "σ").lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pair_ranks(self, left, right):
         """Ranks of pairs of symbols, ``_NONE`` where no merge exists."""
@@ -193,20 +193,21 @@ class Codec:
                 symbols[:, -1] = self.last[raw[:, -1]]
                 if n > _VECTOR_LIMIT:
                     for (word, _), row in zip(some, symbols.tolist()):
-                        self.cache[word] = tuple(s for s in self.merge_long(row) if s >= 0)
+                        self.cache[word] = np.array([s for s in self.merge_long(row) if s >= 0], dtype="<i4").tobytes()
                     continue
                 symbols, alive = self.merge_words(symbols)
                 alive &= symbols >= 0
-                flat, ends = symbols[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+                flat, ends = symbols[alive].astype("<i4").tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
                 begin = 0
                 for (word, _), stop in zip(some, ends):
-                    self.cache[word] = tuple(flat[begin:stop])
+                    self.cache[word] = flat[begin:stop]
                     begin = stop
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of whole texts. Special tokens in a text are found before anything else."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of whole texts, packed in four bytes each. Special tokens in a text are
+        found before anything else."""
         cut, special = self.cut, self.special
-        pieces = []  # per text: a list of words, or the id of a special token
+        pieces = []  # per text: lists of words, and packed ids of special tokens
         for text in texts:
             parts = self.mark.split(text) if self.mark and any(s in text for s in special) else [text]
             pieces.append([special[p] if p in special else cut.findall(self.normal(p)) for p in parts])
@@ -215,24 +216,51 @@ class Codec:
         lists = [p for parts in pieces for p in parts if isinstance(p, list)]
         self.learn(set(chain.from_iterable(lists)).difference(self.cache))
         known = self.cache.__getitem__
-        out = []
-        for parts in pieces:
-            ids: list[int] = []
-            for part in parts:
-                if isinstance(part, list):
-                    ids.extend(chain.from_iterable(map(known, part)))
-                else:
-                    ids.append(part)
-            out.append(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by one space: the file has no decoder that would join words."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
-
-
-def _groups(texts, most: int = 4_000_000):
+        return [b"".join([b"".join(map(known, p)) if isinstance(p, list) else p for p in parts]) for parts in pieces]
+
+
+class Names:
+    """Decodes: tokens joined by one space, as the file has no decoder that would join words.
+    Ids outside the vocabulary are left out."""
+
+    def __init__(self, spec: dict):
+        import pyarrow as pa
+
+        names = {i: t for t, i in spec["vocab"].items()} | {i: t for t, i in spec["special"].items()}
+        self.table = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
+    def decode(self, ids):
+        """Texts of an array of lists of ids; a null list gives empty text."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        there = (flat >= 0) & (flat < len(self.table))
+        tokens = self.table.take(pa.array(np.where(there, flat, 0), pa.int32(), mask=~there))
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(starts, _plain(tokens)), " ") if there.all() else None
+        if joined is None:  # rare: leave out what has no name, list by list
+            lists = pa.ListArray.from_arrays(starts, tokens).to_pylist()
+            joined = pa.array([" ".join(t for t in some if t is not None) for some in lists], pa.string())
+        return joined
+
+
+def _plain(tokens):
+    return tokens.combine_chunks() if hasattr(tokens, "combine_chunks") else tokens
+
+
+def _lists(packed: list[bytes]):
+    """Packed ids as an array of lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32()))
+
+
+def _groups(texts, most: int = 2_000_000):
     """Runs of texts of bounded length together, so that a batch of long texts is no batch."""
     group, size = [], 0
     for text in texts:
@@ -254,29 +282,35 @@ def _spread_spec(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(load(path))
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: the token ids of every whole text, null as empty text, without added
-    special tokens.
-
-    ``path`` names the vocabulary file; it is read on the driver and sent to the tasks. Empty
-    texts have no ids. Repeated rows come out as often as they come in, an empty table gives
-    no rows, further columns of the input are not read.
-    """
+def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     spec = _spread_spec(docs.sparkSession, path)
 
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(spec.value)
+        codec, names = Codec(spec.value), Names(spec.value)
         for batch in batches:
             done = 0
             for group in _groups(batch.column(1)):
-                ids = pa.array(codec.encode(group), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), ids], ["doc_id", "ids"])
+                ids = _lists(codec.encode(group))
+                columns = [batch.column(0).slice(done, len(group)), ids] + ([names.decode(ids)] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
                 done += len(group)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return rows.mapInArrow(run, schema + ", decoded string" * decoded)
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids``: the token ids of every whole text, null as empty text, without added
+    special tokens.
+
+    ``path`` names the vocabulary file; it is read on the driver and sent to the tasks. Empty
+    texts have no ids. Repeated rows come out as often as they come in, an empty table gives
+    no rows, further columns of the input are not read.
+    """
+    return _encoded(docs, path, id_col, text_col, decoded=False)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,18 +321,18 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(spec.value)
+        names = Names(spec.value)
         for batch in batches:
-            texts = pa.array([codec.decode(x.as_py() or []) for x in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names.decode(batch.column(1))], ["doc_id", "ids", "decoded"])
 
     rows = tokens.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path), path).select(
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are decoded where they
+    are made, so a task holds one vocabulary."""
+    return _encoded(docs, path, id_col, text_col, decoded=True).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
