@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docflow.llm.common import documents, query, steady
+from docflow.llm.common import documents, query, row_key, steady
 from docflow.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,6 +23,8 @@ def _signed(mask: int) -> int:
 
 
 _ONE = [_signed(1 << i) for i in range(_BITS)]
+_BLOCKS = [range(64 * i // 6, 64 * (i + 1) // 6) for i in range(6)]
+_THREE_BLOCKS = [_signed(sum(1 << bit for block in some for bit in block)) for some in combinations(_BLOCKS, 3)]
 _HALVES = (range(_BITS // 2), range(_BITS // 2, _BITS))
 _TWO = [_signed(1 << i | 1 << j) for half in _HALVES for i, j in combinations(half, 2)]
 
@@ -63,6 +65,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(read, f"doc_id {kind}, fp bigint")
 
 
+def with_partner(prints: DataFrame) -> DataFrame:
+    """Those of distinct fingerprints ``fp`` that may have another one at 3 or fewer bits.
+
+    Three differing bits leave at least three of six blocks of bits equal, so a fingerprint
+    that shares no three blocks with any other is alone and needs no ball. Each is looked up
+    under the 20 choices of blocks; a key is counted before its members meet the counts, so
+    thousands of fingerprints under one key are no single task's work.
+    """
+    blocks = prints.select("fp", F.posexplode(F.lit(_THREE_BLOCKS)).alias("n", "mask"))
+    keys = blocks.select("fp", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "n").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
+    return keys.join(shared, "key", "left_semi").select("fp").distinct()
+
+
 def ball_links(prints: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` that connect all pairs at 3 or
     fewer differing bits, and no others.
@@ -98,7 +114,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = steady(fingerprints(docs, id_col, text_col, width))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    grouped = components(ball_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    grouped = components(ball_links(with_partner(nodes.select("fp")))).withColumnRenamed("node", "fp")
     placed = nodes.join(grouped, "fp").select("fp", "component", "first")
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = placed.join(least, "component").select("fp", "component_id")
@@ -109,10 +125,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns. Rows
     that repeat that id stay together."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     found = near_dedup(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(key(F.col("doc_id")).alias("__key")).distinct()
-    return docs.withColumn("__key", key(F.col(id_col))).join(keep, "__key", "left_semi").select(*docs.columns)
+    keep = found.select(row_key("doc_id").alias("key")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"))
+    return keyed.join(keep, "key", "left_semi").select("row.*")
 
 
 @query("op4_simhash")
