@@ -9,10 +9,6 @@ SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F
 # What opens a list item, and suffixes that are style and not family.
 BULLETS = "•‣●○▪◦·⁃∙*"
 DASHES = "-‐‒–—"
-LIST_MARKER = (
-    rf"^[{SPACE}]*(?:[{BULLETS}]|[{DASHES}](?=[{SPACE}])"
-    rf"|\(?\p{{Nd}}{{1,3}}[{SPACE}]*[.)](?=[{SPACE}])|\(?[a-zA-Zа-яА-Я][{SPACE}]*[.)](?=[{SPACE}]))"
-)
 FONT_TAILS = ("PSMT", "PS", "MT")
 FONT_STYLES = (
     "BoldItalic", "BoldOblique", "SemiBold", "ExtraBold", "DemiBold", "UltraBold",
@@ -31,11 +27,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(one, r"[\x{00}-\x{1F}\x{7F}-\x{9F}]", ""))
 
 
-def collapse_breaks(text: Column) -> Column:
-    """Line breaks and runs of blanks to one space; everything else stays."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]+", " "))
-
-
 def cell_text(text: Column, limit: int = 32000) -> Column:
     """Text fit for a spreadsheet cell."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\r", "   ")
@@ -53,7 +44,7 @@ def shorten(text: Column, limit: int = 120) -> Column:
 
 
 def is_list_item(text: Column) -> Column:
-    return text.rlike(LIST_MARKER)
+    return marker_kind(text).isNotNull()
 
 
 def marker_kind(text: Column) -> Column:

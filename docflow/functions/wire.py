@@ -91,13 +91,6 @@ def build_frame(kind: Column, payload: Column, crc: Column | None = None) -> Col
     )
 
 
-def type_name(kind: Column) -> Column:
-    named = F.lit(None).cast("string")
-    for code, name in PACKET_TYPES.items():
-        named = F.when(kind == code, name).otherwise(named)
-    return named
-
-
 def parse_input(payload: Column) -> Column:
     """Typed fields of an input event, null for a wrong size or kind. Fields that a kind
     does not use are null."""

@@ -23,11 +23,10 @@ def search(catalog: DataFrame, text: str) -> DataFrame:
     )
 
 
-def groups(catalog: DataFrame, block: int = 4096) -> DataFrame:
-    """Items in catalog order within their category, categories in order of first use."""
+def groups(catalog: DataFrame) -> DataFrame:
+    """Items in catalog order within their category, categories in order of first use. The
+    categories are one row each when they are numbered."""
     first = catalog.groupBy("category").agg(F.min("id").alias("first_id"))
-    ordered = running(
-        first.withColumn("__all", F.lit(1)), ["__all"], ["first_id"], F.floor(F.col("first_id") / block), number="group_no"
-    )
-    placed = running(catalog, ["category"], ["id"], F.floor(F.col("id") / block), number="position")
+    ordered = running(first, [], ["first_id"], number="group_no")
+    placed = running(catalog, ["category"], ["id"], number="position")
     return placed.join(ordered, "category").select("category", "group_no", "position", "id", "title")

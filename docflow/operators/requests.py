@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from docflow.functions.text import trim_space
 from docflow.operators.ordered import first_rows
 
-# Tools in catalog order with category, input kind and output extension
-# (none where the tool writes to a folder).
+# Tools in catalog order with output extension (none where the tool writes to
+# a folder).
 TOOLS = (
-    ("Merge", "Pages", "MultiplePdf", ".pdf"),
-    ("Split", "Pages", "SinglePdf", None),
-    ("Organize", "Pages", "SinglePdf", ".pdf"),
-    ("Rotate", "Pages", "SinglePdf", ".pdf"),
-    ("PdfToWord", "Convert", "SinglePdf", ".docx"),
-    ("WordToPdf", "Convert", "WordDocument", ".pdf"),
-    ("PdfToImage", "Convert", "SinglePdf", None),
-    ("ImageToPdf", "Convert", "Images", ".pdf"),
-    ("PdfToExcel", "Convert", "SinglePdf", ".xlsx"),
-    ("PdfToPowerPoint", "Convert", "SinglePdf", ".pptx"),
-    ("Compress", "Optimize", "SinglePdf", ".pdf"),
-    ("Protect", "Optimize", "SinglePdf", ".pdf"),
-    ("Unlock", "Optimize", "SinglePdf", ".pdf"),
-    ("Watermark", "Optimize", "SinglePdf", ".pdf"),
-    ("PageNumbers", "Optimize", "SinglePdf", ".pdf"),
-    ("OcrToWord", "Ai", "SinglePdf", ".docx"),
-    ("BackgroundRemover", "Ai", "Images", ".png"),
+    ("Merge", ".pdf"),
+    ("Split", None),
+    ("Organize", ".pdf"),
+    ("Rotate", ".pdf"),
+    ("PdfToWord", ".docx"),
+    ("WordToPdf", ".pdf"),
+    ("PdfToImage", None),
+    ("ImageToPdf", ".pdf"),
+    ("PdfToExcel", ".xlsx"),
+    ("PdfToPowerPoint", ".pptx"),
+    ("Compress", ".pdf"),
+    ("Protect", ".pdf"),
+    ("Unlock", ".pdf"),
+    ("Watermark", ".pdf"),
+    ("PageNumbers", ".pdf"),
+    ("OcrToWord", ".docx"),
+    ("BackgroundRemover", ".png"),
 )
-FOLDER_TOOLS = [t for t, _, _, ext in TOOLS if ext is None]
+FOLDER_TOOLS = [t for t, ext in TOOLS if ext is None]
 DEFAULT_LANGUAGES = "uzb+eng+rus"
 
 
@@ -59,10 +59,6 @@ def language_codes(expr: Column, default: str = DEFAULT_LANGUAGES) -> Column:
     return F.when(F.size(asked) > 0, asked).otherwise(codes(F.lit(default)))
 
 
-def safe_code(code: Column) -> Column:
-    return code.rlike("^[A-Za-z0-9_]{1,32}$")
-
-
 def installed_languages(files: DataFrame, suffix: str = ".traineddata") -> DataFrame:
     """Language codes on disk, distinct ignoring case, in order."""
     name = F.substring(F.col("file"), F.lit(1), F.length("file") - len(suffix))

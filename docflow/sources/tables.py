@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.operators.requests import TOOLS
 from docflow.plans.registry import table
 
 # One page-plan row per line item; a third of them point past the end of their source.
@@ -55,14 +56,7 @@ RELEASES = {
       ',{"name":"SETUP-', CAST(p_size AS STRING), '.1.2.EXE","size":', CAST(500 + p_partkey AS STRING),
       ',"browser_download_url":"https://', CASE WHEN p_partkey % 2 = 0 THEN 'Objects.GitHubUserContent.com' ELSE 'cdn.example.com' END, '/b"}]}') END""",
 }
-# Tool names in catalog order.
-TOOL_CASE = "CASE o_orderkey % 17 " + " ".join(
-    f"WHEN {i} THEN '{t}'"
-    for i, t in enumerate(
-        "Merge Split Organize Rotate PdfToWord WordToPdf PdfToImage ImageToPdf PdfToExcel "
-        "PdfToPowerPoint Compress Protect Unlock Watermark PageNumbers OcrToWord BackgroundRemover".split()
-    )
-) + " END"
+TOOL_CASE = "CASE o_orderkey % 17 " + " ".join(f"WHEN {i} THEN '{tool}'" for i, (tool, _) in enumerate(TOOLS)) + " END"
 REQUESTS = {
     "request_id": "o_orderkey",
     "tool": TOOL_CASE,
