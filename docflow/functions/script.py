@@ -64,10 +64,11 @@ def _latin_words_to_cyrillic(text: Column, pad: str = "") -> Column:
         text = F.regexp_replace(text, f"{low.upper()}[{APOSTROPHES}]", cyr.upper() + pad)
     for first, cyr in (("y", "ё"), ("Y", "Ё")):
         text = F.regexp_replace(text, f"{first}[oO](?![{APOSTROPHES}])", cyr + pad)
-    for pair, cyr in LATIN_DOUBLE.items():
-        second = f"[{pair[1]}{pair[1].upper()}]"
-        text = F.regexp_replace(text, pair[0] + second, cyr + pad)
-        text = F.regexp_replace(text, pair[0].upper() + second, cyr.upper() + pad)
+    # Plain replacing is several times faster than a pattern, and pairs cannot overlap.
+    for (one, two), cyr in LATIN_DOUBLE.items():
+        for second in (two, two.upper()):
+            text = F.replace(text, F.lit(one + second), F.lit(cyr + pad))
+            text = F.replace(text, F.lit(one.upper() + second), F.lit(cyr.upper() + pad))
     return F.translate(
         text, LATIN_LETTERS + LATIN_LETTERS.upper(), LATIN_AS_CYRILLIC + LATIN_AS_CYRILLIC.upper()
     )
