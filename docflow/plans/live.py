@@ -46,13 +46,13 @@ REGISTRY_SQL = BEACONS_SQL + """,
 r AS (SELECT host, port, arg_min(name, ts) AS name, min(ts) AS first_seen FROM b WHERE role = 2 GROUP BY ALL)"""
 
 
-@query("peer_registry", f"WITH {REGISTRY_SQL} SELECT host, port, name FROM r")
+@query("peer_registry", f"WITH {REGISTRY_SQL} SELECT host, port, name, first_seen FROM r")
 def peer_registry(spark, sf):
     folder = scratch(spark, "beacons")
     files_io.write_table(beacons(spark, sf), folder)
     packets = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
     seen = streams.run_available(streams.peer_registry_stream(packets), scratch(spark, "registry"))
-    return seen.select("host", "port", "name")
+    return seen.select("host", "port", "name", F.col("ts").alias("first_seen"))
 
 
 @query("registry_new", f"WITH {REGISTRY_SQL} SELECT * FROM r WHERE (host, port) NOT IN (SELECT concat('10.0.', c_custkey // 256, '.', c_custkey % 256), 5000 FROM customer)")

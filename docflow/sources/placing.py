@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         root = tempfile.mkdtemp(prefix="docflow-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/") if root else None
 

@@ -15,10 +15,20 @@ from docflow.operators import sessions
 
 
 def peer_registry_stream(beacons: DataFrame, delay: str | None = None) -> DataFrame:
-    """Agents as they are first seen. Without a delay every host is remembered for good."""
+    """Agents as they are first seen. Without a delay every host is remembered for good, and of
+    what arrives together the earliest sighting counts."""
     found = sessions.agents(beacons).select("ts", "host", "port", "name")
+
+    def first(key, frames, state):
+        import pandas as pd
+
+        sightings = pd.concat(list(frames))
+        if not state.exists:
+            state.update((True,))
+            yield sightings.sort_values("ts", kind="stable").head(1)
+
     if delay is None:
-        return found.dropDuplicates(["host", "port"])
+        return found.groupBy("host", "port").applyInPandasWithState(first, found.schema, "seen boolean", "append", "NoTimeout")
     return found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host", "port"])
 
 
