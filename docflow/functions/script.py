@@ -140,7 +140,12 @@ def _beside_marks(text: Column, convert) -> Column:
     stay as they are. They are no letters, so nothing is spelled across them."""
     parts = F.regexp_extract_all(text, F.lit(rf"(?s)[{_MARKS}]+|[^{_MARKS}]+"), F.lit(0))
     done = F.transform(parts, lambda p: F.when(p.rlike(f"^[{_MARKS}]"), p).otherwise(convert(p)))
-    return F.when(text.rlike(f"[{_MARKS}]"), F.array_join(done, "")).otherwise(convert(text))
+    return F.when(_marked(text), F.array_join(done, "")).otherwise(convert(text))
+
+
+def _marked(text: Column) -> Column:
+    """Whether a text holds a character that serves as a mark; looked for byte by byte."""
+    return text.contains(_SOFT) | text.contains(_CAPS) | text.contains(_PAD) | text.contains(_LINK)
 
 
 def latin_to_cyrillic(text: Column) -> Column:
@@ -165,14 +170,15 @@ def slice_converter(text: Column, direction: Column, style: str = "ascii"):
     and a function from that form and a position to the finished slice. Characters of the
     source that serve as marks here travel behind a mark of their own.
     """
-    text = F.regexp_replace(text, f"([{_MARKS}])", _LINK + "$1")
+    marked = _marked(text)
+    text = F.when(marked, F.regexp_replace(text, f"([{_MARKS}])", _LINK + "$1")).otherwise(text)
     cyrillic = direction == CYR_TO_LAT
     units = F.regexp_extract_all(
         _around_links(text, lambda part: _mark_cyrillic(part, style), lambda link: F.regexp_replace(link, rf"(?s){_LINK}?(.)", _LINK + "$1")),
         F.lit(rf"(?s){_LINK}.|{_SOFT}?[^{_SOFT}{_LINK}{_CAPS}]{_CAPS}?"), F.lit(0),
     )
     padded = _around_links(text, lambda part: _latin_words_to_cyrillic(part, _PAD))
-    letters = F.regexp_extract_all(padded, F.lit(rf"(?s){_LINK}.|."), F.lit(0))
+    letters = F.when(marked, F.regexp_extract_all(padded, F.lit(rf"(?s){_LINK}.|."), F.lit(0))).otherwise(F.split(padded, ""))
     aligned = F.when(cyrillic, units).otherwise(letters)
 
     def finish(cells: Column, offset: Column, n: Column) -> Column:
@@ -183,6 +189,9 @@ def slice_converter(text: Column, direction: Column, style: str = "ascii"):
             lambda p: F.when(p.startswith(_LINK), F.regexp_replace(p, f"(?s){_LINK}(.)", "$1"))
             .otherwise(_spell_latin(p, style)),
         )
-        return F.when(cyrillic, F.array_join(spelled, "")).otherwise(F.regexp_replace(joined, f"(?s){_LINK}(.)|{_PAD}", "$1"))
+        return F.when(cyrillic, F.array_join(spelled, "")).otherwise(
+            F.when(joined.contains(_LINK), F.regexp_replace(joined, f"(?s){_LINK}(.)|{_PAD}", "$1"))
+            .otherwise(F.replace(joined, F.lit(_PAD), F.lit("")))
+        )
 
     return aligned, finish
