@@ -12,26 +12,50 @@ from docflow.llm.common import documents, query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_UNIT_WORDS = 4  # shorter units say too little by themselves and go with their neighbours
+_UNIT_WORDS = 4  # a unit of fewer words says too little by itself and is hashed with its neighbours
 _UNIT = "doc_id {kind}, version bigint, seq int, digest binary, start int, stop int, n_words int"
 
 
 def cut_units(text: str) -> list[tuple[int, int, str, int]]:
     """Units of a text: lines, cut further behind the end of a sentence. Start and stop in
-    code points, the normalised unit (lower case, single spaces) and its number of words."""
+    code points, the normalised unit (lower case, single spaces) and its number of words.
+    Every character but white space lies in one unit."""
     import re
 
     out = []
-    for m in re.finditer(r"[^\n.!?]+(?:[.!?]+(?=\s|$)|[.!?]+(?!\s)[^\n.!?]*)*", text):
+    for m in re.finditer(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+[.!?]*+", text):
         tokens = m[0].lower().split()
-        if len(tokens) >= _UNIT_WORDS:
+        if tokens:
             lead = len(m[0]) - len(m[0].lstrip())
             out.append((m.start() + lead, m.start() + len(m[0].rstrip()), " ".join(tokens), len(tokens)))
     return out
 
 
+def keyed(found: list[tuple[int, int, str, int]]) -> list[tuple[int, str]]:
+    """What units are compared by: (seq, key). A unit of enough words is its own key. A
+    shorter one is read in its place: by every window that reaches enough words, of the
+    units from a short one on or up to it, with its own place in the window. So short units
+    are equal only where what stands around them is equal too."""
+    sizes = [n for _, _, _, n in found]
+    windows = set()
+    for i, n in enumerate(sizes):
+        if n < _UNIT_WORDS:
+            for step, end in ((1, len(sizes)), (-1, -1)):
+                at, words = i, 0
+                while at != end and words < _UNIT_WORDS:
+                    words += sizes[at]
+                    at += step
+                if words >= _UNIT_WORDS:
+                    windows.add((i, at - 1) if step == 1 else (at + 1, i))
+    out = [(i, unit) for i, (_, _, unit, n) in enumerate(found) if n >= _UNIT_WORDS]
+    for lo, hi in sorted(windows):
+        whole = "\n".join(unit for _, _, unit, _ in found[lo : hi + 1])
+        out.extend((i, f"{whole}\n{i - lo}") for i in range(lo, hi + 1) if sizes[i] < _UNIT_WORDS)
+    return out
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit of at least four words, with its place among them and its digest.
+    """One row per unit and key, with the unit's place among them and the digest of the key.
     ``version`` tells texts apart that share an id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     schema = _UNIT.format(kind=rows.schema["doc_id"].dataType.simpleString())
@@ -51,9 +75,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             owner, found = [], []
             for row, text in enumerate(batch.column(2)):
-                for seq, (start, stop, unit, n) in enumerate(cut_units(text.as_py() or "")):
+                cut = cut_units(text.as_py() or "")
+                for seq, key in keyed(cut):
+                    start, stop, _, n = cut[seq]
                     owner.append(row)
-                    found.append((seq, start, stop, hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest(), n))
+                    found.append((seq, start, stop, hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest(), n))
                 if len(found) >= 50_000 or (row == batch.num_rows - 1 and found):
                     at = pa.array(owner, pa.int64())
                     yield pack(batch.column(0).take(at), batch.column(1).take(at), found)
@@ -68,19 +94,20 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
 
     Units are compared by digest over the whole corpus. The occurrence of the smallest
     (doc_id, place) is kept, all others repeat it; null ids rank last. Repeated units that
-    follow each other make one span with whatever short units lie between, and a span
-    counts from ``min_words`` words of repeated units: a passage of over 50 words loses its
-    first and last sentence where it is set into others, single stock phrases stay. Where
-    the first unit of the span is kept is returned with it. Rows that repeat an id and its
-    text are the same occurrence and share its verdict. Null and empty texts have no units,
-    an empty table gives no rows, further columns are not read.
+    follow each other make one span. A short unit repeats only where units around it repeat
+    with it, and stays where it is part of an occurrence that is kept; a unit that is not
+    repeated ends the span. A span counts from ``min_words`` words: a passage of over 50
+    words loses its first and last sentence where it is set into others, single stock
+    phrases stay. Where the first unit of the span is kept is returned with it. Rows that
+    repeat an id and its text are the same occurrence and share its verdict. Null and empty
+    texts have no units, an empty table gives no rows, further columns are not read.
     """
     found = units(docs, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "seq", "start")
     shared = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = found.join(shared, "digest").where(rank != F.col("first")).select(
-        "doc_id", "version", "seq", "start", "stop", "n_words", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs")
-    ).distinct()
+    met = found.join(shared, "digest").groupBy("doc_id", "version", "seq", "start", "stop", "n_words").agg(
+        F.max(rank == F.col("first")).alias("kept"), F.min("first").alias("first"),
+    ).where("not kept").select("doc_id", "version", "seq", "start", "stop", "n_words", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs"))
     text = Window.partitionBy("doc_id", "version").orderBy("seq")
     runs = met.withColumn("run", F.col("seq") - F.row_number().over(text))
     return runs.groupBy("doc_id", "version", "run").agg(

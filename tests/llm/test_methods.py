@@ -330,6 +330,16 @@ def test_passages_across_documents(spark, docs, texts):
     assert out[2 * 10**6]["text"] == clean[0][1]
 
 
+def test_unique_lines_between_repeats_stay(spark):
+    """A header and a footer are shared, what stands between them is not, or is."""
+    head, foot = "this page was made for all who read it here today", "all of the text above is free to use by any one who asks for it"
+    own = {1: "alpha one\nbeta\ngamma three", 2: "delta\nepsilon two\nzeta", 3: "alpha one\nbeta\ngamma three"}
+    table = spark.createDataFrame([(d, f"{head}\n{body}\n{foot}") for d, body in own.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in repeats.substring_dedup(table).collect()}
+    assert own[1] in out[1] and own[2] in out[2]
+    assert "alpha" not in out[3]
+
+
 def test_line_groups(spark, docs, texts):
     occ = [(d, i, x.strip(" ").lower()) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if x.strip(" ")]
 
