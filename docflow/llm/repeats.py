@@ -13,21 +13,26 @@ from docflow.llm.common import documents, query
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _UNIT_WORDS = 4  # a unit of fewer words says too little by itself and is hashed with its neighbours
+_LONG_WORD = 8  # code points that count as a word, in URLs, code and scripts without spaces
 _UNIT = "doc_id {kind}, version bigint, seq int, digest binary, start int, stop int, n_words int"
 
 
 def cut_units(text: str) -> list[tuple[int, int, str, int]]:
     """Units of a text: lines, cut further behind the end of a sentence. Start and stop in
     code points, the normalised unit (lower case, single spaces) and its number of words.
-    Every character but white space lies in one unit."""
+    Every character but white space lies in one unit. Words are what white space divides or,
+    if that is more, stretches of eight code points, of two where the script has no spaces
+    (Chinese, Japanese, Thai, Lao, Burmese, Khmer)."""
     import re
 
     out = []
-    for m in re.finditer(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+[.!?]*+", text):
+    unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+    for m in re.finditer(r"[^\n.!?。！？｡]*+(?:[.!?]++(?![\s。！？｡]|\Z)[^\n.!?。！？｡]*+)*+[.!?。！？｡]*+", text):
         tokens = m[0].lower().split()
         if tokens:
-            lead = len(m[0]) - len(m[0].lstrip())
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), " ".join(tokens), len(tokens)))
+            lead, unit = len(m[0]) - len(m[0].lstrip()), " ".join(tokens)
+            n = max(len(tokens), len(unit) // _LONG_WORD, 0 if unit.isascii() else len(unspaced.findall(unit)) // 2)
+            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), unit, n))
     return out
 
 

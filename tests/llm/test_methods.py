@@ -340,6 +340,20 @@ def test_unique_lines_between_repeats_stay(spark):
     assert "alpha" not in out[3]
 
 
+def test_copies_without_spaces(spark):
+    """Copies of texts whose lines are one word each, or whose sentences are short."""
+    chinese = "".join(f"第{chr(0x4E00 + 7 * i)}次他们走到{chr(0x5E00 + 11 * i)}边去看。" for i in range(30))
+    thai = "\n".join("".join(chr(0x0E01 + (i * j) % 40) for j in range(1, 30)) for i in range(1, 12))
+    short = " ".join(f"Go {chr(97 + i % 26)}{i}!" for i in range(40))
+    mine = {1: chinese, 2: thai, 3: short}
+    table = spark.createDataFrame([(d + at, t) for d, t in mine.items() for at in (0, 10)] + [(20, chinese[:5] + "，别的话都没有。")], "doc_id long, text string")
+    spans = {(r["doc_id"], r["start"], r["stop"]) for r in repeats.repeated_spans(table).collect()}
+    assert spans == {(d + 10, 0, len(t)) for d, t in mine.items()}
+    for text in (chinese, thai, short, "...a b\n!!! x?y。z！ .. \n?"):
+        cut = repeats.cut_units(text)
+        assert "".join("".join(text[a:b].split()) for a, b, _, _ in cut) == "".join(text.split())
+
+
 def test_line_groups(spark, docs, texts):
     occ = [(d, i, x.strip(" ").lower()) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if x.strip(" ")]
 
