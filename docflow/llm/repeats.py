@@ -14,34 +14,71 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _UNIT_WORDS = 4  # a unit of fewer words says too little by itself and is hashed with its neighbours
 _LONG_WORD = 8  # code points that count as a word, in URLs, code and scripts without spaces
-_UNIT = "doc_id {kind}, version bigint, seq int, digest binary, start int, stop int, n_words int"
-
-
-def cut_units(text: str) -> list[tuple[int, int, str, int]]:
-    """Units of a text: lines, cut further behind the end of a sentence. Start and stop in
-    code points, the normalised unit (lower case, single spaces) and its number of words.
-    Every character but white space lies in one unit. Words are what white space divides or,
-    if that is more, stretches of eight code points, of two where the script has no spaces
-    (Chinese, Japanese, Thai, Lao, Burmese, Khmer)."""
+_LONG_SENTENCE = 24  # from so many words a sentence is compared in parts too
+_PART_WORDS = 8  # parts of sentences under this stay beside whole ones that go
+_CUT = 4  # of so many words one may end a part
+_UNIT = "doc_id {kind}, version bigint, seq int, digest binary, start int, stop int, n_words int, whole boolean, guards boolean"
+
+
+def cut_units(text: str) -> list[tuple[int, int, str, int, int]]:
+    """Units of a text: start and stop in code points, the normalised unit (lower case,
+    single spaces), its number of words, and the number of its sentence.
+
+    A sentence is a line, cut further behind full stops. One of 24 words and more is cut into
+    parts of four words and more behind words whose checksum says so, so that equal passages
+    are cut alike wherever they begin: of any 50 words in a row, either a sentence is whole
+    or 24 lie in one that is cut. Every character but white space lies in one unit. Words are what
+    white space divides or, if that is more, stretches of eight code points, of two where
+    the script has no spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer)."""
     import re
+    from zlib import crc32
 
     out = []
     unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+    tokens = re.compile(r"[^\s，、；：]+[，、；：]*|[，、；：]+")
+
+    def size(words):
+        unit = " ".join(words)
+        return unit, max(len(words), len(unit) // _LONG_WORD, 0 if max(unit) < "\u0e00" else len(unspaced.findall(unit)) // 2)
+
+    nth = 0
     for m in re.finditer(r"[^\n.!?。！？｡]*+(?:[.!?]++(?![\s。！？｡]|\Z)[^\n.!?。！？｡]*+)*+[.!?。！？｡]*+", text):
-        tokens = m[0].lower().split()
-        if tokens:
-            lead, unit = len(m[0]) - len(m[0].lstrip()), " ".join(tokens)
-            n = max(len(tokens), len(unit) // _LONG_WORD, 0 if unit.isascii() else len(unspaced.findall(unit)) // 2)
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), unit, n))
+        words = m[0].lower().split()
+        if not words:
+            continue
+        unit, n = size(words)
+        if n < _LONG_SENTENCE:
+            lead = len(m[0]) - len(m[0].lstrip())
+            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), unit, n, nth))
+            nth += 1
+            continue
+        found = [(t.start(), t.end(), t[0].lower()) for t in tokens.finditer(text, m.start(), m.end())]
+        parts, since = [], 0
+        for i, (_, _, word) in enumerate(found):
+            if word[-1] in "，、；：" or crc32(word.encode("utf-8", "replace")) % _CUT == 0:
+                if size([w for _, _, w in found[since : i + 1]])[1] >= _UNIT_WORDS:
+                    parts.append((since, i + 1))
+                    since = i + 1
+        if since < len(found):
+            if parts and size([w for _, _, w in found[since:]])[1] < _UNIT_WORDS:
+                since = parts.pop()[0]
+            parts.append((since, len(found)))
+        for lo, hi in parts:
+            out.append((found[lo][0], found[hi - 1][1], *size([w for _, _, w in found[lo:hi]]), nth))
+        nth += 1
     return out
 
 
-def keyed(found: list[tuple[int, int, str, int]]) -> list[tuple[int, str]]:
-    """What units are compared by: (seq, key). A unit of enough words is its own key. A
-    shorter one is read in its place: by every window that reaches enough words, of the
-    units from a short one on or up to it, with its own place in the window. So short units
-    are equal only where what stands around them is equal too."""
-    sizes = [n for _, _, _, n in found]
+def keyed(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, str, bool, bool]]:
+    """What units are compared by: (seq, key, whole, guards). A unit of enough words is its
+    own key, and a part of a sentence is read in its sentence too. A short sentence is read
+    in its place: by every window that reaches enough words, of the units from it on or up
+    to it, with its own place in the window. So short ones are equal only where what stands
+    around them is equal too. ``whole`` is false for a part by itself; the first occurrence
+    of a key that ``guards`` is not removed for another key."""
+    from itertools import groupby
+
+    sizes = [n for _, _, _, n, _ in found]
     windows = set()
     for i, n in enumerate(sizes):
         if n < _UNIT_WORDS:
@@ -52,10 +89,18 @@ def keyed(found: list[tuple[int, int, str, int]]) -> list[tuple[int, str]]:
                     at += step
                 if words >= _UNIT_WORDS:
                     windows.add((i, at - 1) if step == 1 else (at + 1, i))
-    out = [(i, unit) for i, (_, _, unit, n) in enumerate(found) if n >= _UNIT_WORDS]
+    out = []
+    for _, parts in groupby(range(len(found)), lambda i: found[i][4]):
+        parts = list(parts)
+        sentence = "\n".join(found[i][2] for i in parts)
+        for i in parts:
+            if sizes[i] >= _UNIT_WORDS:
+                out.append((i, found[i][2], len(parts) == 1, True))
+                if len(parts) > 1:
+                    out.append((i, f"{sentence}\n{i - parts[0]}\n", True, False))
     for lo, hi in sorted(windows):
-        whole = "\n".join(unit for _, _, unit, _ in found[lo : hi + 1])
-        out.extend((i, f"{whole}\n{i - lo}") for i in range(lo, hi + 1) if sizes[i] < _UNIT_WORDS)
+        window = "\n".join(x[2] for x in found[lo : hi + 1])
+        out.extend((i, f"{window}\n{i - lo}", True, True) for i in range(lo, hi + 1) if sizes[i] < _UNIT_WORDS)
     return out
 
 
@@ -70,21 +115,22 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         import pyarrow as pa
 
         def pack(ids, versions, found):
-            seq, start, stop, digest, size = zip(*found) if found else ((), (), (), (), ())
+            seq, start, stop, digest, size, whole, guards = zip(*found) if found else ((),) * 7
             return pa.RecordBatch.from_arrays(
                 [ids, versions, pa.array(seq, pa.int32()), pa.array(digest, pa.binary()), pa.array(start, pa.int32()),
-                 pa.array(stop, pa.int32()), pa.array(size, pa.int32())],
-                ["doc_id", "version", "seq", "digest", "start", "stop", "n_words"],
+                 pa.array(stop, pa.int32()), pa.array(size, pa.int32()),
+                 pa.array(whole, pa.bool_()), pa.array(guards, pa.bool_())],
+                ["doc_id", "version", "seq", "digest", "start", "stop", "n_words", "whole", "guards"],
             )
 
         for batch in batches:
             owner, found = [], []
             for row, text in enumerate(batch.column(2)):
                 cut = cut_units(text.as_py() or "")
-                for seq, key in keyed(cut):
-                    start, stop, _, n = cut[seq]
+                for seq, key, whole, guards in keyed(cut):
+                    start, stop, _, n, _ = cut[seq]
                     owner.append(row)
-                    found.append((seq, start, stop, hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest(), n))
+                    found.append((seq, start, stop, hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest(), n, whole, guards))
                 if len(found) >= 50_000 or (row == batch.num_rows - 1 and found):
                     at = pa.array(owner, pa.int64())
                     yield pack(batch.column(0).take(at), batch.column(1).take(at), found)
@@ -99,26 +145,33 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
 
     Units are compared by digest over the whole corpus. The occurrence of the smallest
     (doc_id, place) is kept, all others repeat it; null ids rank last. Repeated units that
-    follow each other make one span. A short unit repeats only where units around it repeat
-    with it, and stays where it is part of an occurrence that is kept; a unit that is not
-    repeated ends the span. A span counts from ``min_words`` words: a passage of over 50
-    words loses its first and last sentence where it is set into others, single stock
-    phrases stay. Where the first unit of the span is kept is returned with it. Rows that
-    repeat an id and its text are the same occurrence and share its verdict. Null and empty
-    texts have no units, an empty table gives no rows, further columns are not read.
+    follow each other make a run. Lines and sentences that repeat whole are removed from
+    four words on, shorter ones with what repeats around them. Parts of sentences are
+    removed where the run has ``min_words`` words and the parts that follow each other have
+    eight, so a passage set into other text goes but for some words at its ends, and a stock
+    phrase inside a sentence stays. A short sentence stays where it is part of an occurrence
+    that is kept; a unit that is not repeated ends the span. Where the first unit of the
+    span is kept is returned with it. Rows that repeat an id and its text are the same
+    occurrence and share its verdict. Null and empty texts have no units, an empty table
+    gives no rows, further columns are not read.
     """
     found = units(docs, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "seq", "start")
     shared = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = rank != F.col("first")
     met = found.join(shared, "digest").groupBy("doc_id", "version", "seq", "start", "stop", "n_words").agg(
-        F.max(rank == F.col("first")).alias("kept"), F.min("first").alias("first"),
-    ).where("not kept").select("doc_id", "version", "seq", "start", "stop", "n_words", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs"))
-    text = Window.partitionBy("doc_id", "version").orderBy("seq")
-    runs = met.withColumn("run", F.col("seq") - F.row_number().over(text))
-    return runs.groupBy("doc_id", "version", "run").agg(
+        F.max(F.col("guards") & ~again).alias("kept"), F.max(F.col("whole") & again).alias("whole"), F.min("first").alias("first"),
+    ).where("not kept").select("doc_id", "version", "seq", "start", "stop", "n_words", "whole", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs"))
+    in_row = lambda *keys: F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "version", *keys).orderBy("seq"))
+    words = lambda *keys: F.sum("n_words").over(Window.partitionBy("doc_id", "version", *keys))
+    runs = met.withColumn("run", in_row()).withColumn("like", in_row("run", "whole"))
+    sized = runs.withColumn("all", words("run")).withColumn("own", words("run", "whole", "like"))
+    enough = F.when(F.col("whole"), F.col("own") >= _UNIT_WORDS).otherwise((F.col("all") >= min_words) & (F.col("own") >= _PART_WORDS))
+    spans = sized.where(enough).withColumn("run", in_row())
+    return spans.groupBy("doc_id", "version", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
         F.min_by("fd", "seq").alias("first_doc_id"), F.min_by("fs", "seq").alias("first_start"),
-    ).where(F.col("n_words") >= min_words).drop("run")
+    ).drop("run")
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

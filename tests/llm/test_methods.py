@@ -351,7 +351,26 @@ def test_copies_without_spaces(spark):
     assert spans == {(d + 10, 0, len(t)) for d, t in mine.items()}
     for text in (chinese, thai, short, "...a b\n!!! x?y。z！ .. \n?"):
         cut = repeats.cut_units(text)
-        assert "".join("".join(text[a:b].split()) for a, b, _, _ in cut) == "".join(text.split())
+        assert "".join("".join(text[a:b].split()) for a, b, *_ in cut) == "".join(text.split())
+
+
+def test_short_and_partly_shared_passages(spark):
+    """Repeated lines under 25 words go, and passages that share no sentence whole."""
+    import random
+
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefghijklmnoprstuvw", k=6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    line = "all rights are reserved here"
+    pages = [(i, f"{some(30)}.\n{line}\n{some(12)}") for i in range(3)]
+    passages = [some(50) for _ in range(100)]
+    hosts = [(100 * at + i, f"{some(9)} {p} {some(9)}") for at in (1, 2) for i, p in enumerate(passages)]
+    table = spark.createDataFrame(pages + hosts, "doc_id long, text string")
+    spans = {(r["doc_id"], hosts_text[r["start"] : r["stop"]]) for r in repeats.repeated_spans(table).collect() for hosts_text in [dict(pages + hosts)[r["doc_id"]]]}
+    assert {s for s in spans if s[0] < 100} == {(1, line), (2, line)}
+    assert all(d >= 200 and text in passages[d - 200] for d, text in spans if d >= 100)
+    assert len({d for d, _ in spans if d >= 200}) >= 90
+    assert sum(len(text.split()) for d, text in spans if d >= 200) >= 0.6 * 50 * len(passages)
 
 
 def test_line_groups(spark, docs, texts):
