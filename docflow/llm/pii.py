@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -168,22 +170,25 @@ def _score(model, rows: DataFrame) -> DataFrame:
 def choose_spans(found: DataFrame, max_train: int = 5000, rounds: int = 8, depth: int = 3, precision: float = 0.95) -> DataFrame:
     """``doc_id, version, kind, start, end, p`` of proposed spans to add to the base ones.
 
-    Trees are boosted on up to ``max_train`` labelled spans, in hash order, of four fifths of
-    the documents, and on their spoilt twins. On the last fifth each kind gets the lowest
-    threshold of a grid at which ``precision`` is reached; a kind that never reaches it adds
-    nothing.
+    Trees are boosted on labelled spans of four fifths of the documents, in hash order, up to
+    an equal share of ``max_train`` for each kind and label, and on their spoilt twins. On
+    all labelled spans of the last fifth each kind gets the lowest threshold of a grid at
+    which ``precision`` is reached; a kind that never reaches it adds nothing.
     """
     key = F.xxhash64(F.lit("pii"), "doc_id", "version", "kind", "start", "end")
     labelled = found.where("label is not null")
     fold = bucket(F.col("doc_id"), 5)
-    train = steady(_twins(labelled.where(fold != 0).orderBy(key).limit(max_train)).select(*FEATURES, "label"))
+    share = max_train // (2 * len(KINDS))
+    learn = labelled.where(fold != 0).withColumn("key", key)
+    parts = [learn.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy("key").limit(share).drop("key") for kind in range(len(KINDS)) for label in (0.0, 1.0)]
+    train = steady(_twins(reduce(DataFrame.unionByName, parts)).select(*FEATURES, "label"))
     open_ = found.where("label is null and sound = 1")
     if train.select("label").distinct().count() < 2:
         return open_.where(F.lit(False)).select("doc_id", "version", "kind", "start", "end", F.lit(0.0).alias("p"))
     sized = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, labelCol="label").fit(sized)
 
-    held = _score(model, _twins(labelled.where(fold == 0).orderBy(key).limit(max_train)))
+    held = _score(model, _twins(labelled.where(fold == 0)))
     steps = held.select("kind", "label", F.explode(F.sequence(F.lit(1), F.floor(F.col("p") * 20).cast("int"))).alias("step")).where("step >= 10 and step < 20")
     grid = steps.groupBy("kind", "step").agg(F.avg("label").alias("right")).where(F.col("right") >= precision)
     least = {r["kind"]: r["step"] / 20 for r in grid.groupBy("kind").agg(F.min("step").alias("step")).collect()}

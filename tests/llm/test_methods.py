@@ -286,6 +286,17 @@ def test_trees_find_what_runs_on(spark):
     assert clean["text"] == "the [phone] [card] end, id 4524132264652875"
 
 
+def test_rare_kinds_beside_a_common_one(spark):
+    """Kinds that are few among very many e-mails keep their threshold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = "the +1 (269) 555-3296 4524132264652876 end, id 4524132264652875"
+    mails = "concat_ws(' ', transform(sequence(1, 200), k -> concat('u', id, 'x', k, '@host', k, '.org')))"
+    lists = spark.range(2_000_000, 2_004_000).selectExpr("id doc_id", f"{mails} text")
+    more = spark.createDataFrame([(10**6, text)], "doc_id long, text string")
+    row = pii.find_pii(docs.unionByName(more).unionByName(lists)).where("doc_id = 1000000").first()
+    assert [(x["kind"], text[x["start"] : x["end"]]) for x in row["spans"]] == [(2, "4524132264652876"), (3, "+1 (269) 555-3296")]
+
+
 def test_base_rules(docs, texts):
     for r in divergence.divergence_rules(docs).collect():
         text = texts[r["doc_id"]]
