@@ -410,6 +410,18 @@ def test_line_groups(spark, docs, texts):
     assert sum(got[k] != want[k] for k in want) <= 0.01 * len(want)
 
 
+def test_shingles_at_every_position(spark):
+    """A letter put into text without spaces changes five shingles and moves no other."""
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    url = "://example.org/" + "".join(chr(97 + i * i % 23) + str(i) for i in range(35))
+    mine = [chinese, chinese[:30] + "新" + chinese[30:], "http" + url, "https" + url, "🙂👍🏽é" * 3 + "ab", "abc", "abcde", "abcdef"]
+    rows = spark.createDataFrame(list(enumerate(mine)), "doc_id long, text string")
+    sizes = {r["doc_id"]: r["n"] for r in rows.selectExpr("doc_id", "text").select("doc_id", lines.F.size(lines.F.array_distinct(lines.shingles(lines.F.col("text")))).alias("n")).collect()}
+    assert sizes == {i: len({x[k : k + 5] for k in range(max(1, len(x) - 4))}) for i, x in enumerate(mine)}
+    kept = {r["doc_id"]: r["kept"] for r in lines.line_verdicts(rows).collect()}
+    assert [kept[i] for i in range(4)] == [True, False, True, False]
+
+
 def test_pipeline(spark, docs, texts):
     """Every stage's effect by plain loops on what the stages before it kept."""
     import corpus_pipeline as pipeline
