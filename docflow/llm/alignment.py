@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import sys
+from itertools import chain
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SHARDS = 64  # pairs are dealt out by their B id
 _FAN_IN = 16  # vectors summed at a time on each level of the tree
 _GAMMA = 1.5  # places a key has on each level of the hash
-_CACHE = 300_000  # stretches of text a task remembers before it starts anew
-_GROUP = 4_000_000  # characters of texts that are cut together
+_CACHE = 250_000  # stretches of text a task remembers before it starts anew
+_GROUP = 2_000_000  # characters of texts that are cut together
 _B = 1 << 20  # a pair is A id * _B + B id; both vocabularies are smaller
 _TABLE_LIMIT = 16_000_000  # pairs of a table that is sent to every task; about 13 bytes each
+# Fixed value: how A cuts text into words.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = "!-~À-ÖØ-öø-ÿ"  # never white space, for either tokenizer
 
 
@@ -34,63 +38,81 @@ class Stretches:
     def __init__(self, spec: dict):
         import re
 
+        import numpy as np
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_str(spec["a"])
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=spec["b"])
+        vocab = json.loads(spec["a"])
+        special = {t["id"] for t in vocab["added_tokens"]}
         letters = {letter: byte for byte, letter in enumerate(_letters())}
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab["model"]["vocab"].items() if i not in special}
+        # The file lists merges in the order of their ids, which are then the ranks.
+        self.encode_a = tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=spec["b"])
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         as_byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.a_size[list(ranks.values())] = [len(x) for x in ranks]
+        self.width = max(len(self.a_size), len(self.b_size))
+        self.signs = np.array([f"{i}{sep}" for sep in ",|;\n" for i in range(self.width)], object)
         self.cut = re.compile(rf"(?<=[{_PLAIN}])(?= [{_PLAIN}])").split
         self.clear()
 
     def clear(self):
         import numpy as np
 
-        self.at, self.groups, self.links, self.bad = {}, [], [], []
-        self.sizes, self._sizes = np.zeros((0, 4), np.int64), []
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[bytes, list[int], tuple[int, int, int, int]]:
-        """Groups as text, linked pairs in order, and how many tokens, groups and links."""
-        links, groups = [], []
-        i = j = at_a = at_b = 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] * _B + b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[at_a : i + 1])) + "|" + ",".join(map(str, b[at_b : j + 1])))
-                at_a, at_b = i + 1, j + 1
-                if at_a == len(a) or at_b == len(b):
-                    break
-            if step_a:
-                i += 1
-                end_a += len(self.a_bytes[a[i]])
-            if step_b:
-                j += 1
-                end_b += len(self.b_bytes[b[j]])
-        return ";".join(groups).encode(), links, (len(a), len(b), len(groups), len(links))
+        self.at, self.groups = {}, []
+        self.links = np.zeros(0, np.int64)
+        self.bad, self.sizes = np.zeros(0, bool), np.zeros((0, 4), np.int64)
+
+    def _align(self, flat_a, flat_b, owner_a, owner_b, count: int):
+        """Groups as text, linked pairs in order, and how many groups and links, per stretch.
+
+        All stretches lie in one row of bytes. A link is what lies between two ends of tokens
+        that follow each other, a group what lies between two that both sides share."""
+        import numpy as np
+
+        size_a, size_b = self.a_size[flat_a], self.b_size[flat_b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        stop = np.cumsum(np.bincount(owner_a, size_a, count).astype(np.int64))
+        ends, cuts = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        links = flat_a[np.searchsorted(end_a, ends)] * _B + flat_b[np.searchsorted(end_b, ends)]
+        per = lambda places: np.bincount(np.searchsorted(stop, places), minlength=count)
+        # Tokens by group, first those of A; behind each what divides it from the next.
+        key = np.concatenate([np.searchsorted(cuts, end_a) * 2, np.searchsorted(cuts, end_b) * 2 + 1])
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], np.concatenate([flat_a, flat_b])[order]
+        last = np.append(key[1:] != key[:-1], True)
+        final = np.isin(cuts, stop, assume_unique=True)[key // 2]
+        sign = np.where(~last, 0, np.where(key % 2 == 0, 1, np.where(final, 3, 2)))
+        return "".join(self.signs[sign * self.width + ids].tolist()).split("\n")[:-1], links, per(cuts), per(ends)
 
     def learn(self, new: list[str]) -> None:
         import numpy as np
 
-        for text, a, b in zip(new, self.a.encode_batch(new, add_special_tokens=False), self.b.encode([t[1:] for t in new], num_threads=1)):
-            raw, a = text.encode(), a.ids
-            same = b"".join(self.a_bytes.get(i, b"") for i in a) == raw == b"".join(self.b_bytes[i] for i in b)
-            groups, links, sizes = self._align(a, b) if same else (b"", [], (0, 0, 0, 0))
-            self.at[text] = len(self.groups)
-            self.groups.append(groups)
-            self.links.append(links)
-            self.bad.append(not same)
-            self._sizes.append(sizes)
-        self.sizes = np.concatenate([self.sizes, np.array(self._sizes, np.int64).reshape(-1, 4)])
-        self._sizes = []
+        if not new:
+            return
+        a, b = [self.encode_a(t) for t in new], self.b.encode([t[1:] for t in new], num_threads=1)
+        same = b"".join([self.b_bytes[i] for ids in b for i in ids]) == "".join(new).encode()
+        good = [same or b"".join([self.b_bytes[i] for i in ids]) == t.encode() for t, ids in zip(new, b)]
+        kept_a, kept_b = ([ids for ids, y in zip(x, good) if y] for x in (a, b))
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        many_a, many_b = (np.array([len(x) for x in lists], np.int64) for lists in (kept_a, kept_b))
+        owner = lambda many: np.repeat(np.arange(len(many)), many)
+        if kept_a:
+            groups, links, n_groups, n_links = self._align(flat(kept_a), flat(kept_b), owner(many_a), owner(many_b), len(kept_a))
+        else:
+            groups, links, n_groups, n_links = [], np.zeros(0, np.int64), many_a, many_a
+        good = np.array(good)
+        sizes = np.zeros((len(new), 4), np.int64)
+        sizes[good] = np.stack([many_a, many_b, n_groups, n_links], 1)
+        each = iter(groups)
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        self.groups += [next(each) if y else "" for y in good]
+        self.links = np.concatenate([self.links, links])
+        self.bad, self.sizes = np.concatenate([self.bad, ~good]), np.concatenate([self.sizes, sizes])
 
     def read(self, texts: list[str]):
         """(places of the stretches of all texts, where each text starts among them). Texts are
@@ -102,13 +124,6 @@ class Stretches:
         self.learn([s for s in dict.fromkeys(flat) if s not in self.at])
         return np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat)), np.cumsum([0] + [len(c) for c in cut[:-1]])
 
-    def flat_links(self):
-        """Links of all stretches in a row, and the stretch of each."""
-        import numpy as np
-
-        counts = self.sizes[:, 3]
-        return np.fromiter((x for links in self.links for x in links), np.int64, counts.sum()), np.repeat(np.arange(len(counts)), counts)
-
 
 def _letters() -> list[str]:
     """The printable letter that stands for each byte in A: itself where it is printable, else
@@ -140,7 +155,7 @@ def _good(stretches: Stretches, texts: list[str]):
     if not rows:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     places, starts = stretches.read([texts[k] for k in rows])
-    bad = np.add.reduceat(np.array(stretches.bad, np.int64)[places], starts) > 0
+    bad = np.add.reduceat(stretches.bad[places].astype(np.int64), starts) > 0
     sizes = np.diff(np.append(starts, len(places)))
     kept = np.repeat(~bad, sizes)
     sizes = sizes[~bad]
@@ -161,10 +176,9 @@ def local_counts(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
         stretches, seen, task = Stretches(spec.value), np.zeros(0, np.int64), TaskContext.get().partitionId()
 
         def flush():
-            links, owner = stretches.flat_links()
-            pairs, inverse = np.unique(links, return_inverse=True)
-            n = np.zeros(len(pairs), np.int64)
-            np.add.at(n, inverse, np.pad(seen, (0, len(stretches.groups) - len(seen)))[owner])
+            pairs, inverse = np.unique(stretches.links, return_inverse=True)
+            weight = np.repeat(seen, stretches.sizes[:, 3])
+            n = np.bincount(inverse, weight, len(pairs)).astype(np.int64)
             some = n > 0
             pairs, n = pairs[some], n[some]
             return pa.RecordBatch.from_arrays(
@@ -347,12 +361,11 @@ def _aligned(docs: DataFrame, spec, table, id_col: str, text_col: str) -> DataFr
 
         def score():
             """Sums over the links of stretches that are new."""
-            fresh = [x for links in stretches.links[len(scored) :] for x in links]
-            count, best = table.value.find(np.array(fresh, np.int64))
-            owner = np.repeat(np.arange(len(stretches.links) - len(scored)), [len(x) for x in stretches.links[len(scored) :]])
-            sums = np.zeros((len(stretches.links) - len(scored), 2), np.int64)
-            np.add.at(sums, owner, np.stack([best.astype(np.int64), count], 1))
-            return np.concatenate([scored, sums])
+            many = stretches.sizes[len(scored) :, 3]
+            count, best = table.value.find(stretches.links[len(stretches.links) - many.sum() :])
+            stop = np.cumsum(many)
+            up_to = lambda x: np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], stop])]
+            return np.concatenate([scored, np.stack([np.diff(up_to(best.astype(np.int64))), np.diff(up_to(count))], 1)])
 
         for batch in batches:
             done = 0
@@ -365,13 +378,19 @@ def _aligned(docs: DataFrame, spec, table, id_col: str, text_col: str) -> DataFr
                 digests = [""] * len(texts)
                 if good:
                     wide[good] = np.add.reduceat(per[places], starts)
-                    for k, lo, hi in zip(good, starts, np.append(starts[1:], len(places))):
-                        digests[k] = hashlib.sha256(b";".join([stretches.groups[i] for i in places[lo:hi]])).hexdigest()
+                    listed = list(map(stretches.groups.__getitem__, places.tolist()))
+                    for k, lo, hi in zip(good, starts.tolist(), [*starts[1:].tolist(), len(places)]):
+                        digests[k] = hashlib.sha256(";".join(listed[lo:hi]).encode()).hexdigest()
                 rows = [batch.column(0).slice(done, len(texts)), batch.column(1).slice(done, len(texts)), *(pa.array(c) for c in wide.T), pa.array(digests)]
                 if table is None:
                     owner, pairs, n = [], [], []
+                    many = stretches.sizes[:, 3]
+                    stop = np.cumsum(many)
                     for k, lo, hi in zip(good, starts, np.append(starts[1:], len(places))):
-                        each = np.unique(np.array([x for i in places[lo:hi] for x in stretches.links[i]], np.int64), return_counts=True)
+                        of = places[lo:hi]
+                        # Links of a document: those of its stretches, one stretch after another.
+                        steps = np.arange(many[of].sum()) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
+                        each = np.unique(stretches.links[np.repeat(stop[of] - many[of], many[of]) + steps], return_counts=True)
                         owner += [k] * len(each[0])
                         pairs.append(each[0])
                         n.append(each[1])
