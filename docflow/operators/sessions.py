@@ -60,20 +60,32 @@ def refuse_once(refusals: DataFrame) -> DataFrame:
     return refusals.groupBy("session").agg(first.alias("f")).select("session", "f.reason", F.col("f.ts").alias("refused_at"))
 
 
-def session_state(packets: DataFrame) -> DataFrame:
+def session_state(packets: DataFrame, idle: str | None = None) -> DataFrame:
     """Streaming intervals per session. A start while running and a stop while idle do
-    nothing; a disconnect ends the session and all that follows is void."""
-    closed = packets.where("action = 'disconnect'").groupBy("session").agg(
+    nothing; a disconnect ends the session and all that follows is void. With ``idle``, silence
+    of that length ends a connection: an interval that is open ends then, and the next packet,
+    of whatever action, opens another connection of the session."""
+    keys = ["session"]
+    if idle is not None:
+        length = F.expr(f"INTERVAL {idle}")
+        silent = running(packets, ["session"], ["ts", "seq"], lags={"__last": F.col("ts")})
+        new = F.when(F.col("ts") >= F.col("__last") + length, 1).otherwise(0)
+        keys.append("__connection")
+        packets = running(silent.withColumn("__new", new), ["session"], ["ts", "seq"], sums={"__connection": F.col("__new")}).drop("__last", "__new")
+        ends = packets.groupBy(*keys).agg((F.max("ts") + length).alias("__silence"))
+    closed = packets.where("action = 'disconnect'").groupBy(*keys).agg(
         F.min(F.struct("ts", "seq")).alias("__end")
     )
-    live = packets.join(closed, "session", "left").where(
+    live = packets.where("action IN ('start', 'stop', 'disconnect')").join(closed, keys, "left").where(
         F.col("__end").isNull() | (F.struct("ts", "seq") <= F.col("__end"))
     ).drop("__end")
-    before = running(live, ["session"], ["ts", "seq"], lags={"__was": F.col("action") == "start"})
+    before = running(live, keys, ["ts", "seq"], lags={"__was": F.col("action") == "start"})
     on = F.col("action") == "start"
     changes = before.where(on != F.coalesce("__was", F.lit(False)))
-    paired = running(changes, ["session"], ["ts", "seq"], leads={"ended": F.col("ts")})
-    return paired.where(on).select("session", F.col("ts").alias("started"), "ended")
+    paired = running(changes, keys, ["ts", "seq"], leads={"ended": F.col("ts")}).where(on)
+    if idle is not None:
+        paired = paired.join(ends, keys).withColumn("ended", F.coalesce("ended", "__silence"))
+    return paired.select("session", F.col("ts").alias("started"), "ended")
 
 
 def active_duration(states: DataFrame, keys: Sequence[str], running_state: str = "recording") -> DataFrame:

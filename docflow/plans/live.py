@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docflow.functions import wire
@@ -126,6 +127,39 @@ def frame_reassembly(spark, sf):
     return whole.withColumn("payload", wire.utf8(F.col("payload")))
 
 
+STALL, FRAME_DELAY = "1 day", "10 minutes"
+
+
+def broken_connections(spark, sf):
+    """The chunks of ``chunks``; where a session falls silent for a day, half of the frames
+    before the silence lack their second chunk."""
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    after = F.lead("ts").over(by_time)
+    silent = after.isNull() | (after > F.col("ts") + F.expr(f"INTERVAL {STALL}"))
+    cut = table(spark, sf, "events").select("event_id", (silent & (F.col("event_id") % 2 == 0)).alias("cut")).where("cut")
+    lost = cut.select((F.col("event_id") * 2 + 1).alias("seq"))
+    return chunks(spark, sf).join(lost, "seq", "left_anti").select("session", "ts", "seq", "data")
+
+
+@query("frame_connections_live", f"""
+WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {FRAME_DELAY} AS passed FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL {STALL} THEN 1 ELSE 0 END AS new, coalesce(lead(ts) OVER w > ts + INTERVAL {STALL}, true) AS silent,
+  lead(ts) OVER w IS NOT NULL OR ts + INTERVAL {STALL} <= (SELECT passed FROM m) AS known FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+f AS (SELECT user_id AS session, k, min(ts) OVER c AS opened, row_number() OVER (c ORDER BY ts, event_id) AS frame_no, {TYPE_CASE} AS type, props AS payload, known,
+  silent AND event_id % 2 = 0 AS cut, CASE WHEN silent AND event_id % 2 = 0 AND (event_id % 19 + 1 < 14 OR event_id % 313 = 0 AND event_id % 301 <> 0 AND event_id % 307 <> 0 AND event_id % 311 <> 0) THEN 'incomplete' ELSE {REASON_SQL.format('', '')} END AS bad
+  FROM n WINDOW c AS (PARTITION BY user_id, k)),
+r AS (SELECT *, CASE WHEN bad IS NULL AND cut THEN 'incomplete' ELSE bad END AS reason FROM f),
+e AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN frame_no END) OVER (PARTITION BY session, k) AS ends FROM r)
+SELECT session, opened, frame_no, CASE WHEN reason IS NULL THEN type END AS type, CASE WHEN reason IS NULL THEN payload END AS payload, reason
+FROM e WHERE (ends IS NULL OR frame_no <= ends) AND (reason IS NULL OR reason <> 'incomplete' OR known)""")
+def frame_connections_live(spark, sf):
+    """Frames out of a stream whose batches cut frames in two, with connections that stall."""
+    arriving = streams.stream_in_parts(broken_connections(spark, sf), scratch(spark, "chunks"), F.col("ts"), "session")
+    frames = streams.run_available(streams.frame_connections_stream(arriving, STALL, FRAME_DELAY), scratch(spark, "frames"))
+    return frames.withColumn("payload", wire.utf8(F.col("payload")))
+
+
 @query("traffic_windows", f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id AS session, {TYPE_CASE} AS type, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM events GROUP BY ALL""")
 def traffic_windows(spark, sf):
@@ -158,6 +192,26 @@ def session_state(spark, sf):
     return ops.session_state(packets.where("action IS NOT NULL"))
 
 
+IDLE, PACKET_DELAY = "1 day", "2 hours"
+
+
+@query("session_state_live", f"""
+WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {PACKET_DELAY} AS passed FROM events),
+a AS (SELECT user_id AS session, ts, event_id AS seq, coalesce({ACTION_CASE}, 'ping') AS action FROM events WHERE ts <= (SELECT passed FROM m)),
+g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY session ORDER BY ts, seq) + INTERVAL {IDLE} THEN 1 ELSE 0 END AS new FROM a),
+n AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, seq) AS k FROM g),
+p AS (SELECT *, max(ts) OVER (PARTITION BY session, k) + INTERVAL {IDLE} AS silence, min(CASE WHEN action = 'disconnect' THEN (ts, seq) END) OVER (PARTITION BY session, k) AS closed FROM n),
+l AS (SELECT *, lag(action) OVER (PARTITION BY session, k ORDER BY ts, seq) AS was FROM p WHERE action <> 'ping' AND (closed IS NULL OR (ts, seq) <= closed)),
+c AS (SELECT *, lead(ts) OVER (PARTITION BY session, k ORDER BY ts, seq) AS next FROM l WHERE (action = 'start') <> coalesce(was = 'start', false))
+SELECT session, ts AS started, coalesce(next, silence) AS ended FROM c WHERE action = 'start' AND (next IS NOT NULL OR silence <= (SELECT passed FROM m))""")
+def session_state_live(spark, sf):
+    """Intervals out of a stream of packets that arrive shuffled by up to the delay."""
+    late = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(crc32(CAST(seq AS STRING)) % 7000 AS DECIMAL(18, 6)))")
+    packets = table(spark, sf, "events").selectExpr("user_id AS session", "ts", "event_id AS seq", f"coalesce({ACTION_CASE}, 'ping') AS action")
+    arriving = streams.stream_in_parts(packets, scratch(spark, "packets"), F.col("ts") + late, "session")
+    return streams.run_available(streams.session_intervals_stream(arriving, IDLE, PACKET_DELAY), scratch(spark, "intervals"))
+
+
 @query("active_duration", """
 WITH s AS (SELECT user_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events WHERE event_type IN ('signup', 'error'))
 SELECT user_id, count(*) AS changes, coalesce(sum(epoch_us(nx) - epoch_us(ts)) FILTER (WHERE event_type = 'signup'), 0)::DOUBLE / 1000000 AS active_seconds FROM s GROUP BY user_id""")
