@@ -39,19 +39,58 @@ def registry_new(beacons: DataFrame, known: DataFrame) -> DataFrame:
     return peer_registry(beacons).join(known.select("host", "port").distinct(), ["host", "port"], "left_anti")
 
 
+def gap_sessions(events: DataFrame, keys: Sequence[str], gap: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``keys, start, last, n`` and sums of the stretches of a key whose events are closer than
+    ``gap``. Of times that are null nothing is known; such events are left out.
+
+    Events of one block of the length of a gap belong together whatever they are, so a first
+    aggregate, which combines before it shuffles, leaves one row per key and block that has
+    events. Only those rows are put in order per key: a key with a third of all events is
+    spread over its blocks until it is small."""
+    sums = sums or {}
+    step = F.expr(f"INTERVAL {gap}")
+    length = F.unix_micros(F.timestamp_seconds(F.lit(0)) + step)
+    timed = events.where(F.col("ts").isNotNull()).withColumn("__block", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / length))
+    blocks = timed.groupBy(*keys, "__block").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items())
+    )
+    before = running(blocks, keys, ["__block"], lags={"__before": F.col("last")})
+    new = F.when(F.col("__before").isNull() | (F.col("start") >= F.col("__before") + step), 1).otherwise(0)
+    numbered = running(before.withColumn("__new", new), keys, ["__block"], sums={"__session": F.col("__new")})
+    return numbered.groupBy(*keys, "__session").agg(
+        F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums)
+    ).drop("__session")
+
+
 def host_presence(beacons: DataFrame, gap: str) -> DataFrame:
     """When each host was online: beacons closer than the gap belong together."""
-    return beacons.groupBy("host", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("beacons"), F.max("ts").alias("last_seen")
-    ).select("host", F.col("w.start").alias("online_from"), "last_seen", "beacons")
+    return gap_sessions(beacons, ["host"], gap).select("host", F.col("start").alias("online_from"), F.col("last").alias("last_seen"), F.col("n").alias("beacons"))
 
 
 def traffic_windows(frames: DataFrame, length: str, slide: str | None = None, keys: Sequence[str] = ("session", "type")) -> DataFrame:
-    """Frames and bytes per window, tumbling or sliding."""
-    window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return frames.groupBy(window.alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
-    ).select(F.col("w.start").alias("window_start"), *keys, "n", "bytes")
+    """Frames and bytes per window, tumbling or sliding.
+
+    Sliding windows are sums of panes, one per step of ``slide``: each event is aggregated
+    once, and what is copied into all windows it lies in is a pane, not the event. ``length``
+    is a multiple of ``slide``."""
+    step = slide or length
+    panes = frames.groupBy(F.window("ts", step).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select(
+        F.col("w.start").alias("window_start"), *keys, "n", "bytes"
+    )
+    if slide is None or slide == length:
+        return panes
+    import pandas as pd
+
+    copies, rest = divmod(pd.Timedelta(length), pd.Timedelta(slide))
+    if rest:
+        raise ValueError(f"{length} is no multiple of {slide}")
+    starts = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: F.col("window_start") - k * F.expr(f"INTERVAL {slide}"))
+    return panes.withColumn("window_start", F.explode(starts)).groupBy("window_start", *keys).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def traffic_sessions(frames: DataFrame, gap: str, keys: Sequence[str] = ("session", "type")) -> DataFrame:
+    """Frames and bytes of stretches of traffic: frames closer than ``gap`` belong together."""
+    return gap_sessions(frames, keys, gap, {"bytes": F.col("bytes")}).select(F.col("start").alias("started"), F.col("last").alias("ended"), *keys, "n", "bytes")
 
 
 def refuse_once(refusals: DataFrame) -> DataFrame:

@@ -72,6 +72,20 @@ def host_presence(spark, sf):
     return ops.host_presence(ops.valid_beacons(settle(beacons(spark, sf))), "6 hours")
 
 
+@query("host_presence_live", f"""
+WITH {BEACONS_SQL}, m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS passed FROM b),
+g AS (SELECT host, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY host ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM b),
+s AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY ts) AS k FROM g),
+p AS (SELECT host, min(ts) AS online_from, max(ts) AS last_seen, count(*) AS beacons FROM s GROUP BY host, k)
+SELECT * FROM p WHERE last_seen + INTERVAL 6 HOUR <= (SELECT passed FROM m)""")
+def host_presence_live(spark, sf):
+    """Stays of hosts out of a stream of beacons that arrive shuffled by up to 50 minutes."""
+    late = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(crc32(CAST(seq AS STRING)) % 3000 AS DECIMAL(18, 6)))")
+    packets = ops.valid_beacons(settle(beacons(spark, sf)))
+    arriving = streams.stream_in_parts(packets, scratch(spark, "beacons"), F.col("ts") + late, "host")
+    return streams.run_available(streams.presence_stream(arriving, "1 hour", "6 hours"), scratch(spark, "presence"))
+
+
 # ---- frames ---------------------------------------------------------------------------
 
 TYPE_CASE = "CASE event_type WHEN 'click' THEN 20 WHEN 'view' THEN 11 WHEN 'error' THEN 250 WHEN 'signup' THEN 10 ELSE 21 END"
@@ -163,10 +177,40 @@ def frame_connections_live(spark, sf):
 @query("traffic_windows", f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id AS session, {TYPE_CASE} AS type, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM events GROUP BY ALL""")
 def traffic_windows(spark, sf):
-    rows = table(spark, sf, "events").select(
+    return ops.traffic_windows(traffic(spark, sf), "1 hour")
+
+
+def traffic(spark, sf):
+    return table(spark, sf, "events").select(
         "ts", F.col("user_id").alias("session"), F.expr(TYPE_CASE).alias("type"), F.length("props").alias("bytes")
     )
-    return ops.traffic_windows(rows, "1 hour")
+
+
+@query("traffic_sliding", f"""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS window_start, user_id AS session, {TYPE_CASE} AS type, count(*) AS n, sum(length(props))::BIGINT AS bytes
+FROM events, range(6) r(k) GROUP BY ALL""")
+def traffic_sliding(spark, sf):
+    return ops.traffic_windows(traffic(spark, sf), "6 hours", "1 hour")
+
+
+@query("traffic_sessions", f"""
+WITH e AS (SELECT ts, event_id, user_id AS session, {TYPE_CASE} AS type, length(props) AS bytes FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY session, type ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY session, type ORDER BY ts, event_id) AS k FROM g)
+SELECT min(ts) AS started, max(ts) AS ended, session, type, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM s GROUP BY session, type, k""")
+def traffic_sessions(spark, sf):
+    return ops.traffic_sessions(traffic(spark, sf), "6 hours")
+
+
+@query("traffic_live", f"""
+WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS passed FROM events),
+w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS window_start, user_id AS session, {TYPE_CASE} AS type, count(*) AS n, sum(length(props))::BIGINT AS bytes
+FROM events, range(3) r(k) GROUP BY ALL)
+SELECT * FROM w WHERE window_start + INTERVAL 3 HOUR <= (SELECT passed FROM m)""")
+def traffic_live(spark, sf):
+    """Sliding windows out of a stream, each once it is over."""
+    arriving = streams.stream_in_parts(traffic(spark, sf), scratch(spark, "traffic"), F.col("ts"), "session")
+    return streams.run_available(streams.traffic_stream(arriving, "1 hour", "3 hours", "1 hour"), scratch(spark, "windows"))
 
 
 @query("refuse_once", """

@@ -33,16 +33,39 @@ def peer_registry_stream(beacons: DataFrame, delay: str | None = None) -> DataFr
     return found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host", "port"])
 
 
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with a watermark on ``ts`` and the same time ``at`` in microseconds."""
+    exact = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return exact.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+
+
+def _time(micros: str, like: DataFrame) -> Column:
+    """Microseconds as a time of the type that ``ts`` has."""
+    return F.timestamp_micros(micros).cast(like.schema["ts"].dataType)
+
+
 def refuse_once_stream(refusals: DataFrame, delay: str) -> DataFrame:
-    return refusals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session"])
+    """The first refusal of a session to arrive; more of them within ``delay`` behind it, and what is
+    older than the watermark when it comes, are left out."""
+    kept = _timed(refusals, delay).dropDuplicatesWithinWatermark(["session"])
+    return kept.withColumn("ts", F.col("ts").cast(refusals.schema["ts"].dataType)).drop("at")
 
 
-def traffic_stream(frames: DataFrame, delay: str, length: str, slide: str | None = None) -> DataFrame:
-    return sessions.traffic_windows(frames.withWatermark("ts", delay), length, slide)
+def traffic_stream(frames: DataFrame, delay: str, length: str, slide: str | None = None, keys: tuple[str, ...] = ("session", "type")) -> DataFrame:
+    """``window_start, keys, n, bytes`` of windows that the watermark has passed."""
+    window = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return _timed(frames, delay).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select(
+        F.col("w.start").cast(frames.schema["ts"].dataType).alias("window_start"), *keys, "n", "bytes"
+    )
 
 
 def presence_stream(beacons: DataFrame, delay: str, gap: str) -> DataFrame:
-    return sessions.host_presence(beacons.withWatermark("ts", delay), gap)
+    """The rows of ``sessions.host_presence`` once the watermark has passed a gap without a
+    beacon; beacons that come later than ``delay`` are left out."""
+    kind = beacons.schema["ts"].dataType
+    return _timed(beacons, delay).groupBy("host", F.session_window("ts", gap).alias("w")).agg(
+        F.count(F.lit(1)).alias("beacons"), F.max("ts").alias("last_seen")
+    ).select("host", F.col("w.start").cast(kind).alias("online_from"), F.col("last_seen").cast(kind).alias("last_seen"), "beacons")
 
 
 def frame_reassembly_stream(chunks: DataFrame) -> DataFrame:
@@ -110,17 +133,6 @@ def _micros(interval: str) -> int:
     return pd.Timedelta(interval) // pd.Timedelta(microseconds=1)
 
 
-def _timed(rows: DataFrame, delay: str) -> DataFrame:
-    """Rows with a watermark on ``ts`` and the same time ``at`` in microseconds."""
-    exact = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    return exact.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-
-
-def _time(micros: str, like: DataFrame) -> Column:
-    """Microseconds as a time of the type that ``ts`` has."""
-    return F.timestamp_micros(micros).cast(like.schema["ts"].dataType)
-
-
 class _Frames(StatefulProcessor):
     """Frames of one session. Its state is the connection that is open: bytes that make no
     whole frame yet, frames so far, and the last chunk. A timer closes it."""
