@@ -8,7 +8,8 @@ from docflow.operators import layout as L
 from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
 from docflow.plans.values import LINES_SQL, doc_lines
-from docflow.sources.placing import spread
+from docflow.sources.files import write_parts
+from docflow.sources.placing import scratch, spread
 
 # ---- words of the documents -----------------------------------------------------------
 
@@ -272,7 +273,10 @@ WITH RECURSIVE {CELLS_SQL}
 SELECT doc_id, page_no, table_no, row_no, col_no, text FROM ce
 UNION ALL SELECT DISTINCT doc_id, 1, 0, 0, 1, '— page 1 —' FROM ce""")
 def sink_per_page(spark, sf):
-    return L.sheet_rows(cells(spark, sf), ["doc_id", "page_no"])
+    """All pages as sheets on disk, one folder per page, and what lies there."""
+    target = scratch(spark, "sheets")
+    write_parts(L.sheet_rows(cells(spark, sf), ["doc_id", "page_no"]), target, ["page_no"], 100_000)
+    return spark.read.parquet(target)
 
 
 SPANS = {

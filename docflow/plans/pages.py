@@ -8,6 +8,8 @@ from docflow.operators import pages as ops
 from docflow.plans.lists import SIZE_LABEL
 from docflow.plans.registry import query, table
 from docflow.sources import tables as t
+from docflow.sources.files import write_parts
+from docflow.sources.placing import scratch
 
 PLAN_SQL = t.derived_sql(t.PAGE_PLAN, "lineitem")
 SOURCES_SQL = (
@@ -111,7 +113,11 @@ SELECT source_id, part_no, 'doc_' || source_id || '_' || a || CASE WHEN a = b TH
 def sink_split_parts(spark, sf):
     rows = ops.range_pages(_good_ranges(spark, sf))
     name = ops.part_name(F.concat(F.lit("doc:"), F.col("source_id").cast("string")), F.col("first"), F.col("last"))
-    return rows.groupBy("source_id", "part_no", name.alias("part_name")).agg(F.count(F.lit(1)).alias("pages"))
+    # Parts are many and small: a folder holds those of a thirty-second of all sources.
+    parts = rows.select("source_id", "part_no", name.alias("part_name"), "page_no", F.pmod(F.xxhash64("source_id"), F.lit(32)).cast("int").alias("folder"))
+    target = scratch(spark, "parts")
+    write_parts(parts, target, ["folder"], 100_000)
+    return spark.read.parquet(target).groupBy("source_id", "part_no", "part_name").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("cascade_delete", f"""

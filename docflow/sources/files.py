@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.operators.ordered import first_rows
+
 ENTRY_SCHEMA = (
     "archive_id string, entry_no long, path string, size long, compressed_size long, modified timestamp, "
     "is_directory boolean, is_encrypted boolean, error string"
 )
 
 
-def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = ()) -> DataFrame:
-    """Files directly in a folder, without their content. Of paths that differ in case only
-    the first in order stays."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length")
-    files = files.groupBy(F.lower("path").alias("low")).agg(F.min(F.struct("path", "modificationTime", "length")).alias("f")).select("f.*")
+def _plain(path):
+    """A path without its scheme, which sources spell in more than one way."""
+    return F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/*", "/")
+
+
+def list_files(spark: SparkSession, entries: str | Sequence[str], extensions: Sequence[str] = ()) -> DataFrame:
+    """``path, name, modified, length`` of dropped files and of the files directly in dropped
+    folders, without reading them.
+
+    Only the given extensions are listed, whatever their case. Of paths that differ in case
+    only the first stays: that of the first entry, and of one entry the smallest path."""
+    entries = [entries] if isinstance(entries, str) else list(entries)
+    meta = F.col("_metadata")
+    found = spark.read.format("binaryFile").load(entries).select(
+        meta["file_path"].alias("path"), meta["file_name"].alias("name"), meta["file_modification_time"].alias("modified"), meta["file_size"].alias("length")
+    )
     if extensions:
-        files = files.where(F.lower(F.regexp_extract("path", r"\.[^./\\]+$", 0)).isin([e.lower() for e in extensions]))
-    return files
+        found = found.where(F.lower(F.regexp_extract("name", r"\.[^.]+$", 0)).isin([e.lower() for e in extensions]))
+    order = spark.createDataFrame(list(enumerate(entries)), "entry int, at string").select("entry", F.regexp_replace(_plain(F.col("at")), "/+$", "").alias("at"))
+    # A file belongs to the entry that names it, or to the one that names a folder above it.
+    plain = _plain(F.col("path"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(plain, "/"))), lambda n: F.call_function("substring_index", plain, F.lit("/"), n)))
+    owned = found.withColumn("at", above).join(order, "at").groupBy("path", "name", "modified", "length").agg(F.min("entry").alias("entry"))
+    return first_rows(owned, [F.lower("path")], ["entry", "path"]).select("path", "name", "modified", "length")
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -121,7 +140,31 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def write_by(df: DataFrame, path: str, column: str, form: str = "parquet") -> None:
-    """One folder per page or part. Rows of one value are written by several tasks, so a
-    large part is not one task's work."""
-    df.write.mode("errorifexists").partitionBy(column).format(form).save(path)
+def write_parts(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 1_000_000) -> None:
+    """One folder per value of ``by``, written whole or not at all, and never over another table.
+
+    Rows are rebalanced by part at run time: a part of more than the advisory size is dealt out to several
+    tasks, so a part with most of the rows is not one task's work, and small parts share one.
+    No file has more than ``rows_per_file`` rows. The table is written beside its place and
+    moved there at the end, so nobody reads half of it."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    target, staged = hadoop.Path(path), hadoop.Path(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    store = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise FileExistsError(path)
+    df.hint("rebalance", *(F.col(c) for c in by)).write.partitionBy(*by).option("maxRecordsPerFile", rows_per_file).parquet(str(staged))
+    if store.exists(target) or not store.rename(staged, target):
+        store.delete(staged, True)
+        raise FileExistsError(path)
+
+
+def write_split(df: DataFrame, path: str, error: str = "error") -> None:
+    """Accepted and rejected rows as two tables of one folder, out of one pass: rows with an
+    error lie in ``rejected=true``, the others in ``rejected=false``."""
+    df.withColumn("rejected", F.col(error).isNotNull()).write.mode("errorifexists").partitionBy("rejected").parquet(path)
+
+
+def write_texts(df: DataFrame, path: str, content: str, by: Sequence[str] = (), line_end: str = "\n", rows_per_file: int = 0) -> None:
+    """Bytes as they are, each row followed by ``line_end``, as files of any number of rows."""
+    rows = df.select(*by, F.col(content).cast("string").alias("value"))
+    rows.write.mode("append").partitionBy(*by).option("lineSep", line_end).option("maxRecordsPerFile", rows_per_file).text(path)
