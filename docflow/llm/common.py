@@ -58,6 +58,16 @@ def bucket(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def version(text_col: str) -> Column:
+    """Tells texts apart that share an id or have none. Null counts as empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def row_key(id_col: str) -> Column:
-    """An id as text that joins, null included."""
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    """An id as text that joins, null included and unlike any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+
+
+def text_key(id_col: str, text_col: str) -> Column:
+    """A key of an id and its text that is never null and has an order: null ids rank last."""
+    return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), version(text_col).alias("version"))

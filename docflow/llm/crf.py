@@ -149,9 +149,20 @@ def fit(sequences: list, labels: list[int], rounds: int = 150, decay: float = 1e
     return chain
 
 
+def stretch(text: str, max_lines: int):
+    """Features of up to ``max_lines`` lines of a text that follow each other, from a place that
+    the text's checksum picks: any part of a long text may be learned from."""
+    from zlib import crc32
+
+    lines = line_features(text)[0]
+    spare = len(lines) - max_lines
+    start = crc32(text.encode("utf-8", "replace")) % (spare + 1) if spare > 0 else 0
+    return lines[start : start + max_lines]
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 60) -> Chain | float:
     """A chain fitted to a bounded sample: up to ``max_docs`` labelled documents outside the
-    held-out fold, in hash order, and ``max_lines`` lines of each. Features are made by the
+    held-out fold, in hash order, and a stretch of ``max_lines`` lines of each. Features are made by the
     tasks. With one class only, or none, the share of good ones stands for all (0.5 without
     labels)."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), 5) != 0))
@@ -164,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: i
         import pyarrow as pa
 
         for batch in batches:
-            own = [line_features(t.as_py() or "")[0][:max_lines].ravel().tolist() for t in batch.column(0)]
+            own = [stretch(t.as_py() or "", max_lines).ravel().tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["own", "quality"])
 
     import numpy as np

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import bucket, documents, query, row_key
+from docflow.llm.common import bucket, documents, query, row_key, version
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -16,11 +17,19 @@ _BLOCK = 1024  # bytes parsed in one go; a phrase ends at the end of its block
 _GROUP = 4_000_000  # bytes parsed together
 
 
+@cache
+def _numerals() -> str:
+    """Numerals that are no digits, such as fractions and Roman numbers: no letters either."""
+    import unicodedata
+
+    return "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+
+
 def plain(text: str) -> bytes:
     """Letters in lower case, everything else as one space."""
     import re
 
-    return re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode("utf-8", "replace")
+    return re.sub(rf"[\W\d_{_numerals()}]+", " ", text.lower()).strip().encode("utf-8", "replace")
 
 
 def suffix_automaton(data: list[int]) -> list[dict[int, int]]:
@@ -134,11 +143,13 @@ class Parser:
 
 def samples(docs: DataFrame, docs_per_lang: int = 60, chars_per_doc: int = 1000) -> dict[str, bytes]:
     """Labelled text per language: up to ``docs_per_lang`` documents outside the held-out
-    fold in hash order, ``chars_per_doc`` characters of each. This bounded sample is what
+    fold in hash order, ``chars_per_doc`` characters of each from a place that its hash picks. This bounded sample is what
     the driver and every task hold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (bucket(F.col("doc_id"), 3) != 1))
     key = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    ranked = known.select("lang", F.left("text", F.lit(chars_per_doc)).alias("t"), key.alias("k"))
+    spare = F.greatest(F.length("text") - chars_per_doc, F.lit(0))
+    start = F.pmod(F.xxhash64("text"), spare.cast("bigint") + 1).cast("int") + 1
+    ranked = known.select("lang", F.substring(F.col("text"), start, F.lit(chars_per_doc)).alias("t"), key.alias("k"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "t"))
     rows = ranked.select("lang", "t", place.alias("n")).where(F.col("n") <= docs_per_lang).orderBy("lang", "n").collect()
     out: dict[str, list[bytes]] = {}
@@ -151,7 +162,7 @@ def identify(
     docs: DataFrame, docs_per_lang: int = 60, chars_per_doc: int = 1000,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score.
+    """Per document: doc_id, held_out, lang_pred, score, version (a hash of the text).
 
     Learns from text and language of documents whose CRC-32 of the id is not 1 modulo 3.
     Whole texts are parsed, in blocks of 1024 bytes, by the suffix automaton of every
@@ -175,24 +186,24 @@ def identify(
                 size += len(text)
                 if size >= _GROUP or i == batch.num_rows - 1:
                     langs, scores = parser.predict(texts) if parser else (["und"] * len(texts), [0.0] * len(texts))
-                    ids = batch.column(0).slice(done, len(texts))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                    ids, versions = (batch.column(c).slice(done, len(texts)) for c in (0, 2))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores), versions], ["doc_id", "lang_pred", "score", "version"])
                     done += len(texts)
                     texts, size = [], 0
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    found = rows.select("doc_id", "text", version("text").alias("version")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, version long")
+    return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "version")
 
 
-def drop_unknown(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents whose language is identified, with all their columns. Rows that share an id
-    stay together when one of them is identified."""
-    known = identify(docs, id_col=id_col).groupBy(row_key("doc_id").alias("key")).agg(F.max(F.col("lang_pred") != "und").alias("known"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"))
-    return keyed.join(known.where("not known").select("key"), "key", "left_anti").select("row.*")
+def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents whose language is identified, with all their columns. Rows that share an id or
+    have none are judged by their own text each; one row in is one row out or none."""
+    unknown = identify(docs, id_col=id_col, text_col=text_col).where("lang_pred = 'und'").select(row_key("doc_id").alias("key"), "version").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"), version(text_col).alias("version"))
+    return keyed.join(unknown, ["key", "version"], "left_anti").select("row.*")
 
 
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(documents(spark, sf_dir))
+    return identify(documents(spark, sf_dir)).drop("version")

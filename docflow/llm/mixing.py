@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import WORD, documents, query, row_key, steady
+from docflow.llm.common import WORD, documents, query, row_key, steady, version
 
 _BLOCK_DIGITS = 3  # hexadecimal digits of the key that name a block: 4096 blocks per source
 
@@ -37,7 +37,8 @@ def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, epochs, taken.
+    """Per document: doc_id, source, size, source_size, target, epochs, taken, version (a hash
+    of the text).
 
     Size is the number of words, 0 for null. Each document gets a random key by hashing its
     id, so reruns agree. A source is taken whole as often as its target holds it, and the
@@ -53,7 +54,7 @@ def mix(
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = steady(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), key.alias("key"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), key.alias("key"), version(text_col).alias("version"),
     ).withColumn("block", F.substring("key", 1, _BLOCK_DIGITS)))
 
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("in_block"))
@@ -64,7 +65,7 @@ def mix(
         F.col("c.source").alias("s"), F.col("c.block").alias("b"), "carry", "source_size", "target"
     )
 
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("upto", F.sum("size").over(inside))
     joined = summed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -72,17 +73,24 @@ def mix(
     left = F.col("target") - F.col("whole") * F.col("source_size")
     middle = F.col("carry") + F.col("upto") - F.col("size") / 2
     return sized.withColumn("epochs", F.col("whole") + F.when((F.col("size") > 0) & (middle <= left), 1).otherwise(0)).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), "version"
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: all columns of the documents taken, each as often as it has epochs.
-    Rows that share an id share the largest number of epochs among them."""
-    id_col = options.get("id_col", "doc_id")
-    times = mix(docs, **options).groupBy(row_key("doc_id").alias("key")).agg(F.max("epochs").alias("times")).where("times > 0")
-    taken = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key")).join(times, "key")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    Texts that share an id or have none each have their own epochs; rows that repeat an id,
+    text and source share out the epochs planned for them, the first by their hash one more."""
+    id_col, text_col, source_col = (options.get(c, d) for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    keys = ["key", "version", "origin"]
+    planned = mix(docs, **options).groupBy(row_key("doc_id").alias("key"), "version", row_key("source").alias("origin"))
+    times = planned.agg(F.sum("epochs").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0")
+    row = F.struct(*docs.columns)
+    keyed = docs.select(row.alias("row"), row_key(id_col).alias("key"), version(text_col).alias("version"), row_key(source_col).alias("origin"), F.xxhash64(row).alias("hash"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+    own = F.floor(F.col("times") / F.col("rows")) + F.when(nth <= F.col("times") % F.col("rows"), 1).otherwise(0)
+    taken = keyed.join(times, keys).withColumn("own", own.cast("int")).where("own > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.common import bucket, documents, query, steady
+from docflow.llm.common import bucket, documents, query, steady, version
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -199,7 +199,7 @@ def choose_spans(found: DataFrame, max_train: int = 5000, rounds: int = 8, depth
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, ``base`` and ``spans``, arrays of (kind, start, end) by kind and
+    """Per document: doc_id, version (a hash of the text), ``base`` and ``spans``, arrays of (kind, start, end) by kind and
     start. Kinds are numbered as in ``KINDS``; places count code points, ends exclusive.
 
     Base spans always stay. Added ones do not cut a base span; where added spans of a kind
@@ -208,7 +208,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     gives no rows, further columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), version(text_col).alias("version"), text.alias("text"))
     based = base_spans(rows)
     found = steady(candidates(based).distinct())
     added = choose_spans(found, **options)
@@ -218,15 +218,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     beaten = lambda x: F.exists("more", lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (y["end"] > x["start"]) & (rank(y) > rank(x)))
     best = listed.select("d", "v", F.transform(F.filter("more", lambda x: ~beaten(x)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("more"))
     joined = based.drop("text").join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    return joined.select("doc_id", "version", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``doc_id, text, spans``: texts with every span replaced by its kind in brackets. Of
-    spans that overlap the first is replaced and the rest of the others with it."""
-    found = find_pii(docs, id_col, text_col, **options).distinct()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(found.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+    spans that overlap the first is replaced and the rest of the others with it. One row in is
+    one row out: texts that share an id or have none are each redacted by their own spans.
+    Null text stays null."""
+    found = find_pii(docs, id_col, text_col, **options).dropDuplicates(["doc_id", "version"]).withColumnsRenamed({"doc_id": "d", "version": "v"})
+    rows = docs.select(F.col(id_col).alias("doc_id"), version(text_col).alias("version"), F.col(text_col).alias("text"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")))
     ordered = joined.withColumn("o", F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     names = F.array(*map(F.lit, KINDS))
     upto = lambda k: F.aggregate(F.slice("o", F.lit(1), k), F.lit(0).cast("bigint"), lambda acc, x: F.greatest(acc, x["end"]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docflow.llm.common import documents, query, row_key, steady
+from docflow.llm.common import documents, query, row_key, steady, text_key
 from docflow.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,12 +123,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns. Rows
-    that repeat that id stay together."""
-    found = near_dedup(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(row_key("doc_id").alias("key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col).alias("key"))
-    return keyed.join(keep, "key", "left_semi").select("row.*")
+    """One document of each group, the one with the smallest id, with all its columns. Null ids
+    rank last; of texts that share an id the one of the smallest hash counts as first, and of
+    rows that repeat an id and its text one stays."""
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = near_dedup(keyed, "key", "text").where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    # As text and number the parts of the key compare in a join by hash.
+    flat = lambda df: df.withColumns({"k": row_key("key.id"), "v": F.col("key.version")}).drop("key", "text")
+    return flat(keyed).join(flat(found), ["k", "v"], "left_semi").dropDuplicates(["k", "v"]).select("row.*")
 
 
 @query("op4_simhash")
