@@ -70,6 +70,82 @@ def positional_value(digits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+_LIMB = 6  # decimal digits of a limb: sums of billions of them fit 64 bits
+
+
+def _powers(exponents: DataFrame) -> DataFrame:
+    """``base, exponent, limb, value``: powers of each base up to its largest exponent, as
+    limbs of six decimal digits from the lowest up, without those that are zero."""
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for base, most in zip(frame["base"].tolist(), frame["most"].tolist()):
+                power, out = 1, []
+                for exponent in range(most + 1):
+                    text = str(power)
+                    limbs = [int(text[max(0, end - _LIMB) : end]) for end in range(len(text), 0, -_LIMB)]
+                    out += [(base, exponent, k, v) for k, v in enumerate(limbs) if v]
+                    power *= base
+                    if len(out) > 100_000 or exponent == most:
+                        yield pd.DataFrame(out, columns=["base", "exponent", "limb", "value"])
+                        out = []
+
+    def unlimited(frames):
+        import sys
+
+        # Python refuses to write numbers of more than 4300 digits unless told otherwise.
+        if hasattr(sys, "set_int_max_str_digits"):
+            sys.set_int_max_str_digits(0)
+        return run(frames)
+
+    most = exponents.groupBy("base").agg(F.max("exponent").cast("int").alias("most"))
+    return most.mapInPandas(unlimited, "base int, exponent int, limb int, value long")
+
+
+def _carried(limbs: str) -> Column:
+    """The number whose limb sums these are, as text: carries are resolved from the lowest up."""
+    sums = F.map_from_entries(F.col(limbs))
+    every = F.transform(F.sequence(F.lit(0), F.array_max(F.col(limbs)["limb"])), lambda k: F.coalesce(F.get(F.map_values(F.map_filter(sums, lambda i, _: i == k)), F.lit(0)), F.lit(0)))
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("text"))
+    unit = 10**_LIMB
+
+    def step(acc, x):
+        total = acc["carry"] + x
+        return F.struct(F.floor(total / unit).alias("carry"), F.concat(F.lpad((total % unit).cast("string"), _LIMB, "0"), acc["text"]).alias("text"))
+
+    done = F.aggregate(every, start, step)
+    text = F.regexp_replace(F.concat(done["carry"].cast("string"), done["text"]), "^0+(?=[0-9])", "")
+    return text
+
+
+def positional_text(digits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, integer, numerator, denominator`` as decimal text: the value of digits in rows, for
+    any number of digits and any base.
+
+    Rows are ``keys, position, digit, base``; whole digits have positions from 0 up, fraction
+    digits from -1 down, and a key has one base. A digit times a power of its base is a few
+    limbs; limbs are summed like any other column, with partial sums before the shuffle, so
+    the digits of one number may be spread over all tasks. Carries are resolved once, on the
+    limbs of a number. Positions that are missing count as zero, repeated ones add up; rows without a
+    position or a digit are left out.
+    """
+    known = digits.where("position IS NOT NULL AND digit IS NOT NULL").withColumn("base", F.col("base").cast("int"))
+    depth = known.groupBy(*keys).agg(F.max(F.greatest(-F.col("position"), F.lit(0))).cast("int").alias("depth"), F.max("base").alias("base"))
+    part = F.col("position") < 0
+    placed = known.drop("base").join(depth, list(keys)).select(
+        *keys, "base", F.when(part, 1).otherwise(0).alias("side"), F.when(part, F.col("depth") + F.col("position")).otherwise(F.col("position")).cast("int").alias("exponent"),
+        F.col("digit").cast("bigint").alias("digit"),
+    )
+    whole = depth.select(*keys, "base", F.lit(2).alias("side"), F.col("depth").alias("exponent"), F.lit(1).cast("bigint").alias("digit"))
+    terms = placed.unionByName(whole)
+    limbs = terms.join(_powers(terms.select("base", "exponent")), ["base", "exponent"]).groupBy(*keys, "side", "limb").agg(F.sum(F.col("value") * F.col("digit")).alias("total"))
+    listed = limbs.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("limb", "total"))).alias("limbs"))
+    texts = listed.select(*keys, "side", _carried("limbs").alias("text"))
+    side = lambda k, name: F.coalesce(F.max(F.when(F.col("side") == k, F.col("text"))), F.lit("0")).alias(name)
+    return texts.groupBy(*keys).agg(side(0, "integer"), side(1, "numerator"), side(2, "denominator"))
+
+
 def cell_types(cells: DataFrame, column: str, text: str) -> DataFrame:
     """How many cells of each column hold numbers, and what they add up to."""
     number = N.cell_number(F.col(text))

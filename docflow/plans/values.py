@@ -84,6 +84,24 @@ def positional_value(spark, sf):
     return valued.select("id", *(F.col(c).cast("bigint").alias(c) for c in ("integer", "numerator", "denominator")))
 
 
+# Long numbers: 500 and more digits in base 10, with a fraction; or 25 to 27 digits in base 16.
+LONG = "rpad(concat(CAST(c_custkey AS STRING), repeat(CAST(7 * c_custkey AS STRING), 200)), 520, '3')"
+LONG_SQL = LONG.replace("STRING", "VARCHAR")
+SIXTEEN = "substring(md5(CAST(c_custkey AS STRING)), 1, CAST(25 + c_custkey % 3 AS INT))"
+
+
+@query("positional_value_long", f"""
+WITH c AS (SELECT c_custkey AS id, {LONG_SQL} AS x, 1 + c_custkey % 40 AS f, md5(CAST(c_custkey AS VARCHAR))[:25 + c_custkey % 3] AS h FROM customer),
+n AS (SELECT *, ltrim(x[:len(x) - f], '0') AS i, ltrim(x[len(x) - f + 1:], '0') AS p FROM c)
+SELECT id, CASE WHEN id % 2 = 1 THEN list_reduce(list_transform(string_split(h, ''), lambda d: (strpos('0123456789abcdef', d) - 1)::HUGEINT), lambda a, d: a * 16 + d)::VARCHAR WHEN i = '' THEN '0' ELSE i END AS integer,
+  CASE WHEN id % 2 = 1 OR p = '' THEN '0' ELSE p END AS numerator, CASE WHEN id % 2 = 1 THEN '1' ELSE '1' || repeat('0', f::INTEGER) END AS denominator FROM n""")
+def positional_value_long(spark, sf):
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS id", f"IF(c_custkey % 2 = 1, {SIXTEEN}, {LONG}) AS x", "IF(c_custkey % 2 = 1, 16, 10) AS base", "CAST(IF(c_custkey % 2 = 1, 0, 1 + c_custkey % 40) AS INT) AS f")
+    each = spread(c).select("id", "base", "f", F.length("x").alias("n"), F.posexplode(F.split("x", "")).alias("i", "d"))
+    digits = each.select("id", "base", (F.col("n") - F.col("f") - 1 - F.col("i")).alias("position"), (F.instr(F.lit("0123456789abcdef"), F.col("d")) - 1).alias("digit"))
+    return ops.positional_text(digits, ["id"])
+
+
 AMOUNT = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)"
 CELLS = {
     "col": "concat('c', CAST(l_linenumber AS STRING))",
