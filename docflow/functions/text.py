@@ -27,6 +27,27 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(one, r"[\x{00}-\x{1F}\x{7F}-\x{9F}]", ""))
 
 
+def paragraph_text(text: Column) -> Column:
+    """Line breaks and other runs of blanks inside a paragraph to one space, none at its ends.
+    What is no blank stays, control characters too; null is empty text."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]+", " "))
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a recognised paragraph: line feeds but for those at the end, and one."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+$", "")
+    return F.when(trim_space(body) == "", 1).otherwise(F.length(body) - F.length(F.translate(body, "\n", "")) + 1).cast("int")
+
+
+def names_style(font: Column, *words: str) -> Column:
+    """Whether a font's name says that it is of a style."""
+    low = F.lower(F.coalesce(font, F.lit("")))
+    found = F.lit(False)
+    for word in words:
+        found = found | low.contains(word)
+    return found
+
+
 def cell_text(text: Column, limit: int = 32000) -> Column:
     """Text fit for a spreadsheet cell."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\r", "   ")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.functions.text import SPACE, is_list_item, trim_space
+from docflow.functions.text import SPACE, color_hex, font_family, is_list_item, line_count, names_style, paragraph_text, trim_space
 from docflow.functions.weighted import breaks_to_slices, weighted_median
 
 PAGE = ("doc_id", "page_no")
@@ -467,6 +467,25 @@ def coalesce_runs(pieces: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
+STYLE = ("family", "size", "bold", "italic", "color")
+
+
+def run_style(pieces: DataFrame, font: str = "font", weight: str = "weight", slant: str = "slant", color: str = "color") -> DataFrame:
+    """Pieces with all that makes up the look of a run: family, size, bold, italic, colour.
+
+    ``font`` is the raw name, which tells the family and may tell bold and italic; ``weight``
+    from 600 on is bold too, ``slant`` true is italic; ``color (r, g, b)`` is null where it
+    is near black or near white. Nulls tell nothing."""
+    bold = names_style(F.col(font), "bold", "black", "heavy") | F.coalesce(F.col(weight) >= 600, F.lit(False))
+    italic = names_style(F.col(font), "italic", "oblique") | F.coalesce(F.col(slant), F.lit(False))
+    look = {
+        "family": font_family(F.col(font)), "size": font_half_points(F.col("size")), "bold": bold, "italic": italic,
+        "color": color_hex(F.col(f"{color}.r"), F.col(f"{color}.g"), F.col(f"{color}.b")),
+    }
+    kept = [c for c in pieces.columns if c not in {font, weight, slant, color, *look}]
+    return pieces.select(*kept, *(c.alias(k) for k, c in look.items()))
+
+
 def drop_deleted_runs(runs: DataFrame, deleted: str = "is_deleted") -> DataFrame:
     return runs.where(~F.coalesce(F.col(deleted), F.lit(False)))
 
@@ -504,6 +523,26 @@ def ocr_fallback(pages: DataFrame, scans: DataFrame, least: int, page: Sequence[
     )
 
 
+def recognised_blocks(paragraphs: DataFrame, keys: Sequence[str], order: str, least_confidence: float = 60.0) -> DataFrame:
+    """Blocks of recognised pages: ``keys``, ``order``, kind, text, font_size, n_lines.
+
+    ``paragraphs (keys, order, text, height, confidence)`` hold the raw text of each paragraph
+    and how high its box is. A paragraph is a heading where its lines are a good third higher
+    than is usual on its page, it is short, and it was read with confidence; a null confidence
+    is none. Empty paragraphs are left out. The usual height is one row per page."""
+    read = paragraphs.select(*keys, order, paragraph_text(F.col("text")).alias("text"), line_count(F.col("text")).alias("n_lines"), "height", "confidence")
+    sized = read.where("text <> ''").withColumn("line_height", F.coalesce(F.col("height") / F.col("n_lines"), F.lit(0.0)))
+    usual = weighted_line_height(sized, keys).withColumnRenamed("line_height", "__usual")
+    size = F.bround(F.greatest(F.lit(7.0), F.least(F.lit(40.0), F.col("line_height") * 0.8)), 1)
+    heading = (
+        (F.col("__usual") > 0) & (F.col("line_height") > F.col("__usual") * 1.35) & (F.col("n_lines") <= 2)
+        & (F.length("text") <= 90) & (F.col("confidence") >= least_confidence)
+    )
+    return sized.join(usual, list(keys), "left").select(
+        *keys, order, F.when(F.coalesce(heading, F.lit(False)), "Heading2").otherwise("Paragraph").alias("kind"), "text", size.alias("font_size"), "n_lines"
+    )
+
+
 def weighted_line_height(paragraphs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Usual line height: every paragraph votes once per ten characters, 1 to 40 times."""
     votes = F.least(F.greatest(F.floor(F.length("text") / 10), F.lit(1)), F.lit(40))

@@ -158,6 +158,25 @@ def input_activity(inputs: DataFrame, keys: Sequence[str], length: str) -> DataF
     ).select(*keys, "kind", F.col("w.start").alias("window_start"), "n", "pressed", "wheel", "on_screen")
 
 
+def packet_activity(packets: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
+    """Screen frames and commands per session, kind and window: how many, bytes of images,
+    pixels, and characters of messages. Packets of those types that do not parse are counted as
+    ``Broken``; other types are left out."""
+    kind_of = F.create_map(*(F.lit(x) for pair in wire.PACKET_TYPES.items() for x in pair))
+    typed = packets.withColumn("__type", kind_of[F.col("type")]).where(F.col("__type").isin("ScreenFrame", "Command"))
+    parsed = typed.select(
+        *keys, "ts", F.when(F.col("__type") == "ScreenFrame", wire.parse_screen(F.col("payload"))).alias("s"),
+        F.when(F.col("__type") == "Command", wire.parse_command(F.col("payload"))).alias("c"),
+    )
+    kind = F.when(F.col("s").isNotNull(), "ScreenFrame").when(F.col("c").isNotNull(), F.col("c.kind")).otherwise("Broken")
+    return parsed.groupBy(*keys, kind.alias("kind"), F.window("ts", length).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("s.image")).alias("image_bytes"),
+        F.sum(F.col("s.width").cast("bigint") * F.col("s.height")).alias("pixels"),
+        F.sum(F.length("c.text")).alias("message_chars"),
+    ).select(*keys, "kind", F.col("w.start").alias("window_start"), "n", "image_bytes", "pixels", "message_chars")
+
+
 class FrameBuffer:
     """Bytes of one session that do not make a whole frame yet."""
 

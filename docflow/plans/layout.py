@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docflow.functions.text import BULLETS, DASHES, line_count
 from docflow.operators import layout as L
 from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
@@ -86,7 +87,7 @@ def page_metrics(spark, sf):
 
 
 KIND_SQL = METRICS_SQL + """,
-k AS (SELECT l.*, m.min_left, m.max_right, CASE WHEN regexp_matches(text, '^\\s*([•‣●○▪◦·⁃∙*]|[-‐‒–—]\\s|\\(?\\d{1,3}\\s*[.)]\\s|\\(?[a-zA-Zа-яА-Я]\\s*[.)]\\s)') THEN 'ListItem'
+k AS (SELECT l.*, m.min_left, m.max_right, CASE WHEN regexp_matches(text, '^\\s*([""" + BULLETS + "]|[" + DASHES + """]\\s|\\(?\\d{1,3}\\s*[.)]\\s|\\(?[a-zA-Zа-яА-Я]\\s*[.)]\\s)') THEN 'ListItem'
   WHEN length(text) > 200 THEN 'Paragraph' WHEN font_size / body_size >= 1.6 THEN 'Heading1' WHEN font_size / body_size >= 1.3 THEN 'Heading2'
   WHEN font_size / body_size >= 1.15 OR (is_bold AND length(text) <= 120) THEN 'Heading3' ELSE 'Paragraph' END AS kind
   FROM l JOIN m USING (doc_id, page_no))"""
@@ -378,6 +379,54 @@ def coalesce_runs(spark, sf):
     return L.coalesce_runs(styled_words(spark, sf), ["doc_id", "line_no"], ["word_no"], ["bold", "size"], "text")
 
 
+# Raw names of fonts by word, and what they say.
+RAW_FONTS = (("ABCDEF+Open Sans-BoldMT", "Open Sans", True, False), ("Arial,Italic", "Arial", False, True), ("ArialMT", "Arial", False, False), ("Roboto-HeavyOblique", "Roboto", True, True))
+FONT_OF_WORD = "(line_no + word_no // 2) % 4"
+
+
+@query("styled_runs", f"""
+WITH {RAW_WORDS_SQL.format(docs='SELECT * FROM documents')},
+st AS (SELECT doc_id, line_no, word_no, text, (['{"', '".join(f[1] for f in RAW_FONTS)}'])[{FONT_OF_WORD} + 1] AS family, CASE WHEN (word_no // 3) % 2 = 1 THEN 11.5::DOUBLE ELSE 11.0 END AS size,
+  ([{", ".join(str(f[2]).lower() for f in RAW_FONTS)}])[{FONT_OF_WORD} + 1] OR word_no % 9 = 8 AS bold, ([{", ".join(str(f[3]).lower() for f in RAW_FONTS)}])[{FONT_OF_WORD} + 1] AS italic,
+  CASE line_no % 3 WHEN 1 THEN CASE WHEN word_no % 4 < 2 THEN '#FF8000' END END AS color FROM w0),
+n AS (SELECT *, CASE WHEN (family, size, bold, italic, color) IS NOT DISTINCT FROM lag((family, size, bold, italic, color)) OVER p THEN 0 ELSE 1 END AS new FROM st WINDOW p AS (PARTITION BY doc_id, line_no ORDER BY word_no)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS run_no FROM n)
+SELECT doc_id, line_no, run_no::BIGINT AS run_no, family, size, bold, italic, color, string_agg(text, '' ORDER BY word_no) AS text FROM g GROUP BY ALL""")
+def styled_runs(spark, sf):
+    """Runs by the whole look of their letters, from raw names of fonts, weights and colours."""
+    names = F.array(*(F.lit(f[0]) for f in RAW_FONTS))
+    at = (F.col("line_no") + F.floor(F.col("word_no") / 2)) % 4
+    shade = lambda r, g, b: F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"))
+    color = F.when(F.col("line_no") % 3 == 1, F.when(F.col("word_no") % 4 < 2, shade(1.0, 0.5, 0.0)).otherwise(shade(0.05, 0.05, 0.05))).when(F.col("line_no") % 3 == 2, shade(0.95, 0.95, 1.0))
+    pieces = words_from_text(spark, sf).select(
+        "doc_id", "line_no", "word_no", "text", F.get(names, at.cast("int")).alias("font"), F.when(F.col("word_no") % 9 == 8, 700).alias("weight"),
+        F.lit(None).cast("boolean").alias("slant"), color.alias("color"), (11 + (F.floor(F.col("word_no") / 3) % 2) * 0.3).alias("size"),
+    )
+    return L.coalesce_runs(L.run_style(pieces), ["doc_id", "line_no"], ["word_no"], L.STYLE, "text")
+
+
+@query("recognised_blocks", f"""
+WITH l AS ({LINES_SQL}),
+p AS (SELECT doc_id, (line_no // 50 + 1)::INTEGER AS page_no, line_no AS par_no, CASE WHEN line_no % 4 = 1 THEN replace(text, ' ', chr(10) || ' ') WHEN line_no % 4 = 2 THEN left(text, 60) || chr(10) ELSE chr(9) || left(text, 95) || chr(160) END AS raw,
+  ((10 + CASE WHEN line_no % 4 = 2 THEN 8 ELSE 0 END + length(text) % 3))::DOUBLE AS line, CASE WHEN line_no % 11 <> 5 THEN (40 + line_no * 7 % 60)::DOUBLE END AS confidence FROM l),
+c AS (SELECT *, trim(regexp_replace(raw, '[\\s\\x{{a0}}]+', ' ', 'g')) AS text, length(rtrim(raw, chr(10))) - length(replace(rtrim(raw, chr(10)), chr(10), '')) + 1 AS lines FROM p),
+k AS (SELECT *, line * 1.0 AS h FROM c WHERE text <> ''),
+u AS (SELECT doc_id, page_no, median(h) AS usual FROM (SELECT doc_id, page_no, h, unnest(range(0, least(greatest(length(text) // 10, 1), 40))) AS v FROM k) GROUP BY ALL)
+SELECT doc_id, page_no, par_no, CASE WHEN coalesce(h > usual * 1.35::DOUBLE AND lines <= 2 AND length(text) <= 90 AND confidence >= 60, false) THEN 'Heading2' ELSE 'Paragraph' END AS kind, text,
+  round_even(greatest(7.0::DOUBLE, least(40.0::DOUBLE, h * 0.8::DOUBLE)), 1) AS font_size, lines::INTEGER AS n_lines FROM k JOIN u USING (doc_id, page_no)""")
+def recognised_blocks(spark, sf):
+    """Lines as recognised paragraphs: some broken into lines, some higher, some read badly."""
+    n = F.col("line_no")
+    raw = F.when(n % 4 == 1, F.replace("text", F.lit(" "), F.lit("\n "))).when(n % 4 == 2, F.concat(F.left("text", F.lit(60)), F.lit("\n"))).otherwise(
+        F.concat(F.lit("\t"), F.left("text", F.lit(95)), F.lit("\u00a0")))
+    line = 10 + F.when(n % 4 == 2, 8).otherwise(0) + F.length("text") % 3
+    paragraphs = doc_lines(spark, sf).select(
+        "doc_id", (F.floor(n / 50) + 1).cast("int").alias("page_no"), n.alias("par_no"), raw.alias("text"),
+        (line * line_count(raw)).cast("double").alias("height"), F.when(n % 11 != 5, 40 + n * 7 % 60).cast("double").alias("confidence"),
+    )
+    return L.recognised_blocks(paragraphs, ["doc_id", "page_no"], "par_no")
+
+
 @query("drop_deleted_runs", f"WITH {STYLE_SQL} SELECT doc_id, line_no, word_no, text FROM st WHERE NOT (bold AND size = 11.5)")
 def drop_deleted_runs(spark, sf):
     runs = styled_words(spark, sf).withColumn("is_deleted", F.when(F.col("bold") & (F.col("size") == 11.5), True))

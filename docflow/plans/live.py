@@ -290,6 +290,26 @@ def input_activity(spark, sf):
     return ops.input_activity(inputs(spark, sf), ["session"], "1 hour")
 
 
+@query("packet_activity", """
+WITH p AS (SELECT user_id AS session, ts, event_id AS e, length(props) AS n, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'Broken' ELSE 'ScreenFrame' END
+  WHEN 1 THEN CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'Broken' WHEN event_id % 2 = 0 THEN 'ShowMessage' ELSE 'LockScreen' END END AS kind FROM events)
+SELECT session, kind, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, sum(CASE WHEN kind = 'ScreenFrame' THEN n END)::BIGINT AS image_bytes,
+  sum(CASE WHEN kind = 'ScreenFrame' THEN (e % 16384 + 1) * 720 END)::BIGINT AS pixels, sum(CASE WHEN kind = 'ShowMessage' THEN n END)::BIGINT AS message_chars FROM p WHERE kind IS NOT NULL GROUP BY ALL""")
+def packet_activity(spark, sf):
+    """Screen frames and commands of the events: one in three each; of both, one in five has a
+    wrong size and one in seven a wrong length or kind."""
+    e, image = F.col("event_id"), F.encode("props", "UTF-8")
+    number = lambda value, size: wire.little_endian(value, size)
+    width = F.when(e % 5 == 0, 0).when(e % 7 == 0, 20000).otherwise(e % 16384 + 1)
+    screen = F.concat(number(width, 4), number(F.lit(720), 4), number(F.lit(1), 1), image)
+    kind = F.when(e % 5 == 0, 9).when(e % 2 == 0, 1).otherwise(2)
+    command = F.concat(number(kind, 1), number(F.lit(0), 1), number(F.length(image) + F.when(e % 7 == 0, 1).otherwise(0), 2), image)
+    payload = F.when(e % 3 == 0, screen).when(e % 3 == 1, command).otherwise(image)
+    kinds = F.when(e % 3 == 0, 11).when(e % 3 == 1, 21).otherwise(20)
+    packets = table(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", kinds.alias("type"), payload.alias("payload"))
+    return ops.packet_activity(settle(packets), ["session"], "1 hour")
+
+
 # ---- files ----------------------------------------------------------------------------
 
 @query("decode_text_files", """

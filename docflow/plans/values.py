@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.functions import numbers as N
+from docflow.functions.text import BULLETS, DASHES, FONT_STYLES, FONT_TAILS
 from docflow.operators import numbers as ops
 from docflow.operators import texts
 from docflow.plans.registry import query, table
@@ -171,7 +172,7 @@ MARKED = "CASE (doc_id + line_no) % 11 " + " ".join(f"WHEN {i} THEN '{m}'" for i
 
 @query("list_markers", f"""
 WITH l AS (SELECT concat({MARKED}, text) AS text FROM ({LINES_SQL})),
-k AS (SELECT CASE WHEN regexp_matches(text, '^\\s*[•‣●○▪◦·⁃∙*]') THEN 'bullet' WHEN regexp_matches(text, '^\\s*[-‐‒–—]\\s') THEN 'dash'
+k AS (SELECT CASE WHEN regexp_matches(text, '^\\s*[{BULLETS}]') THEN 'bullet' WHEN regexp_matches(text, '^\\s*[{DASHES}]\\s') THEN 'dash'
   WHEN regexp_matches(text, '^\\s*\\(?\\d{{1,3}}\\s*[.)]\\s') THEN 'number' WHEN regexp_matches(text, '^\\s*\\(?[a-zA-Zа-яА-Я]\\s*[.)]\\s') THEN 'letter' END AS kind FROM l)
 SELECT kind, count(*) AS n_lines FROM k GROUP BY kind""")
 def list_markers(spark, sf):
@@ -186,8 +187,7 @@ FONTS = {
 }
 FONT_SQL = "regexp_replace(raw, '^[A-Z]{6}\\+', '')"
 FONT_SQL = f"regexp_replace({FONT_SQL}, '^([^,+_-]+)[,+_-].*$', '\\1')"
-for _tail in ("PSMT", "PS", "MT", "BoldItalic", "BoldOblique", "SemiBold", "ExtraBold", "DemiBold", "UltraBold", "Bold",
-              "Italic", "Oblique", "Regular", "Roman", "Light", "Medium", "Black", "Heavy", "Thin"):
+for _tail in (*FONT_TAILS, *FONT_STYLES):
     FONT_SQL = f"regexp_replace({FONT_SQL}, '^(.+){_tail}$', '\\1')"
 
 
