@@ -387,7 +387,8 @@ class Trees:
 def fit(pages: DataFrame, html_col: str = "html", max_pages: int = 300, copies: int = 2, rounds: int = 30, depth: int = 5, seed: int = 13) -> Trees | None:
     """Trees fitted on at most ``max_pages`` pages that mark their article, in hash order, and
     ``copies`` other layouts of each. None where no page is marked."""
-    rows = steady(training_rows(pages, html_col, max_pages, copies, seed)).select("label", array_to_vector("features").alias("features"))
+    # The sample is small: few pieces, so that the many short steps of the fit start few tasks.
+    rows = steady(training_rows(pages, html_col, max_pages, copies, seed)).coalesce(4).select("label", array_to_vector("features").alias("features"))
     if rows.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, labelCol="label", stepSize=0.3).fit(rows)
