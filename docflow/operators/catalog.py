@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.operators.ordered import running
 
@@ -24,9 +25,13 @@ def search(catalog: DataFrame, text: str) -> DataFrame:
 
 
 def groups(catalog: DataFrame) -> DataFrame:
-    """Items in catalog order within their category, categories in order of first use. The
-    categories are one row each when they are numbered."""
+    """Items in catalog order within their category, categories in order of first use.
+
+    Categories are one row each when they are numbered, in blocks of 65,536 numbers where ids
+    are numbers, of which one task sees one row each."""
     first = catalog.groupBy("category").agg(F.min("id").alias("first_id"))
-    ordered = running(first, [], ["first_id"], number="group_no")
+    numeric = isinstance(first.schema["first_id"].dataType, T.NumericType)
+    block = F.coalesce(F.floor(F.col("first_id") / 65536), F.lit(-(2**48))) if numeric else None
+    ordered = running(first, [], ["first_id"], block, number="group_no")
     placed = running(catalog, ["category"], ["id"], number="position")
     return placed.join(ordered, "category").select("category", "group_no", "position", "id", "title")

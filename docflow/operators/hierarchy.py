@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import running
+from docflow.sources.placing import settle
 
 # Longest chain followed, bullets by level, Roman digits.
 CHAIN_LIMIT = 16
@@ -34,7 +35,8 @@ def style_chain(
     low = lambda c: F.lower(F.col(c).cast("string"))
     whole = F.struct("style_id", "based_on", *attrs)
     last = F.max_by(whole, F.struct(*([order] if order else []), whole.alias("row")))
-    styles = styles.groupBy(*keys, low("style_id").alias("__low")).agg(last.alias("__s")).select(*keys, "__s.*")
+    # Every join reads the chains twice, so what they start from is written, and the chains once.
+    styles = settle(styles.groupBy(*keys, low("style_id").alias("__low")).agg(last.alias("__s")).select(*keys, "__s.*"))
     links = styles.select(*keys, low("style_id").alias("__id"), low("based_on").alias("__next"))
     known = links.select(*keys, F.col("__id").alias("__next"), F.lit(True).alias("__known"))
     paths = links.join(known, [*keys, "__next"], "left").select(
@@ -48,6 +50,8 @@ def style_chain(
             F.col("__far").alias("__jump"),
         )
         steps *= 2
+        if steps * steps == CHAIN_LIMIT:
+            paths = settle(paths)
     # A loop repeats; what counts is the stretch before the first repetition.
     chain = paths.select(*keys, "__id", F.posexplode(F.array_distinct(F.slice("__path", 1, CHAIN_LIMIT))).alias("__depth", "__up"))
     values = styles.select(*keys, low("style_id").alias("__up"), *attrs)

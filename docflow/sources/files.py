@@ -168,3 +168,8 @@ def write_texts(df: DataFrame, path: str, content: str, by: Sequence[str] = (),
     """Bytes as they are, each row followed by ``line_end``, as files of any number of rows."""
     rows = df.select(*by, F.col(content).cast("string").alias("value"))
     rows.write.mode("append").partitionBy(*by).option("lineSep", line_end).option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def write_by(df: DataFrame, path: str, column: str) -> None:
+    """One folder per page or part."""
+    write_parts(df, path, [column])
