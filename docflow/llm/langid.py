@@ -18,18 +18,23 @@ _GROUP = 4_000_000  # bytes parsed together
 
 
 @cache
-def _numerals() -> str:
-    """Numerals that are no digits, such as fractions and Roman numbers: no letters either."""
+def _numerals():
+    """A pattern of numerals that are no digits, such as fractions and Roman numbers: no letters
+    either. A set of characters alone is looked up in a table, however large it is."""
+    import re
     import unicodedata
 
-    return "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+    return re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl")) + "]+")
 
 
 def plain(text: str) -> bytes:
     """Letters in lower case, everything else as one space."""
     import re
 
-    return re.sub(rf"[\W\d_{_numerals()}]+", " ", text.lower()).strip().encode("utf-8", "replace")
+    letters = re.sub(r"[\W\d_]+", " ", text.lower())
+    if not letters.isascii() and _numerals().search(letters):
+        letters = re.sub(" +", " ", _numerals().sub(" ", letters))
+    return letters.strip().encode("utf-8", "replace")
 
 
 def suffix_automaton(data: list[int]) -> list[dict[int, int]]:
