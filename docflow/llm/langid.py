@@ -18,13 +18,13 @@ _GROUP = 4_000_000  # bytes parsed together
 
 
 @cache
-def _numerals():
+def _numerals(wide: bool):
     """A pattern of numerals that are no digits, such as fractions and Roman numbers: no letters
-    either. A set of characters alone is looked up in a table, however large it is."""
+    either. Characters of 16 bits are looked up in a table, wide ones in a list."""
     import re
     import unicodedata
 
-    return re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl")) + "]+")
+    return re.compile("[" + "".join(c for c in map(chr, range(0x110000 if wide else 0x10000)) if unicodedata.category(c) in ("No", "Nl")) + "]+")
 
 
 def plain(text: str) -> bytes:
@@ -32,8 +32,10 @@ def plain(text: str) -> bytes:
     import re
 
     letters = re.sub(r"[\W\d_]+", " ", text.lower())
-    if not letters.isascii() and _numerals().search(letters):
-        letters = re.sub(" +", " ", _numerals().sub(" ", letters))
+    if not letters.isascii():
+        numerals = _numerals(max(letters) > "\uffff")
+        if numerals.search(letters):
+            letters = re.sub(" +", " ", numerals.sub(" ", letters))
     return letters.strip().encode("utf-8", "replace")
 
 
