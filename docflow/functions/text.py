@@ -83,11 +83,12 @@ def font_family(raw: Column) -> Column:
     """Family name from a raw font name; blank names get the default."""
     name = F.regexp_replace(trim_space(raw), r"^[A-Z]{6}\+", "")
     name = F.regexp_replace(name, r"^([^,+_-]+)[,+_-].*$", "$1")
-    for tail in (*FONT_TAILS, *FONT_STYLES):
-        name = F.regexp_replace(name, rf"(?<=.){tail}$", "")
-    name = trim_space(name)
-    spaced = F.regexp_replace(name, rf"(?<=[^\p{{Lu}}{SPACE}])(?=\p{{Lu}})", " ")
-    clean = F.when(name == "", DEFAULT_FONT).when(name.contains(" "), name).otherwise(spaced)
+    # Tails come off the end in their order, so the one that comes off last stands first.
+    tails = "".join(f"(?:{tail})?" for tail in reversed((*FONT_TAILS, *FONT_STYLES)))
+    name = trim_space(F.regexp_replace(name, rf"(?<=.)(?=[A-Z]){tails}$", ""))
+    # The name is worked out once, in an array of its own.
+    spaced = lambda n: F.regexp_replace(n, rf"(?<=[^\p{{Lu}}{SPACE}])(?=\p{{Lu}})", " ")
+    clean = F.get(F.transform(F.array(name), lambda n: F.when(n == "", DEFAULT_FONT).when(n.contains(" "), n).otherwise(spaced(n))), F.lit(0))
     return F.when(raw.isNull() | (trim_space(raw) == ""), DEFAULT_FONT).otherwise(clean)
 
 

@@ -26,31 +26,36 @@ DEFAULT_FONT_SIZE, DEFAULT_GAP = 11.0, 2.0
 def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50) -> DataFrame:
     """Positioned words of plain text: 6 points a letter, 14 points a line."""
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("__line", "__text"))
-    # Each token starts where the one before it ended, plus the blank between. Tokens are
-    # placed in blocks, so that a line of any length takes time in step with its length.
-    tokens, block = F.split("__text", " "), 256
-    last = F.floor((F.size(tokens) - 1) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(tokens, b * block + 1, F.lit(block)))
-    taken = F.transform(blocks, lambda ts: F.aggregate(ts, F.lit(0), lambda acc, t: acc + F.length(t) + 1))
-
-    def place(ts: Column, b: Column) -> Column:
-        first = F.aggregate(F.slice(F.col("__taken"), F.lit(1), b), F.lit(0), lambda acc, n: acc + n)
-        start = F.struct(first.alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("words"))
-        return F.aggregate(
-            ts,
-            start,
-            lambda acc, t: F.struct(
-                (acc["at"] + F.length(t) + 1).alias("at"),
-                F.when(t == "", acc["words"])
-                .otherwise(F.concat(acc["words"], F.array(F.struct(acc["at"].alias("at"), t.alias("text")))))
-                .alias("words"),
-            ),
-            lambda acc: acc["words"],
-        )
-
-    lines = lines.select(doc, "__line", blocks.alias("__blocks"), taken.alias("__taken"))
-    placed = F.flatten(F.transform("__blocks", place))
-    words = lines.select(doc, "__line", F.posexplode(placed).alias("word_no", "__w"))
+    # Lines are cut into blocks of tokens, so that a line of any length takes time in step with
+    # its length. A token starts behind what stands before it in its block.
+    tokens, block = F.split("__text", " "), 32
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("__tokens") - 1) / block).cast("int")),
+        lambda b: F.array_join(F.slice("__tokens", b * block + 1, F.lit(block)), " "),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.array().cast("array<struct<at:int,words:int,text:string>>").alias("blocks"))
+    placed = F.aggregate(
+        cut,
+        start,
+        lambda acc, t: F.struct(
+            (acc["at"] + F.length(t) + 1).alias("at"),
+            (acc["words"] + F.regexp_count(t, F.lit("[^ ]+"))).alias("words"),
+            F.concat(acc["blocks"], F.array(F.struct(acc["at"].alias("at"), acc["words"].alias("words"), t.alias("text")))).alias("blocks"),
+        ),
+        lambda acc: acc["blocks"],
+    )
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.col("__text").alias("text")))
+    blocks = lines.withColumn("__tokens", tokens).select(doc, "__line", F.explode(F.when(F.size("__tokens") <= block, whole).otherwise(placed)).alias("__b"))
+    each = blocks.select(doc, "__line", "__b.at", "__b.words", F.col("__b.text").alias("__block")).select(
+        "*", F.posexplode(F.split("__block", " ")).alias("__i", "__t")
+    ).where("__t <> ''")
+    before = F.call_function("substring_index", F.col("__block"), F.lit(" "), F.col("__i"))
+    # Without blanks in a row, the place of a token is its number.
+    apart = ~(F.col("__block").contains("  ") | F.col("__block").startswith(" "))
+    words = each.select(
+        doc, "__line", (F.col("words") + F.when(apart, F.col("__i")).otherwise(F.regexp_count(before, F.lit("[^ ]+")))).alias("word_no"),
+        F.struct((F.col("at") + F.when(F.col("__i") > 0, F.length(before) + 1).otherwise(0)).alias("at"), F.col("__t").alias("text")).alias("__w"),
+    )
     left, length = 50 + 6.0 * F.col("__w.at"), F.length("__w.text")
     bottom = 800 - 14.0 * (F.col("__line") % lines_per_page)
     size = F.when(F.col("__line") == 0, 18.0).otherwise(11.0)
