@@ -10,7 +10,7 @@ from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
 from docflow.plans.values import LINES_SQL, doc_lines
 from docflow.sources.files import write_parts
-from docflow.sources.placing import scratch, spread
+from docflow.sources.placing import dealt, scratch, spread
 
 # ---- words of the documents -----------------------------------------------------------
 
@@ -44,7 +44,7 @@ m AS (SELECT l.doc_id, l.page_no, any_value(body_size) AS body_size, min(lft) AS
 
 
 def raw_words(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), 2_000, "doc_id")
     hyphened = docs.withColumn("text", F.replace("text", F.lit("e\n"), F.lit("e-\n")))
     return L.words_from_text(hyphened, "doc_id", "text")
 
@@ -180,7 +180,9 @@ def table_words(spark, sf):
     shift = (F.col("l_suppkey") % 3 + F.when(F.col("l_suppkey") % 10 == 0, 20).otherwise(0)).cast("double")
     values = F.array(*(F.expr(f"CAST({v} AS STRING)") for v in CELL_VALUES))
     shown = F.when(F.col("l_suppkey") % 7 == 0, F.slice(values, 1, 3)).otherwise(values)
-    rows = table(spark, sf, "lineitem").withColumn("row", row)
+    # A line item becomes twelve words.
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = dealt(items, 50_000, "l_orderkey").withColumn("row", row)
     cells = rows.select(
         F.col("l_orderkey").alias("doc_id"), "row", shift.alias("shift"), F.posexplode(shown).alias("c", "v")
     )
@@ -364,9 +366,14 @@ STYLE_SQL = f"""{RAW_WORDS_SQL.format(docs='SELECT * FROM documents')},
 st AS (SELECT doc_id, line_no, word_no, text, word_no % 5 < 2 AS bold, CASE WHEN (word_no // 3) % 2 = 1 THEN 11.5::DOUBLE ELSE 11.0 END AS size FROM w0)"""
 
 
+def document_words(spark, sf):
+    """Words with those of a document in one place, so that grouping them by line shuffles no word."""
+    return L.words_from_text(dealt(table(spark, sf, "documents").select("doc_id", "text"), 2_000, "doc_id"), "doc_id", "text")
+
+
 def styled_words(spark, sf):
     size = L.font_half_points(11 + (F.floor(F.col("word_no") / 3) % 2) * 0.3)
-    return words_from_text(spark, sf).select(
+    return document_words(spark, sf).select(
         "doc_id", "line_no", "word_no", "text", (F.col("word_no") % 5 < 2).alias("bold"), size.alias("size")
     )
 
@@ -398,7 +405,7 @@ def styled_runs(spark, sf):
     at = (F.col("line_no") + F.floor(F.col("word_no") / 2)) % 4
     shade = lambda r, g, b: F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"))
     color = F.when(F.col("line_no") % 3 == 1, F.when(F.col("word_no") % 4 < 2, shade(1.0, 0.5, 0.0)).otherwise(shade(0.05, 0.05, 0.05))).when(F.col("line_no") % 3 == 2, shade(0.95, 0.95, 1.0))
-    pieces = words_from_text(spark, sf).select(
+    pieces = document_words(spark, sf).select(
         "doc_id", "line_no", "word_no", "text", F.get(names, at.cast("int")).alias("font"), F.when(F.col("word_no") % 9 == 8, 700).alias("weight"),
         F.lit(None).cast("boolean").alias("slant"), color.alias("color"), (11 + (F.floor(F.col("word_no") / 3) % 2) * 0.3).alias("size"),
     )
