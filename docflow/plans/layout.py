@@ -10,7 +10,7 @@ from docflow.operators import slides as SL
 from docflow.plans.registry import query, table
 from docflow.plans.values import LINES_SQL, doc_lines
 from docflow.sources.files import write_parts
-from docflow.sources.placing import dealt, scratch, spread
+from docflow.sources.placing import dealt, scratch, settle, spread
 
 # ---- words of the documents -----------------------------------------------------------
 
@@ -278,7 +278,7 @@ UNION ALL SELECT DISTINCT doc_id, 1, 0, 0, 1, '— page 1 —' FROM ce""")
 def sink_per_page(spark, sf):
     """All pages as sheets on disk, one folder per page, and what lies there."""
     target = scratch(spark, "sheets")
-    write_parts(L.sheet_rows(cells(spark, sf), ["doc_id", "page_no"]), target, ["page_no"], 100_000)
+    write_parts(L.sheet_rows(settle(cells(spark, sf)), ["doc_id", "page_no"]), target, ["page_no"], 100_000)
     return spark.read.parquet(target)
 
 
