@@ -55,7 +55,7 @@ def positional_value(digits: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.aggregate(steps, one, lambda acc, _: (acc * F.col("base")).cast("decimal(38,0)"))
 
     depth = digits.groupBy(*keys).agg(F.max(F.greatest(-F.col("position"), F.lit(0))).alias("__depth"))
-    rows = digits.join(depth, list(keys))
+    rows = digits.hint("merge").join(depth, list(keys))
     up = F.when(F.col("position") >= 0, F.col("position")).otherwise(0)
     down = F.when(F.col("position") < 0, F.col("__depth") + F.col("position")).otherwise(0)
     whole = F.when(F.col("position") >= 0, F.col("digit") * power(up)).otherwise(0)
@@ -133,7 +133,9 @@ def positional_text(digits: DataFrame, keys: Sequence[str]) -> DataFrame:
     known = digits.where("position IS NOT NULL AND digit IS NOT NULL").withColumn("base", F.col("base").cast("int"))
     depth = known.groupBy(*keys).agg(F.max(F.greatest(-F.col("position"), F.lit(0))).cast("int").alias("depth"), F.max("base").alias("base"))
     part = F.col("position") < 0
-    placed = known.drop("base").join(depth, list(keys)).select(
+    # Rows made by an explode are estimated at the size of what they came from, and would be
+    # broadcast for it; the digits stay where they are.
+    placed = known.drop("base").hint("merge").join(depth, list(keys)).select(
         *keys, "base", F.when(part, 1).otherwise(0).alias("side"), F.when(part, F.col("depth") + F.col("position")).otherwise(F.col("position")).cast("int").alias("exponent"),
         F.col("digit").cast("bigint").alias("digit"),
     )
