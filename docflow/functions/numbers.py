@@ -242,22 +242,39 @@ def whole_text(value: Column, digits: Column, base: int, to: Target) -> Column:
 def part_text(value: Column, digits: Column, base: int, to: Target, limit: int) -> Column:
     """Fraction digits in another base, and whether they are exact."""
     under = F.aggregate(digits, F.lit(1).cast("bigint"), lambda acc, _: acc * base)
-    start = F.struct(value.alias("top"), under.alias("under"), F.array().cast("array<bigint>").alias("out"))
+    # As many digits a round as surely fit: the rest is below ``under``.
+    bits = F.when(to.base == 10, 4).otherwise(to.bits)
+    room = lambda under: F.floor((63 - F.length(F.bin(under - 1))) / bits).cast("int")
+    tens = F.array(*(F.lit(10**n).cast("bigint") for n in range(16)))
+    power = lambda n: F.when(to.base == 10, F.get(tens, n)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), n * to.bits))
+    spell = lambda v, n: F.when(to.wide, F.concat(F.lit(":"), F.array_join(_groups(v, n, to), ":"))).otherwise(
+        F.call_function("lpad", F.call_function("conv", v.cast("string"), F.lit(10), to.base), n, F.lit("0"))
+    )
 
-    def step(acc: Column, _: Column) -> Column:
-        shifted = acc["top"] * to.base
-        more = F.concat(acc["out"], F.array(_div(shifted, acc["under"])))
-        return F.when(acc["top"] == 0, acc).otherwise(
-            F.struct((shifted % acc["under"]).alias("top"), acc["under"].alias("under"), more.alias("out"))
-        )
+    def short_of(u: Column) -> Column:
+        start = F.struct(value.alias("top"), F.lit(0).alias("done"), F.lit("").alias("out"))
+
+        def step(acc: Column, _: Column) -> Column:
+            n = F.least(u["room"], limit - acc["done"])
+            shifted = acc["top"] * power(n)
+            return F.when(acc["top"] == 0, acc).otherwise(
+                F.struct(
+                    (shifted % u["under"]).alias("top"), (acc["done"] + n).alias("done"),
+                    F.concat(acc["out"], spell(_div(shifted, u["under"]), n)).alias("out"),
+                )
+            )
 
-    spell = lambda out: F.when(to.wide, F.array_join(out.cast("array<string>"), ":")).otherwise(
-        F.array_join(F.transform(out, lambda d: F.substring(F.lit(DIGITS), (d + 1).cast("int"), F.lit(1))), "")
-    )
-    short = F.aggregate(
-        F.sequence(F.lit(1), F.lit(limit)), start, step,
-        lambda acc: F.struct(spell(acc["out"]).alias("digits"), (acc["top"] == 0).alias("exact")),
-    )
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.lit(limit) / u["room"]).cast("int")), start, step)
+
+    def finish(acc: Column) -> Column:
+        exact = acc["top"] == 0
+        # Zeros at the end of an exact fraction carry no value.
+        wide = F.substring(F.when(exact, F.regexp_replace(acc["out"], "(?::0)+$", "")).otherwise(acc["out"]), 2, 1 << 30)
+        plain = F.when(exact, F.rtrim(acc["out"], F.lit("0"))).otherwise(acc["out"])
+        return F.struct(F.when(to.wide, wide).otherwise(plain).alias("digits"), exact.alias("exact"))
+
+    sized = F.array(F.struct(under.alias("under"), room(under).alias("room")))
+    short = F.get(F.transform(F.transform(sized, short_of), finish), F.lit(0))
     long = F.get(
         F.transform(
             F.array(part_symbols(digits, base, to, limit)),
@@ -290,7 +307,7 @@ def _grouped(digits: Column, base: Column, by) -> Column:
 
 def group_whole(digits: Column, base: Column) -> Column:
     """Blanks between groups counted from the right."""
-    return _grouped(digits, base, lambda n: F.regexp_replace(digits, rf"(?<=.)(?=(?:.{{{n}}})+$)", " "))
+    return _grouped(digits, base, lambda n: F.reverse(F.regexp_replace(F.reverse(digits), rf"(.{{{n}}})(?=.)", "$1 ")))
 
 
 def group_part(digits: Column, base: Column) -> Column:

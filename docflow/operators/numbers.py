@@ -14,11 +14,12 @@ from docflow.functions.text import trim_space
 def base_fanout(numbers: DataFrame, keys: Sequence[str], text: str, base: int, fraction_digits: int) -> DataFrame:
     """Every number written in all nine bases; numbers that fail to parse are left out."""
     limit, to, c = N.fraction_limit(fraction_digits), N.target(F.col("to")), F.col
-    parsed = numbers.select(*keys, N.parse_number(F.col(text), base).alias("p"))
+    # As a row of its own a number is parsed once; fields of a struct are each worked out anew.
+    parsed = numbers.select(*keys, F.inline(F.array(N.parse_number(F.col(text), base))))
     rows = parsed.select(
-        *keys, "p.negative", "p.whole", "p.part",
-        N.short_value(c("p.whole"), base).alias("whole_value"),
-        N.short_value(c("p.part"), base, 54).alias("part_value"),
+        *keys, "negative", "whole", "part",
+        N.short_value(c("whole"), base).alias("whole_value"),
+        N.short_value(c("part"), base, 54).alias("part_value"),
     ).select("*", F.explode(F.when(c("whole").isNotNull(), N.targets())).alias("to"))
     written = rows.select(
         *keys, "to.base", "negative",
