@@ -332,20 +332,18 @@ def text_files(spark, sf):
     """Documents written as files of four encodings and two broken ones, one document a file,
     read from their folder, and written as accepted and rejected ones in one pass."""
     folder, split = scratch(spark, "texts"), scratch(spark, "decoded")
-    docs = table(spark, sf, "documents").withColumn("kind", F.col("doc_id") % 6)
-    utf8, marked = F.encode("text", "UTF-8"), lambda mark, *rest: F.concat(F.unhex(F.lit(mark)), *rest)
+    kind = F.col("doc_id") % 6
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    marked = lambda mark, *rest: F.concat(F.unhex(F.lit(mark)), *rest)
     content = (
-        F.when(F.col("kind") == 0, utf8).when(F.col("kind") == 1, marked("EFBBBF", utf8))
-        # The last byte of the line feed is what ends the row.
-        .when(F.col("kind") == 2, marked("FFFE", F.encode("text", "UTF-16LE"), F.unhex(F.lit("0A"))))
-        .when(F.col("kind") == 3, marked("FEFF", F.encode("text", "UTF-16BE"), F.unhex(F.lit("00"))))
-        .when(F.col("kind") == 4, F.concat(utf8, F.unhex(F.lit("EC20"))))
-        .otherwise(marked("FFFE", F.encode("text", "UTF-16LE"), F.unhex(F.lit("00D80A"))))
+        F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, marked("EFBBBF", F.encode(text, "UTF-8")))
+        .when(kind == 2, marked("FFFE", F.encode(text, "UTF-16LE"))).when(kind == 3, marked("FEFF", F.encode(text, "UTF-16BE")))
+        .when(kind == 4, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("EC20"))))
+        .otherwise(marked("FFFE", F.encode(text, "UTF-16LE"), F.unhex(F.lit("00D80A00"))))
     )
-    named = docs.withColumn("content", content)
-    for ending, kinds in (("\n", (0, 1, 3, 4)), ("\0", (2, 5))):
-        files_io.write_texts(named.where(F.col("kind").isin(*kinds)), folder, "content", ["doc_id"], ending)
-    files = files_io.read_files(spark, folder, "*.txt").withColumn("doc_id", F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint"))
+    docs = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), content.alias("content"))
+    files_io.write_files(docs, folder, "name", "content")
+    files = files_io.read_files(spark, folder, "*.txt").withColumn("doc_id", F.regexp_extract("path", r"/(-?[0-9]+)\.txt$", 1).cast("bigint"))
     files_io.write_split(files_io.decode_text(files).select("doc_id", "text", "error"), split)
     return spark.read.parquet(split).select("doc_id", "text", "error", (F.col("rejected") == "true").alias("rejected"))
 
@@ -359,11 +357,9 @@ def folder_files(spark, sf):
     root = scratch(spark, "dropped")
     spelling = "CASE WHEN s_suppkey % 3 = 0 THEN '{0}' ELSE '{1}' END"
     name = f"concat({spelling.format('DOC_', 'doc_')}, CAST(floor(s_suppkey / 2) AS STRING), CASE WHEN floor(s_suppkey / 2) % 7 = 0 THEN '.pdf' ELSE {spelling.format('.TXT', '.txt')} END)"
-    rows = table(spark, sf, "supplier").selectExpr(f"{name} AS folder", "encode(s_name, 'UTF-8') AS content")
-    # Spellings of one name in one task: their files are then named alike.
-    files_io.write_texts(rows.repartition(F.lower("folder")), root, "content", ["folder"])
-    files = files_io.list_files(spark, root).withColumn("folder", F.regexp_extract("path", "folder=([^/]+)/", 1))
-    return files.where(F.lower("folder").endswith(".txt")).select("folder", "length")
+    rows = table(spark, sf, "supplier").selectExpr(f"{name} AS name", "encode(concat(s_name, '\\n'), 'UTF-8') AS content")
+    files_io.write_files(rows, root, "name", "content")
+    return files_io.list_files(spark, root, [".txt"]).select(F.col("name").alias("folder"), "length")
 
 
 def zipped_pages(spark, sf):

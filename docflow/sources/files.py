@@ -164,10 +164,44 @@ def write_split(df: DataFrame, path: str, error: str = "error") -> None:
     df.withColumn("rejected", F.col(error).isNotNull()).write.mode("errorifexists").partitionBy("rejected").parquet(path)
 
 
-def write_texts(df: DataFrame, path: str, content: str, by: Sequence[str] = (), line_end: str = "\n", rows_per_file: int = 0) -> None:
-    """Bytes as they are, each row followed by ``line_end``, as files of any number of rows."""
-    rows = df.select(*by, F.col(content).cast("string").alias("value"))
-    rows.write.mode("append").partitionBy(*by).option("lineSep", line_end).option("maxRecordsPerFile", rows_per_file).text(path)
+def write_files(df: DataFrame, path: str, name: str, content: str, files_per_folder: int = 1000) -> None:
+    """Bytes as files of given names: ``content`` of the rows that share a name, one behind the
+    other, is one file in one of the folders ``part=0``, ``part=1`` and so on of ``path``.
+
+    A folder holds about ``files_per_folder`` files and is written by one task, so there is no
+    folder a file to make, move and list. Names that differ in case only share a folder. A file
+    is moved to its name once it is whole, so a repeated task leaves the same files. Tasks write
+    through ``pyarrow.fs``, which must know the scheme of ``path``. Names hold no slash, null
+    content is empty, and rows of one name come in no set order."""
+    parts = max(1, -(-df.count() // files_per_folder))
+    rows = df.select(F.pmod(F.xxhash64(F.lower(name)), F.lit(parts)).alias("part"), F.col(name).alias("name"), F.col(content).alias("content"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+
+    def write(batches):
+        from itertools import groupby
+        from uuid import uuid4
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(path)
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        written, folder = 0, None
+        for (part, title), pieces in groupby(flat, lambda row: row[:2]):
+            if folder != part:
+                store.create_dir(f"{root}/part={part}", recursive=True)
+                folder = part
+            # Names that start with an underscore are passed over by Spark's readers.
+            staged = f"{root}/part={part}/_{uuid4().hex}"
+            with store.open_output_stream(staged) as out:
+                for _, _, data in pieces:
+                    out.write(data or b"")
+            store.move(staged, f"{root}/part={part}/{title}")
+            written += 1
+        yield pa.RecordBatch.from_pydict({"written": pa.array([written], pa.int64())})
+
+    dealt = rows.repartition(max(cores, parts), "part").sortWithinPartitions("part", "name")
+    dealt.mapInArrow(write, "written long").write.format("noop").mode("overwrite").save()
 
 
 def write_by(df: DataFrame, path: str, column: str) -> None:
