@@ -28,7 +28,8 @@ HARD_SIGN_APOSTROPHE = {"ascii": "'", "typographic": "ʼ"}
 _BMP = r"&&[\x{0}-\x{FFFF}]"
 _LETTER = rf"[\p{{L}}{_BMP}]"
 _UPPER = rf"[\p{{Lu}}{_BMP}]"
-_WORD_START = rf"(?<![\p{{L}}\p{{Nd}}{APOSTROPHES}{_BMP}])"
+_WORDISH = rf"[\p{{L}}\p{{Nd}}{APOSTROPHES}{_BMP}]"
+_WORD_START = rf"(?<!{_WORDISH})"
 _SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Marks that live only between two passes; Unicode keeps them out of interchanged text.
 _SOFT, _CAPS, _PAD, _LINK = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
@@ -51,14 +52,17 @@ def direction_of(n_cyr: Column, n_lat: Column) -> Column:
 
 
 def _latin_words_to_cyrillic(text: Column, pad: str = "") -> Column:
-    """``pad`` stands in for the second letter of a pair, to keep source positions."""
-    after_letter = rf"(?<=[\p{{L}}&&[^oOgG]{_BMP}])[{APOSTROPHES}]"
+    """``pad`` stands in for the second letter of a pair, to keep source positions.
+
+    Patterns name their letter first and look back from behind it, so that what stands before
+    is read at such letters only and not at every place of the text."""
+    after_letter = rf"[{APOSTROPHES}](?<=[\p{{L}}&&[^oOgG]{_BMP}][{APOSTROPHES}])"
     text = F.regexp_replace(text, after_letter, "ъ")
     for low, cyr in (("e", "э"), ("E", "Э")):
-        text = F.regexp_replace(text, _WORD_START + low, cyr)
+        text = F.regexp_replace(text, f"{low}(?<!{_WORDISH}{low})", cyr)
     loan = "(?=[iI](?:[yY][aA]|[oO][nN]))"
     for low, cyr in (("t", "ц"), ("T", "Ц")):
-        text = F.regexp_replace(text, f"(?:{_WORD_START}{low}[sS]|{low}[sS]{loan})", cyr + pad)
+        text = F.regexp_replace(text, f"{low}[sS](?:(?<!{_WORDISH}{low}[sS])|{loan})", cyr + pad)
     for low, cyr in (("o", "ў"), ("g", "ғ")):
         text = F.regexp_replace(text, f"{low}[{APOSTROPHES}]", cyr + pad)
         text = F.regexp_replace(text, f"{low.upper()}[{APOSTROPHES}]", cyr.upper() + pad)
@@ -78,16 +82,16 @@ def _mark_cyrillic(text: Column, style: str) -> Column:
     """Mark every letter whose spelling depends on its neighbours; one unit per letter."""
     vowels = CYRILLIC_VOWELS + CYRILLIC_VOWELS.upper()
     # A mark before each е that reads "ye" and each ц that reads "ts".
-    soft = rf"(?:(?<=[{vowels}])(?=[еЕцЦ])|(?:(?<=[ъьЪЬ])|{_WORD_START})(?=[еЕ]))"
-    text = F.regexp_replace(text, soft, _SOFT)
+    soft = rf"[еЕцЦ](?:(?<=[{vowels}][еЕцЦ])|(?<=[еЕ])(?:(?<=[ъьЪЬ].)|(?<!{_WORDISH}.)))"
+    text = F.regexp_replace(text, soft, _SOFT + "$0")
     # A mark after each capital that spells two letters inside a run of capitals.
     doubles = "".join(CYRILLIC_DOUBLE).upper()
     run = (
-        rf"([{doubles}]|{_SOFT}[ЕЦ])"
+        rf"[{doubles}ЕЦ](?<=[{doubles}]|{_SOFT}[ЕЦ])"
         rf"(?:(?={_SOFT}?{_UPPER})|(?<={_UPPER}[{doubles}]|{_UPPER}{_SOFT}[ЕЦ])(?!{_SOFT}?{_LETTER}))"
     )
-    text = F.regexp_replace(text, run, "$1" + _CAPS)
-    sign = rf"(?<={_LETTER}|{_CAPS})[ъЪ](?!{_SOFT}?[еёюяЕЁЮЯ])"
+    text = F.regexp_replace(text, run, "$0" + _CAPS)
+    sign = rf"[ъЪ](?<=(?:{_LETTER}|{_CAPS})[ъЪ])(?!{_SOFT}?[еёюяЕЁЮЯ])"
     return F.regexp_replace(text, sign, HARD_SIGN_APOSTROPHE[style])
 
 
