@@ -9,7 +9,7 @@ from docflow.functions import wire
 from docflow.operators import sessions as ops
 from docflow.plans.registry import query, table
 from docflow.sources import files as files_io
-from docflow.sources.placing import scratch, settle
+from docflow.sources.placing import dealt, scratch, settle
 from docflow.streaming import live as streams
 
 HOST = "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(user_id % 256 AS STRING))"
@@ -382,7 +382,8 @@ def zipped_pages(spark, sf):
                 out.append((f"{page}.zip", data.getvalue() if page % 20 else b"junk"))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return table(spark, sf, "pages").mapInPandas(pack, "path string, content binary")
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return dealt(pages, 500, "page_id").mapInPandas(pack, "path string, content binary")
 
 
 @query("archive_entries", """

@@ -115,22 +115,31 @@ def list_archives(files: DataFrame, name: str = "path", content: str = "content"
         import pandas as pd
 
         columns = [c.split(" ")[0] for c in ENTRY_SCHEMA.split(", ")]
+
+        def table(rows):
+            out = pd.DataFrame(rows, columns=columns)
+            for column in ("entry_no", "size", "compressed_size"):
+                out[column] = out[column].astype("Int64")
+            for column in ("is_directory", "is_encrypted"):
+                out[column] = out[column].astype("boolean")
+            out["modified"] = pd.to_datetime(out["modified"])
+            return out
+
+        # A frame costs as much as many rows, so archives share one.
         for frame in batches:
+            rows = []
             for archive, data in zip(frame[name].tolist(), frame[content].tolist()):
-                rows = []
                 try:
                     for number, (path, *rest) in enumerate(_entries(archive, data)):
                         if path:
                             rows.append((archive, number, path.replace("\\", "/"), *rest, None))
                 except Exception as error:  # any broken archive is a row, never a failed job
                     rows.append((archive, None, None, None, None, None, None, None, type(error).__name__))
-                out = pd.DataFrame(rows, columns=columns)
-                for column in ("entry_no", "size", "compressed_size"):
-                    out[column] = out[column].astype("Int64")
-                for column in ("is_directory", "is_encrypted"):
-                    out[column] = out[column].astype("boolean")
-                out["modified"] = pd.to_datetime(out["modified"])
-                yield out
+                if len(rows) >= 10_000:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     return files.select(name, content).mapInPandas(read, ENTRY_SCHEMA)
 
