@@ -8,7 +8,7 @@ from docflow.operators import grids
 from docflow.operators import hierarchy as H
 from docflow.plans.registry import query, table
 from docflow.sources import tables as t
-from docflow.sources.placing import settle
+from docflow.sources.placing import dealt, settle
 
 STYLES = {
     "doc_id": "c_custkey % 10",
@@ -39,6 +39,7 @@ def style_chain(spark, sf):
     return H.style_chain(styles, ["doc_id"], ["font", "size", "bold"], default)
 
 
+OUTLINE_ROWS = 250_000  # paragraphs to a piece
 OUTLINE = {
     "list_id": "l_orderkey",
     "seq": t.PLAN_SEQ,
@@ -61,7 +62,7 @@ SELECT list_id, seq, level, CASE level WHEN 0 THEN v || '.' WHEN 1 THEN coalesce
   ELSE ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV'][v] || '-' || coalesce(v0, 1) || '%' || CASE WHEN v1 > 0 THEN v1 ELSE 1 END END AS marker FROM o
 UNION ALL SELECT list_id, seq, level, '▪' FROM p WHERE form = 'bullet'""")
 def outline_numbers(spark, sf):
-    rows = t.derived(spark, sf, OUTLINE, "lineitem")
+    rows = dealt(t.derived(spark, sf, OUTLINE, "lineitem"), OUTLINE_ROWS, "list_id")
     return H.outline_numbers(rows, ["list_id"], "seq", levels=4).select(
         "list_id", "seq", "level", "marker"
     )
