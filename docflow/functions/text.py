@@ -35,8 +35,9 @@ def paragraph_text(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines of a recognised paragraph: line feeds but for those at the end, and one."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+$", "")
-    return F.when(trim_space(body) == "", 1).otherwise(F.length(body) - F.length(F.translate(body, "\n", "")) + 1).cast("int")
+    body = F.rtrim(F.coalesce(text, F.lit("")), F.lit("\r\n"))
+    feeds = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    return F.when(body.rlike(rf"[^{SPACE}]"), feeds + 1).otherwise(1).cast("int")
 
 
 def names_style(font: Column, *words: str) -> Column:

@@ -9,6 +9,8 @@ page has few lines however many words it holds: two lines lie at least half a po
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -534,25 +536,30 @@ def recognised_blocks(paragraphs: DataFrame, keys: Sequence[str], order: str, le
     ``paragraphs (keys, order, text, height, confidence)`` hold the raw text of each paragraph
     and how high its box is. A paragraph is a heading where its lines are a good third higher
     than is usual on its page, it is short, and it was read with confidence; a null confidence
-    is none. Empty paragraphs are left out. The usual height is one row per page."""
-    read = paragraphs.select(*keys, order, paragraph_text(F.col("text")).alias("text"), line_count(F.col("text")).alias("n_lines"), "height", "confidence")
-    sized = read.where("text <> ''").withColumn("line_height", F.coalesce(F.col("height") / F.col("n_lines"), F.lit(0.0)))
-    usual = weighted_line_height(sized, keys).withColumnRenamed("line_height", "__usual")
+    is none. Empty paragraphs are left out. The usual height is a value of the page's window, so
+    texts are read and shuffled once; a page with a null key has none."""
+    read = paragraphs.where(F.col("text").rlike(rf"[^{SPACE}]")).select(*keys, order, paragraph_text(F.col("text")).alias("text"), line_count(F.col("text")).alias("n_lines"), "height", "confidence")
+    sized = read.withColumn("line_height", F.coalesce(F.col("height") / F.col("n_lines"), F.lit(0.0)))
+    counts = (F.col("line_height") > 0) & reduce(and_, (F.col(k).isNotNull() for k in keys))
+    usual = F.percentile(F.when(counts, F.col("line_height")), 0.5, _votes()).over(Window.partitionBy(*keys))
     size = F.bround(F.greatest(F.lit(7.0), F.least(F.lit(40.0), F.col("line_height") * 0.8)), 1)
     heading = (
         (F.col("__usual") > 0) & (F.col("line_height") > F.col("__usual") * 1.35) & (F.col("n_lines") <= 2)
         & (F.length("text") <= 90) & (F.col("confidence") >= least_confidence)
     )
-    return sized.join(usual, list(keys), "left").select(
+    return sized.withColumn("__usual", usual).select(
         *keys, order, F.when(F.coalesce(heading, F.lit(False)), "Heading2").otherwise("Paragraph").alias("kind"), "text", size.alias("font_size"), "n_lines"
     )
 
 
+def _votes() -> Column:
+    return F.least(F.greatest(F.floor(F.length("text") / 10), F.lit(1)), F.lit(40))
+
+
 def weighted_line_height(paragraphs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Usual line height: every paragraph votes once per ten characters, 1 to 40 times."""
-    votes = F.least(F.greatest(F.floor(F.length("text") / 10), F.lit(1)), F.lit(40))
     counted = (
-        paragraphs.where("line_height > 0").groupBy(*keys, "line_height").agg(F.sum(votes).alias("__votes"))
+        paragraphs.where("line_height > 0").groupBy(*keys, "line_height").agg(F.sum(_votes()).alias("__votes"))
     )
     return counted.groupBy(*keys).agg(F.percentile("line_height", 0.5, F.col("__votes")).alias("line_height"))
 

@@ -427,7 +427,8 @@ def recognised_blocks(spark, sf):
     raw = F.when(n % 4 == 1, F.replace("text", F.lit(" "), F.lit("\n "))).when(n % 4 == 2, F.concat(F.left("text", F.lit(60)), F.lit("\n"))).otherwise(
         F.concat(F.lit("\t"), F.left("text", F.lit(95)), F.lit("\u00a0")))
     line = 10 + F.when(n % 4 == 2, 8).otherwise(0) + F.length("text") % 3
-    paragraphs = doc_lines(spark, sf).select(
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), 2_000, "doc_id")
+    paragraphs = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).select(
         "doc_id", (F.floor(n / 50) + 1).cast("int").alias("page_no"), n.alias("par_no"), raw.alias("text"),
         (line * line_count(raw)).cast("double").alias("height"), F.when(n % 11 != 5, 40 + n * 7 % 60).cast("double").alias("confidence"),
     )
