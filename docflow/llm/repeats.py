@@ -17,10 +17,23 @@ _LONG_WORD = 8  # code points that count as a word, in URLs, code and scripts wi
 _LONG_SENTENCE = 24  # from so many words a sentence is compared in parts too
 _PART_WORDS = 8  # parts of sentences under this stay beside whole ones that go
 _CUT = 4  # of so many words one may end a part
-_UNIT = "doc_id {kind}, version bigint, seq int, digest binary, start int, stop int, n_words int, whole boolean, guards boolean"
+_UNIT = "doc_id {kind}, version bigint, key bigint, seq int, code int, at array<bigint>"
+_WHOLE, _PART, _SENTENCE, _WINDOW = range(4)  # a unit by itself, a part by itself, a sentence of parts, short units in their place
 
 
-def cut_units(text: str) -> list[tuple[int, int, str, int, int]]:
+class Ends(dict):
+    """Whether a word may end a part, remembered for words seen before."""
+
+    def __missing__(self, word: str) -> bool:
+        from zlib import crc32
+
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = out = word[-1] in "，、；：" or crc32(word.encode("utf-8", "replace")) % _CUT == 0
+        return out
+
+
+def cut_units(text: str, ends: Ends | None = None) -> list[tuple[int, int, str, int, int]]:
     """Units of a text: start and stop in code points, the normalised unit (lower case,
     single spaces), its number of words, and the number of its sentence.
 
@@ -31,34 +44,45 @@ def cut_units(text: str) -> list[tuple[int, int, str, int, int]]:
     white space divides or, if that is more, stretches of eight code points, of two where
     the script has no spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer)."""
     import re
-    from zlib import crc32
 
+    ends = Ends() if ends is None else ends
+    # Most scripts with spaces keep their places in lower case, and white space alone divides them.
+    low = text.lower() if text.isascii() or not re.search("[\u0e00-\U0010ffffΣİ]", text) else None
     out = []
     unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
     tokens = re.compile(r"[^\s，、；：]+[，、；：]*|[，、；：]+")
 
     def size(words):
         unit = " ".join(words)
-        return unit, max(len(words), len(unit) // _LONG_WORD, 0 if max(unit) < "\u0e00" else len(unspaced.findall(unit)) // 2)
+        n = max(len(words), len(unit) // _LONG_WORD)
+        return unit, n if low is not None or max(unit) < "\u0e00" else max(n, len(unspaced.findall(unit)) // 2)
+
+    def placed(words, lo, hi):
+        if low is None:
+            for t in tokens.finditer(text, lo, hi):
+                yield t.start(), t.end(), t[0].lower()
+            return
+        for word in words:
+            at = low.index(word, lo)
+            yield at, (lo := at + len(word)), word
 
     nth = 0
     for m in re.finditer(r"[^\n.!?。！？｡]*+(?:[.!?]++(?![\s。！？｡]|\Z)[^\n.!?。！？｡]*+)*+[.!?。！？｡]*+", text):
-        words = m[0].lower().split()
+        lo, hi = m.span()
+        words = (m[0].lower() if low is None else low[lo:hi]).split()
         if not words:
             continue
         unit, n = size(words)
         if n < _LONG_SENTENCE:
-            lead = len(m[0]) - len(m[0].lstrip())
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), unit, n, nth))
+            out.append((hi - len(m[0].lstrip()), lo + len(m[0].rstrip()), unit, n, nth))
             nth += 1
             continue
-        found = [(t.start(), t.end(), t[0].lower()) for t in tokens.finditer(text, m.start(), m.end())]
+        found = list(placed(words, lo, hi))
         parts, since = [], 0
         for i, (_, _, word) in enumerate(found):
-            if word[-1] in "，、；：" or crc32(word.encode("utf-8", "replace")) % _CUT == 0:
-                if size([w for _, _, w in found[since : i + 1]])[1] >= _UNIT_WORDS:
-                    parts.append((since, i + 1))
-                    since = i + 1
+            if ends[word] and (i - since >= _UNIT_WORDS - 1 or size([w for _, _, w in found[since : i + 1]])[1] >= _UNIT_WORDS):
+                parts.append((since, i + 1))
+                since = i + 1
         if since < len(found):
             if parts and size([w for _, _, w in found[since:]])[1] < _UNIT_WORDS:
                 since = parts.pop()[0]
@@ -69,71 +93,93 @@ def cut_units(text: str) -> list[tuple[int, int, str, int, int]]:
     return out
 
 
-def keyed(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, str, bool, bool]]:
-    """What units are compared by: (seq, key, whole, guards). A unit of enough words is its
-    own key, and a part of a sentence is read in its sentence too. A short sentence is read
-    in its place: by every window that reaches enough words, of the units from it on or up
-    to it, with its own place in the window. So short ones are equal only where what stands
-    around them is equal too. ``whole`` is false for a part by itself; the first occurrence
-    of a key that ``guards`` is not removed for another key."""
-    from itertools import groupby
+def keyed(found: list[tuple[int, int, str, int, int]]) -> list[tuple[bytes, int, int, list[int]]]:
+    """What units are compared by: (digest, seq, code, at). A unit of enough words is its own
+    key, and the parts of a sentence have one more together, for the sentence they stand in.
+    A short unit is read in its place: by every window that reaches enough words, of the units
+    from it on or up to it, which is one key for all short units in it. So short ones are
+    equal only where what stands around them is equal too. Sentences and windows are digests
+    of their units' digests, so keys take no more room than the text has units.
+
+    ``seq`` is the number of the first unit, ``code`` the kind in its lowest two bits. Above
+    them are the words of a unit, the number of a sentence's parts, or four bits for each short
+    unit of a window: its place in the window and its words, both under four as a window has four
+    units at most. ``at`` has start and length of each unit in one number; a sentence has none,
+    as its parts have keys of their own that are shared where it is.
 
+    A part by itself is not read as a whole; the first occurrence of a key is not removed for
+    another key, unless it is that of a sentence."""
+    from hashlib import blake2b
+
+    own = [blake2b(unit.encode("utf-8", "replace"), digest_size=8).digest() for _, _, unit, _, _ in found]
     sizes = [n for _, _, _, n, _ in found]
-    windows = set()
+    at = [start << 32 | stop - start for start, stop, *_ in found]
+    together = lambda kind, lo, hi: blake2b(kind + b"".join(own[lo:hi]), digest_size=8).digest()
+    windows, out = set(), []
     for i, n in enumerate(sizes):
         if n < _UNIT_WORDS:
-            for step, end in ((1, len(sizes)), (-1, -1)):
-                at, words = i, 0
-                while at != end and words < _UNIT_WORDS:
-                    words += sizes[at]
-                    at += step
-                if words >= _UNIT_WORDS:
-                    windows.add((i, at - 1) if step == 1 else (at + 1, i))
-    out = []
-    for _, parts in groupby(range(len(found)), lambda i: found[i][4]):
-        parts = list(parts)
-        sentence = "\n".join(found[i][2] for i in parts)
-        for i in parts:
-            if sizes[i] >= _UNIT_WORDS:
-                out.append((i, found[i][2], len(parts) == 1, True))
-                if len(parts) > 1:
-                    out.append((i, f"{sentence}\n{i - parts[0]}\n", True, False))
-    for lo, hi in sorted(windows):
-        window = "\n".join(x[2] for x in found[lo : hi + 1])
-        out.extend((i, f"{window}\n{i - lo}", True, True) for i in range(lo, hi + 1) if sizes[i] < _UNIT_WORDS)
+            hi, words = i, n
+            while words < _UNIT_WORDS and hi + 1 < len(sizes):
+                hi += 1
+                words += sizes[hi]
+            if words >= _UNIT_WORDS:
+                windows.add((i, hi))
+            lo, words = i, n
+            while words < _UNIT_WORDS and lo > 0:
+                lo -= 1
+                words += sizes[lo]
+            if words >= _UNIT_WORDS:
+                windows.add((lo, i))
+    lo, end = 0, len(found)
+    while lo < end:
+        hi = lo + 1
+        while hi < end and found[hi][4] == found[lo][4]:
+            hi += 1
+        if hi == lo + 1:
+            if sizes[lo] >= _UNIT_WORDS:
+                out.append((own[lo], lo, sizes[lo] << 2 | _WHOLE, at[lo : lo + 1]))
+        else:
+            out.extend((own[i], i, sizes[i] << 2 | _PART, at[i : i + 1]) for i in range(lo, hi) if sizes[i] >= _UNIT_WORDS)
+            out.append((together(b"sentence", lo, hi), lo, hi - lo << 2 | _SENTENCE, []))
+        lo = hi
+    for lo, hi in windows:
+        code, short = _WINDOW, []
+        for i in range(lo, hi + 1):
+            if sizes[i] < _UNIT_WORDS:
+                code |= (i - lo << 2 | sizes[i]) << 2 + 4 * len(short)
+                short.append(at[i])
+        out.append((together(b"window", lo, hi + 1), lo, code, short))
     return out
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit and key, with the unit's place among them and the digest of the key.
-    ``version`` tells texts apart that share an id."""
+    """One row per key of a text, with the digest and the units that it is for (see ``keyed``). ``version`` tells texts apart that share an id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     schema = _UNIT.format(kind=rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches):
-        import hashlib
+        import numpy as np
         import pyarrow as pa
 
         def pack(ids, versions, found):
-            seq, start, stop, digest, size, whole, guards = zip(*found) if found else ((),) * 7
+            digests, seq, code, places = zip(*found)
+            offsets = np.cumsum([0, *map(len, places)])
+            at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x for p in places for x in p], pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [ids, versions, pa.array(seq, pa.int32()), pa.array(digest, pa.binary()), pa.array(start, pa.int32()),
-                 pa.array(stop, pa.int32()), pa.array(size, pa.int32()),
-                 pa.array(whole, pa.bool_()), pa.array(guards, pa.bool_())],
-                ["doc_id", "version", "seq", "digest", "start", "stop", "n_words", "whole", "guards"],
+                [ids, versions, pa.array(np.frombuffer(b"".join(digests), "<i8")), pa.array(seq, pa.int32()), pa.array(code, pa.int32()), at],
+                ["doc_id", "version", "key", "seq", "code", "at"],
             )
 
+        ends = Ends()
         for batch in batches:
             owner, found = [], []
             for row, text in enumerate(batch.column(2)):
-                cut = cut_units(text.as_py() or "")
-                for seq, key, whole, guards in keyed(cut):
-                    start, stop, _, n, _ = cut[seq]
-                    owner.append(row)
-                    found.append((seq, start, stop, hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest(), n, whole, guards))
+                keys = keyed(cut_units(text.as_py() or "", ends))
+                owner.extend([row] * len(keys))
+                found.extend(keys)
                 if len(found) >= 50_000 or (row == batch.num_rows - 1 and found):
-                    at = pa.array(owner, pa.int64())
-                    yield pack(batch.column(0).take(at), batch.column(1).take(at), found)
+                    rows_of = pa.array(owner, pa.int64())
+                    yield pack(batch.column(0).take(rows_of), batch.column(1).take(rows_of), found)
                     owner, found = [], []
 
     return rows.mapInArrow(run, schema)
@@ -155,13 +201,29 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
     occurrence and share its verdict. Null and empty texts have no units, an empty table
     gives no rows, further columns are not read.
     """
-    found = units(docs, id_col, text_col)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "seq", "start")
-    shared = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = rank != F.col("first")
-    met = found.join(shared, "digest").groupBy("doc_id", "version", "seq", "start", "stop", "n_words").agg(
-        F.max(F.col("guards") & ~again).alias("kept"), F.max(F.col("whole") & again).alias("whole"), F.min("first").alias("first"),
-    ).where("not kept").select("doc_id", "version", "seq", "start", "stop", "n_words", "whole", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs"))
+    # Keys meet once, in the order of their occurrences; what occurs once goes no further.
+    met = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "version", "seq")
+    first = F.first(F.struct("doc_id", "version", "seq", "at")).over(met)
+    found = units(docs, id_col, text_col).withColumns({"first": first, "next": F.lead(F.lit(1)).over(met), "nth": F.row_number().over(met)})
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("seq") == F.col("first.seq")))
+    shared = found.where("nth > 1 or next is not null").select("doc_id", "version", "seq", "code", "at", "first", again.alias("again"))
+    # One shuffle brings a text's units together, for all that follows.
+    mine = shared.repartition("doc_id", "version").select("*", (F.col("code").bitwiseAND(3)).alias("kind"), F.shiftright("code", 2).alias("rest"))
+    mine = mine.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == _SENTENCE, F.col("rest")).otherwise(F.size("at")) - 1)))
+    in_window = F.expr("shiftright(rest, 4 * i)")
+    step = F.when(F.col("kind") == _WINDOW, F.shiftright(in_window, 2).bitwiseAND(3)).otherwise(F.col("i"))
+    n_words = F.when(F.col("kind") == _WINDOW, in_window.bitwiseAND(3)).when(F.col("kind") != _SENTENCE, F.col("rest"))
+    at, start = F.get("at", F.col("i")), lambda at: F.shiftright(at, 32).cast("int")
+    mark = F.struct(F.col("first.doc_id").isNull().alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"),
+                    (F.col("first.seq") + step).alias("seq"), start(F.get("first.at", F.col("i"))).alias("start"))
+    each = mine.select(
+        "doc_id", "version", (F.col("seq") + step).alias("seq"), start(at).alias("start"), (start(at) + at.bitwiseAND(0xFFFFFFFF).cast("int")).alias("stop"), n_words.alias("n_words"),
+        ((F.col("kind") != _SENTENCE) & ~F.col("again")).alias("held"), ((F.col("kind") != _PART) & F.col("again")).alias("gone"),
+        F.when(F.col("kind") != _SENTENCE, mark).alias("mark"))
+    met = each.groupBy("doc_id", "version", "seq").agg(
+        F.max("start").alias("start"), F.max("stop").alias("stop"), F.max("n_words").alias("n_words"),
+        F.max("held").alias("kept"), F.max("gone").alias("whole"), F.min("mark").alias("first"),
+    ).where("not kept and start is not null").select("doc_id", "version", "seq", "start", "stop", "n_words", "whole", F.col("first.doc_id").alias("fd"), F.col("first.start").alias("fs"))
     in_row = lambda *keys: F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "version", *keys).orderBy("seq"))
     words = lambda *keys: F.sum("n_words").over(Window.partitionBy("doc_id", "version", *keys))
     runs = met.withColumn("run", in_row()).withColumn("like", in_row("run", "whole"))

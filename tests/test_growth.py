@@ -158,3 +158,25 @@ def test_recognised_texts_are_read_once(spark):
         "doc_id int, page_no int, par_no int, text string, height double, confidence double")
     got = {(r["doc_id"], r["par_no"]): (r["kind"], r["n_lines"], r["font_size"]) for r in layout.recognised_blocks(pages, ["doc_id", "page_no"], "par_no").collect()}
     assert got == {(1, 1): ("Heading2", 1, 24.0), (1, 2): ("Paragraph", 1, 8.0), (None, 1): ("Paragraph", 1, 40.0)}
+
+
+def test_passages_are_read_and_shuffled_once(spark):
+    """op1: every text was cut twice, and each unit was shuffled once per key, 1.9 times on the average."""
+    from docflow.llm import repeats
+
+    plan = repeats.repeated_spans(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_long_sentences_have_short_keys():
+    """op1: every part of a sentence carried the whole sentence in its key, quadratic in its length."""
+    from docflow.llm import repeats
+
+    text = " ".join(f"w{i * i % 7919}" for i in range(8_000))
+    units = repeats.cut_units(text)
+    keys = repeats.keyed(units)
+    assert len(keys) == len(units) + 1 and sum(len(x) for k in keys for x in k if isinstance(x, (str, bytes))) <= 8 * len(keys)
+    # A character of another script at the end takes the slower way for the text before it.
+    for text in ("Ab  cd\tEf. gh\n" + "One two three four five Six " * 9, "é à. Ün\n" + "zwölf Große Über öl " * 12):
+        quick = repeats.cut_units(text + "\nend")
+        assert quick[:-1] == repeats.cut_units(text + "\n界")[:-1] and len(quick) > 2
