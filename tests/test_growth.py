@@ -180,3 +180,42 @@ def test_long_sentences_have_short_keys():
     for text in ("Ab  cd\tEf. gh\n" + "One two three four five Six " * 9, "é à. Ün\n" + "zwölf Große Über öl " * 12):
         quick = repeats.cut_units(text + "\nend")
         assert quick[:-1] == repeats.cut_units(text + "\n界")[:-1] and len(quick) > 2
+
+
+def test_lines_keep_no_shingles(spark, monkeypatch):
+    """op2: shingles of lines were written, and minima were taken of every one of them."""
+    from docflow.llm import lines
+
+    written, steady = [], lines.steady
+    monkeypatch.setattr(lines, "steady", lambda df: written.append(df.schema.simpleString()) or steady(df))
+    long = " ".join(f"word{i * i % 97}" for i in range(100))
+    rows = spark.createDataFrame([(1, long), (2, long + " more"), (3, "a short one"), (4, "a shorter one")], "doc_id long, text string")
+    assert [r["kept"] for r in lines.line_verdicts(rows).orderBy("doc_id").collect()] == [True, False, True, True]
+    assert written and not any("array" in x for x in written)
+    hashes = rows.where("doc_id = 1").select(F.flatten(lines._elements(F.col("text"))["h"]).alias("h")).first()["h"]
+    assert len(hashes) <= 100
+
+
+def test_near_lines_are_found(spark):
+    """op2: of pairs at a similarity of 0.8 or more, held against all shingles, nine in ten are found."""
+    from docflow.llm import lines
+
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghijklmnoprstuvwy", k=random.randint(1, 9)))
+    grams = lambda x: {x[k : k + 5] for k in range(max(1, len(x) - 4))}
+    pairs = []
+    while len(pairs) < 600:
+        line = " ".join(word() for _ in range(random.choice([8, 14, 15, 16, 20, 21, 22, 23, 40, 80])))
+        other = list(line)
+        for _ in range(random.randint(1, max(1, len(line) // 45))):
+            at = random.randrange(1, len(other) - 1)
+            other[at : at + random.randint(0, 1)] = random.choice(["", "x", "zq"])
+        a, b = grams(line), grams("".join(other).strip())
+        if line != "".join(other).strip() and len(a & b) >= 0.8 * len(a | b):
+            pairs.append((line, "".join(other).strip(), len(a & b) / len(a | b)))
+    rows = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["keep_doc_id"] for r in lines.line_verdicts(rows).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(len(pairs))]
+    near = [f for f, p in zip(found, pairs) if p[2] < 0.85]
+    print(f"found {sum(found)} of {len(found)}; under 0.85: {sum(near)} of {len(near)}")
+    assert sum(found) >= 0.95 * len(found) and len(near) > 30 and sum(near) >= 0.9 * len(near)
