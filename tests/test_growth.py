@@ -219,3 +219,33 @@ def test_near_lines_are_found(spark):
     near = [f for f, p in zip(found, pairs) if p[2] < 0.85]
     print(f"found {sum(found)} of {len(found)}; under 0.85: {sum(near)} of {len(near)}")
     assert sum(found) >= 0.95 * len(found) and len(near) > 30 and sum(near) >= 0.9 * len(near)
+
+
+def test_lines_of_one_template_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """op2: lines under one key that were still apart were compared in all pairs, shingle by shingle."""
+    from docflow.llm import lines
+
+    compared, similar = [], lines._similar
+    monkeypatch.setattr(lines, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwy", k=rng.randint(3, 8)))
+    template = [word() for _ in range(60)]
+    made = [" ".join(word() if k in odd else w for k, w in enumerate(template)) for odd in (set(rng.sample(range(60), 12)) for _ in range(400))]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in lines.line_verdicts(rows).where("kept").collect()}
+    assert sum(compared) < 4_000 and len(kept) > 350
+
+
+def test_sketches_refuse_no_near_pair(spark):
+    """op2: a sketch may only refuse what shingles refuse as well."""
+    from docflow.llm import lines
+
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcd efgh", k=n)) for n in (3, 9, 40, 300, 2_000)]
+    texts = base + ["".join(c if rng.random() > p else "xé" for c in t) for t in base for p in (0.005, 0.02, 0.03, 0.05, 0.2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sketches = lines._sketches(rows)
+    met = lines._of(sketches, "a").crossJoin(lines._of(sketches, "b")).where("a_id > b_id")
+    passed = {(r["a_id"], r["b_id"]) for r in met.where(lines._may_be_near(0.8)).collect()}
+    near = {tuple(r) for r in lines._similar(met.selectExpr("a_id AS a", "b_id AS b"), rows, 0.8).collect()}
+    assert near and near <= passed and len(passed) < met.count()
