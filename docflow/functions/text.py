@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the same, one by one
 # What opens a list item, and suffixes that are style and not family.
 BULLETS = "•‣●○▪◦·⁃∙*"
 DASHES = "-‐‒–—"
@@ -18,7 +19,7 @@ DEFAULT_FONT = "Calibri"
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -32,6 +32,13 @@ def weighted_median(pairs: Column) -> Column:
     return F.when(same, F.array_min(values)).otherwise(counted)
 
 
+def median(values: Column) -> Column:
+    """Median of an array of doubles without nulls, null for an empty one."""
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    # Bound to a name, the array is sorted once.
+    return F.get(F.transform(F.array(F.sort_array(values)), middle), F.lit(0))
+
+
 def breaks_to_slices(items: Column, breaks: Column) -> Column:
     """Cut an array at the given 0-based positions into an array of slices."""
     # Both are bound to a name, so that they are worked out once and not once per slice.

@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from docflow.functions.text import SPACE, color_hex, font_family, is_list_item, line_count, names_style, paragraph_text, trim_space
-from docflow.functions.weighted import breaks_to_slices, weighted_median
+from docflow.functions.text import SPACE, SPACES, color_hex, font_family, is_list_item, line_count, names_style, paragraph_text, trim_space
+from docflow.functions.weighted import breaks_to_slices, median, weighted_median
 
 PAGE = ("doc_id", "page_no")
 WORD_FIELDS = ("right", "top", "bottom", "baseline", "font_size", "n_letters", "n_bold", "text")
@@ -25,8 +25,9 @@ PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
 DEFAULT_FONT_SIZE, DEFAULT_GAP = 11.0, 2.0
 
 
-def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50) -> DataFrame:
-    """Positioned words of plain text: 6 points a letter, 14 points a line."""
+def _blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, __line, at, words, __block``: lines of plain text in blocks of 32 tokens, and how many
+    letters and words stand before a block in its line."""
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("__line", "__text"))
     # Lines are cut into blocks of tokens, so that a line of any length takes time in step with
     # its length. A token starts behind what stands before it in its block.
@@ -48,7 +49,12 @@ def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int =
     )
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.col("__text").alias("text")))
     blocks = lines.withColumn("__tokens", tokens).select(doc, "__line", F.explode(F.when(F.size("__tokens") <= block, whole).otherwise(placed)).alias("__b"))
-    each = blocks.select(doc, "__line", "__b.at", "__b.words", F.col("__b.text").alias("__block")).select(
+    return blocks.select(doc, "__line", "__b.at", "__b.words", F.col("__b.text").alias("__block"))
+
+
+def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50) -> DataFrame:
+    """Positioned words of plain text: 6 points a letter, 14 points a line."""
+    each = _blocks(docs, doc, text).select(
         "*", F.posexplode(F.split("__block", " ")).alias("__i", "__t")
     ).where("__t <> ''")
     before = F.call_function("substring_index", F.col("__block"), F.lit(" "), F.col("__i"))
@@ -79,36 +85,97 @@ def words_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int =
     )
 
 
+def word(text: Column, left: Column, right: Column, top: Column, bottom: Column, baseline: Column, font_size: Column, n_letters: Column, n_bold: Column, word_no: Column) -> Column:
+    """A word as lines hold it, in the order of a line; null for one without letters."""
+    height = F.abs(top - bottom)
+    fields = {
+        "left": left, "down": -((bottom + top) / 2), "word_no": word_no, "h": F.when(height > 0, height).otherwise(10.0), "right": right, "top": top,
+        "bottom": bottom, "baseline": baseline, "font_size": font_size, "n_letters": n_letters, "n_bold": n_bold, "text": text,
+    }
+    return F.when((n_letters > 0) & (F.ltrim(text, F.lit(SPACES)) != ""), F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
+def piece(left: Column, right: Column, bottom: Column, n_letters: Column, n_bold: Column, word_no: Column, text: Column, baseline: Column, font_size: Column, height: float) -> Column:
+    """Words as ``build_lines`` takes them in pieces, of an array for every value of theirs; ``baseline``
+    and ``font_size`` are those of all of them, and so is ``height``. Words without letters are the
+    caller's to leave out. Arrays are zipped, as a struct made in a lambda is not compiled."""
+    n = F.size(text)
+    over = lambda by: F.transform(bottom, lambda y: y + by)
+    fields = {
+        "left": left, "down": F.transform(bottom, lambda y: -((y + (y + height)) / 2)), "word_no": word_no, "h": F.array_repeat(F.lit(height), n), "right": right,
+        "top": over(height), "bottom": bottom, "baseline": F.array_repeat(baseline, n), "font_size": F.array_repeat(font_size, n),
+        "n_letters": n_letters, "n_bold": n_bold, "text": text,
+    }
+    return F.arrays_zip(*(c.alias(k) for k, c in fields.items()))
+
+
+def pieces_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int = 50, shift=None, lifts: Sequence[float] = (0.0,), bold=None) -> DataFrame:
+    """The words of ``words_from_text`` in pieces for ``build_lines``, a row per 32 tokens of a line.
+    Lines lie ``shift(line)`` points further right, words by turns ``lifts`` points higher, and letters are
+    bold in lines where ``bold(line)``; counted from 0."""
+    line, page_no = F.col("__line"), (F.floor(F.col("__line") / lines_per_page) + 1).cast("int")
+    begins = F.aggregate(
+        F.split("__block", " "), F.struct("at", F.array().cast("array<int>").alias("all")),
+        lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"],
+    )
+    cut = _blocks(docs, doc, text).select(doc, "__line", "words", "__block", F.split("__block", " ").alias("__t"), begins.alias("__s"))
+    pairs = F.arrays_zip(F.col("__t").alias("t"), F.col("__s").alias("s"))
+    solid = cut.select(doc, "__line", "words", "__block", F.when(F.array_contains("__t", ""), F.filter(pairs, lambda p: p["t"] != "")).otherwise(pairs).alias("__p"))
+    left = 50.0 + (shift(line) if shift else F.lit(0.0))
+    measured = solid.select(
+        doc, "__line", "words", "__block", F.col("__p.t").alias("__t"), F.transform("__p.t", lambda t: F.length(t)).alias("__n"),
+        F.transform("__p.s", lambda at: left + 6.0 * at).alias("__left"),
+    )
+    n, bottom = F.size("__t"), 800 - 14.0 * (line % lines_per_page)
+    turns = F.flatten(F.array_repeat(F.array(*(bottom + up for up in lifts)), F.floor(n / len(lifts)).cast("int") + 2))
+    made = piece(
+        F.col("__left"), F.zip_with("__left", "__n", lambda x, k: x + 6.0 * k), F.slice(turns, F.col("words") % len(lifts) + 1, n), F.col("__n"),
+        F.when(bold(line), F.col("__n")).otherwise(F.array_repeat(F.lit(0), n)) if bold else F.array_repeat(F.lit(0), n),
+        F.slice(F.sequence(F.col("words"), F.col("words") + n), F.lit(1), n), F.col("__t"), bottom, F.when(line == 0, 18.0).otherwise(11.0), 10.0,
+    )
+    whole = measured.select(doc, page_no.alias("page_no"), "__block", made.alias("words"))
+    # Other kinds of space count as a word's number but are no word.
+    blank = F.col("__block").rlike(rf"[^\S ]|[{SPACE[2:]}]")
+    return whole.select(doc, "page_no", F.when(blank, F.filter("words", lambda w: F.ltrim(w["text"], F.lit(SPACES)) != "")).otherwise(F.col("words")).alias("words"))
+
+
 def build_lines(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Words gathered into lines, numbered from the top: one row per line with its words.
 
+    ``words`` has a row per word, or pieces of a page: rows with an array of any number of them
+    (of ``piece``) in ``words``. Words that come in pieces are not taken apart.
+
     Words run from the top down. One joins the current line if its middle is within half a
-    height of the line's running mean. Where the gap to the word above is wider than any
+    height of the line's running mean. Where the gap to the words above is wider than any
     height on the page allows, a new line must begin; pages are cut there first, so the walk
-    never holds more than the words that touch each other vertically.
+    never holds more than the pieces that touch each other vertically.
     """
     page = list(page)
-    height = F.abs(F.col("top") - F.col("bottom"))
-    usable = (
-        words.where((F.col("n_letters") > 0) & F.col("text").rlike(rf"[^{SPACE}]"))
-        .withColumn("__c", (F.col("bottom") + F.col("top")) / 2)
-        .withColumn("__h", F.when(height > 0, height).otherwise(10.0))
-    )
-    down = Window.partitionBy(*page).orderBy((-F.col("__c")), "left", "word_no")
-    tallest = F.max("__h").over(Window.partitionBy(*page))
-    apart = F.lag("__c").over(down) - F.col("__c") > 0.5 * F.greatest(F.lit(1.0), tallest)
-    islands = usable.withColumn("__cut", F.when(apart, 1).otherwise(0)).withColumn(
+    if "words" in words.columns:
+        pieces = words.select(*page, F.col("words").alias("__ws"))
+    else:
+        one = word(*(F.col(f) for f in ("text", "left", "right", "top", "bottom", "baseline", "font_size", "n_letters", "n_bold", "word_no")))
+        pieces = words.select(*page, one.alias("__w")).where("__w IS NOT NULL").select(*page, F.array("__w").alias("__ws"))
+    boxed = pieces.select(
+        *page, "__ws", F.array_min("__ws.down").alias("__top"), F.array_max("__ws.down").alias("__low"),
+        F.array_max("__ws.h").alias("__tall"), F.array_min("__ws.h").alias("__short"),
+    )
+    down = Window.partitionBy(*page).orderBy("__top")
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    apart = F.col("__top") - F.max("__low").over(above) > 0.5 * F.greatest(F.lit(1.0), F.max("__tall").over(whole))
+    islands = boxed.withColumn("__cut", F.when(apart, 1).otherwise(0)).withColumn(
         "__island", F.sum("__cut").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    word = F.struct("left", (-F.col("__c")).alias("down"), "word_no", F.col("__h").alias("h"), *WORD_FIELDS)
     touching = (
         islands
         .groupBy(*page, "__island")
         .agg(
-            F.sort_array(F.collect_list(word)).alias("__words"),
-            (F.max("__c") - F.min("__c")).alias("__range"),
-            F.min("__h").alias("__low"),
+            F.sort_array(F.flatten(F.collect_list("__ws"))).alias("__words"),
+            (F.max("__low") - F.min("__top")).alias("__range"),
+            F.min("__short").alias("__low"),
         )
+        .where(F.size("__words") > 0)
     )
 
     none = F.array().cast("array<int>")
@@ -154,7 +221,12 @@ def line_stats(lines: DataFrame) -> DataFrame:
         F.filter("words", keep), lambda w: F.struct(w[f].alias("v"), w["n_letters"].cast("bigint").alias("n"))
     )
     add = lambda f: F.aggregate(pick(f), F.lit(0), lambda acc, n: acc + n)
-    size = weighted_median(weigh("font_size", lambda w: (w["font_size"] > 0) & ~F.isnan(w["font_size"])))
+    size = F.when(_one_size(), F.array_min(pick("font_size"))).otherwise(
+        weighted_median(weigh("font_size", lambda w: (w["font_size"] > 0) & ~F.isnan(w["font_size"])))
+    )
+    # Mostly all words of a line stand on one height, and then there is nothing to count.
+    lowest = F.array_min(pick("baseline"))
+    baseline = F.when(lowest == F.array_max(pick("baseline")), lowest).otherwise(weighted_median(weigh("baseline", lambda w: F.lit(True))))
     return lines.select(
         "*",
         trim_space(F.array_join(pick("text"), " ")).alias("text"),
@@ -162,63 +234,84 @@ def line_stats(lines: DataFrame) -> DataFrame:
         F.array_max(pick("right")).alias("right"),
         F.array_max(pick("top")).alias("top"),
         F.array_min(pick("bottom")).alias("bottom"),
-        weighted_median(weigh("baseline", lambda w: F.lit(True))).alias("baseline"),
+        baseline.alias("baseline"),
         F.coalesce(size, F.lit(DEFAULT_FONT_SIZE)).alias("font_size"),
         (add("n_bold") >= add("n_letters") * 0.7).alias("is_bold"),
     ).where("text <> ''")
 
 
+def _one_size() -> Column:
+    """Whether all words of a line that have a size have the same usable one."""
+    least = F.array_min("words.font_size")
+    return (least == F.array_max("words.font_size")) & (least > 0) & ~F.isnan(least)
+
+
 def word_gaps(words: Column) -> Column:
     """Blanks between neighbours of one line."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
-        lambda k: F.get(words, k)["left"] - F.get(words, k - 1)["right"],
-    )
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words["left"], F.lit(2), n), F.slice(words["right"], F.lit(1), n), lambda left, right: left - right)
 
 
-def _measured(lines: DataFrame, page: Sequence[str], carry: bool) -> DataFrame:
-    """One row per page with its metrics, and with its lines as ``__lines`` if they are carried.
-    Equal values of a line are counted before the medians are taken."""
-    page = list(page)
+def _listed(lines: DataFrame) -> DataFrame:
+    """Lines with what their page is measured by: ``__s`` pairs of sizes and letters, ``__g`` gaps
+    and ``__c`` pairs of a gap and its number where a line has one gap throughout."""
     pair = lambda v, n: F.struct(v.alias("v"), n.cast("bigint").alias("n"))
     usable = lambda x: (x["v"] > 0) & ~F.isnan(x["v"])
-    sizes = F.filter(F.transform("words", lambda w: pair(w["font_size"], w["n_letters"])), usable)
-    gaps = F.filter(F.transform(word_gaps(F.col("words")), lambda g: pair(g, F.lit(1))), lambda x: usable(x) & (x["v"] < 100))
+    letters = F.aggregate("words.n_letters", F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    sizes = F.when(_one_size(), F.array(pair(F.array_min("words.font_size"), letters))).otherwise(
+        F.filter(F.transform("words", lambda w: pair(w["font_size"], w["n_letters"])), usable)
+    )
+    gaps = F.filter(word_gaps(F.col("words")), lambda g: (g > 0) & (g < 100))
+    same = F.array_min("__g") == F.array_max("__g")
+    return lines.withColumns({"__s": sizes, "__g": gaps}).withColumns({
+        "__c": F.when(same, pair(F.array_min("__g"), F.size("__g"))), "__g": F.when(~same, F.col("__g")),
+    })
+
+
+def _page_values(sizes: Column, gaps: Column, counted: Column) -> dict[str, Column]:
+    """Body size and usual gap of a page from the lists of its lines."""
+    plain = F.flatten(gaps)
+    pairs = F.concat(counted, F.transform(plain, lambda g: F.struct(g.alias("v"), F.lit(1).cast("bigint").alias("n"))))
+    gap = F.when(F.size(counted) == 0, median(plain)).otherwise(weighted_median(pairs))
+    return {
+        "body_size": F.coalesce(weighted_median(F.flatten(sizes)), F.lit(DEFAULT_FONT_SIZE)),
+        "median_gap": F.coalesce(gap, F.lit(DEFAULT_GAP)),
+    }
 
-    def counted(pairs: str) -> Column:
-        v, n = F.col(f"{pairs}.v"), F.aggregate(f"{pairs}.n", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-        return F.when(F.array_min(v) == F.array_max(v), F.array(pair(F.array_min(v), n))).otherwise(F.col(pairs))
 
-    rest = [c for c in lines.columns if c not in page]
-    gathered = (
-        lines.withColumns({"__s": sizes, "__g": gaps})
-        .groupBy(*page)
-        .agg(
-            F.flatten(F.collect_list(counted("__s"))).alias("__s"), F.flatten(F.collect_list(counted("__g"))).alias("__g"),
-            F.min("left").alias("min_left"), F.max("right").alias("max_right"), F.max("top").alias("max_top"),
-            *([F.collect_list(F.struct(*rest)).alias("__lines")] if carry else []),
-        )
-    )
-    return gathered.select(
-        *page,
-        F.coalesce(weighted_median(F.col("__s")), F.lit(DEFAULT_FONT_SIZE)).alias("body_size"),
-        "min_left", "max_right", "max_top",
-        F.coalesce(weighted_median(F.col("__g")), F.lit(DEFAULT_GAP)).alias("median_gap"),
-        *(["__lines"] if carry else []),
+def page_metrics(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+    """Body size, margins and usual word gap per page."""
+    gathered = _listed(lines).groupBy(*page).agg(
+        *(F.collect_list(c).alias(c) for c in ("__s", "__g", "__c")),
+        F.min("left").alias("min_left"), F.max("right").alias("max_right"), F.max("top").alias("max_top"),
     )
+    values = _page_values(F.col("__s"), F.col("__g"), F.col("__c"))
+    return gathered.select(*page, values["body_size"].alias("body_size"), "min_left", "max_right", "max_top", values["median_gap"].alias("median_gap"))
 
 
-def page_metrics(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
-    """Body size, margins and usual word gap per page."""
-    return _measured(lines, page, carry=False)
+def _down(page: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """Lines of a page in order, and all of them at every line. Whatever follows lines uses this
+    order, so that they are sorted once."""
+    order = Window.partitionBy(*page).orderBy("line_no")
+    return order, order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def with_metrics(lines: DataFrame, metrics: DataFrame | None = None, page: Sequence[str] = PAGE) -> DataFrame:
-    """Lines with the metrics of their page: given ones by key, else measured in passing."""
+    """Lines with the metrics of their page: given ones by key, else measured in passing, on
+    the first line of a page, and handed on to the others. Lines stay where they are."""
     if metrics is not None:
         return lines.join(metrics, list(page))
-    pages = _measured(lines, page, carry=True).withColumn("__line", F.explode("__lines"))
-    return pages.select(*page, "__line.*", "body_size", "min_left", "max_right", "max_top", "median_gap")
+    order, whole = _down(page)
+    lists = {c: F.collect_list(c).over(whole) for c in ("__s", "__g", "__c")}
+    margins = {"min_left": F.min("left").over(whole), "max_right": F.max("right").over(whole), "max_top": F.max("top").over(whole)}
+    seen = _listed(lines).select(
+        *(c for c in lines.columns), *(v.alias(f"{c}s") for c, v in lists.items()), *(v.alias(c) for c, v in margins.items()),
+        F.row_number().over(order).alias("__n"),
+    )
+    values = _page_values(F.col("__ss"), F.col("__gs"), F.col("__cs"))
+    first = F.when(F.col("__n") == 1, F.struct(*(v.alias(c) for c, v in values.items())))
+    known = seen.select(*lines.columns, *margins, first.alias("__m")).withColumn("__m", F.first("__m", ignorenulls=True).over(whole))
+    return known.select(*lines.columns, "__m.body_size", "min_left", "max_right", "max_top", "__m.median_gap")
 
 
 def column_gaps(lines: DataFrame, metrics: DataFrame | None = None, page: Sequence[str] = PAGE) -> DataFrame:
@@ -227,7 +320,7 @@ def column_gaps(lines: DataFrame, metrics: DataFrame | None = None, page: Sequen
     none = F.array().cast("array<double>")
     start = F.struct(F.lit(None).cast("double").alias("right"), none.alias("gaps"))
 
-    def gaps(limit: Column) -> Column:
+    def walked(limit: Column) -> Column:
         return F.aggregate(
             F.transform("words", lambda w: F.struct(w["left"].alias("left"), w["right"].alias("right"), limit.alias("limit"))),
             start,
@@ -240,77 +333,77 @@ def column_gaps(lines: DataFrame, metrics: DataFrame | None = None, page: Sequen
             lambda acc: acc["gaps"],
         )
 
-    return with_metrics(lines, metrics, page).withColumn("gaps", gaps(threshold))
+    # Mostly every word ends behind the ones before it, and then only neighbours count.
+    n, ends = F.greatest(F.size("words") - 1, F.lit(0)), F.col("words.right")
+    edges = F.array(F.struct(F.slice("words.left", F.lit(2), n).alias("left"), ends.alias("right"), threshold.alias("limit")))
+    direct = F.get(F.transform(edges, lambda e: F.filter(e["left"], lambda x, i: x - F.get(e["right"], i) >= e["limit"])), F.lit(0))
+    gaps = F.when(F.sort_array(ends) == ends, direct).otherwise(walked(threshold))
+    return with_metrics(lines, metrics, page).withColumn("gaps", gaps)
+
+
+def _starts(lines: DataFrame, page: Sequence[str], line: Column, state: dict[str, Column], begins, after) -> DataFrame:
+    """Lines in runs, as ``__n`` (place on the page), ``__at`` (place in the run, from 0) and ``__more``
+    (whether the next line is of the same run). ``begins(state, line)`` says whether a line
+    begins a run, ``after(state, line, begun)`` gives the state behind it. Only what ``line``
+    holds is gathered, and walked once a page."""
+    order, whole = _down(page)
+    seen = lines.withColumns({"__n": F.row_number().over(order), "__all": F.collect_list(line).over(whole)})
+    start = F.struct(F.lit(0).alias("__i"), F.lit(1).alias("__run"), F.array().cast("array<int>").alias("__runs"), *(c.alias(k) for k, c in state.items()))
+
+    def step(acc: Column, x: Column) -> Column:
+        begun = (acc["__i"] == 0) | begins(acc, x)
+        run = F.when(begun, acc["__i"] + 1).otherwise(acc["__run"])
+        return F.struct(
+            (acc["__i"] + 1).alias("__i"), run.alias("__run"), F.concat(acc["__runs"], F.array(run)).alias("__runs"),
+            *(c.alias(k) for k, c in after(acc, x, begun).items()),
+        )
+
+    walked = F.when(F.col("__n") == 1, F.aggregate("__all", start, step, lambda acc: acc["__runs"]))
+    known = seen.withColumn("__runs", walked).drop("__all").withColumn("__runs", F.first("__runs", ignorenulls=True).over(whole))
+    run = F.get("__runs", F.col("__n") - 1)
+    return known.withColumns({"__at": F.col("__n") - run, "__more": F.coalesce(F.get("__runs", F.col("__n")) == run, F.lit(False))}).drop("__runs")
 
 
 def detect_tables(gapped: DataFrame, page: Sequence[str] = PAGE, near: float = 5.0) -> DataFrame:
     """Number the tables of each page; lines outside a table have none.
 
     A table is two or more lines in a row whose gaps lie where those of its first line lie.
-    Lines with another number of gaps part tables for certain, so only stretches with the
-    same number are walked.
+    Lines with another number of gaps part tables for certain.
     """
-    page = list(page)
-    order = Window.partitionBy(*page).orderBy("line_no")
+    order, _ = _down(page)
     count = F.size("gaps")
-    cut = F.when((count == 0) | (F.lag(count).over(order) != count), 1).otherwise(0)
-    stretches = gapped.withColumn("__cut", cut).withColumn("__stretch", F.sum("__cut").over(order))
-    walked = _stretches(stretches, gapped, page)
-    start = F.struct(
-        F.lit(0).alias("i"), F.array().cast("array<double>").alias("anchor"), F.array().cast("array<int>").alias("breaks")
-    )
 
-    def step(acc: Column, line: Column) -> Column:
+    def begins(acc: Column, line: Column) -> Column:
         far = F.exists(F.arrays_zip(acc["anchor"].alias("a"), line["gaps"].alias("b")), lambda z: F.abs(z["a"] - z["b"]) > near)
-        first = acc["i"] == 0
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(first | far, line["gaps"]).otherwise(acc["anchor"]).alias("anchor"),
-            F.when(~first & far, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"]).alias("breaks"),
-        )
+        n = F.size(line["gaps"])
+        return F.when((n == 0) | (n != F.size(acc["anchor"])), True).otherwise(far)
 
-    lines = _runs(walked, F.aggregate("__lines", start, step, lambda acc: acc["breaks"]), page)
-    tabular = (F.col("__size") >= 2) & (count > 0)
-    begins = F.when(tabular & (F.col("__at") == 0), 1).otherwise(0)
+    lines = _starts(
+        gapped, page, F.struct("gaps"), {"anchor": F.array().cast("array<double>")}, begins,
+        lambda acc, line, begun: {"anchor": F.when(begun, line["gaps"]).otherwise(acc["anchor"])},
+    )
+    tabular = ((F.col("__at") > 0) | F.col("__more")) & (count > 0)
+    begun = F.when(tabular & (F.col("__at") == 0), 1).otherwise(0)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("__table", F.sum(begins).over(upto)).select(
+    return lines.withColumn("__table", F.sum(begun).over(upto)).select(
         *gapped.columns, F.when(tabular, F.col("__table")).cast("int").alias("table_no"), F.when(tabular, F.col("__at") + 1).alias("row_no")
     )
 
 
-def _stretches(marked: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
-    """One row per stretch of lines, with all that the lines hold, in order."""
-    rest = [c for c in lines.columns if c not in (*page, "line_no")]
-    more = [c for c in marked.columns if c not in (*lines.columns, "__cut", "__stretch")]
-    line = F.struct("line_no", *more, *rest)
-    return marked.groupBy(*page, "__stretch").agg(F.sort_array(F.collect_list(line)).alias("__lines"))
-
-
-def _runs(stretches: DataFrame, breaks: Column, page: list[str]) -> DataFrame:
-    """Lines again, with their place in the run that ``breaks`` cut and the run's size."""
-    runs = stretches.select(*page, F.explode(breaks_to_slices(F.col("__lines"), breaks)).alias("__run"))
-    placed = runs.select(*page, F.size("__run").alias("__size"), F.posexplode("__run").alias("__at", "__line"))
-    return placed.select(*page, "__line.*", "__size", "__at")
-
-
-def _edged(tabled: DataFrame, page: Sequence[str], *carried: str) -> DataFrame:
-    """One row per table with the edges of its columns, and with ``carried`` of its lines."""
-    table = [*page, "table_no"]
-    tables = tabled.where("table_no IS NOT NULL").groupBy(*table).agg(
-        F.min("left").alias("__left"), F.max("right").alias("__right"),
-        F.sort_array(F.collect_list(F.struct("row_no", "gaps", *carried))).alias("__lines"),
-    )
+def _edges(left: Column, right: Column, lines: Column) -> Column:
+    """Edges of a table's columns from the gaps of its lines, in order."""
     # Lines of a table have equally many gaps.
-    mean = lambda i: F.aggregate("__lines", F.lit(0.0), lambda acc, x: acc + F.get(x["gaps"], i)) / F.size("__lines")
-    inner = F.transform(F.sequence(F.lit(0), F.size(F.get("__lines", F.lit(0))["gaps"]) - 1), mean)
-    edges = F.concat(F.array(F.col("__left") - 1), F.transform(inner, lambda x: x - 2), F.array(F.col("__right") + 1))
-    return tables.select(*table, edges.alias("edges"), "__lines")
+    mean = lambda i: F.aggregate(lines, F.lit(0.0), lambda acc, x: acc + F.get(x, i)) / F.size(lines)
+    inner = F.transform(F.sequence(F.lit(0), F.size(F.get(lines, F.lit(0))) - 1), mean)
+    return F.concat(F.array(left - 1), F.transform(inner, lambda x: x - 2), F.array(right + 1))
 
 
 def column_edges(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Edges and relative widths of each table's columns."""
     table = [*page, "table_no"]
-    columns = _edged(tabled, page).drop("__lines")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "gaps"))), lambda x: x["gaps"])
+    tables = tabled.where("table_no IS NOT NULL").groupBy(*table).agg(F.min("left").alias("__left"), F.max("right").alias("__right"), listed.alias("__gaps"))
+    columns = tables.select(*table, _edges(F.col("__left"), F.col("__right"), F.col("__gaps")).alias("edges"))
     raw = F.transform(
         F.sequence(F.lit(1), F.size("edges") - 1),
         lambda k: F.greatest(F.lit(1.0), F.get("edges", k) - F.get("edges", k - 1)),
@@ -329,22 +422,27 @@ def column_edges(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
 def words_to_columns(tabled: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Cells of every table: a word belongs to the column its middle falls into.
 
-    A table's lines meet once, for its edges, and the band test runs inside each row.
+    Edges are worked out on a table's first line and handed on to its others, and the band
+    test runs inside each row.
     """
     table = [*page, "table_no"]
-    joined = _edged(tabled, page, "words", "is_bold").withColumn("__line", F.explode("__lines")).select(
-        *table, "edges", "__line.row_no", "__line.words", "__line.is_bold"
-    )
-
-    def cell(k: Column) -> Column:
-        inside = F.filter(
-            "words",
-            lambda w: ((w["left"] + w["right"]) / 2 >= F.get("edges", k - 1)) & ((w["left"] + w["right"]) / 2 < F.get("edges", k)),
-        )
-        return F.array_join(F.transform(inside, lambda w: w["text"]), " ")
-
-    cells = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), cell)
-    return joined.select(
+    order = Window.partitionBy(*table).orderBy("row_no")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Of a word no more is kept than its middle and its text.
+    middles = F.zip_with("words.left", "words.right", lambda left, right: (left + right) / 2)
+    placed = F.arrays_zip(middles.alias("at"), F.col("words.text").alias("text"))
+    lines = tabled.where("table_no IS NOT NULL").select(*table, "row_no", placed.alias("__ws"), "is_bold", "left", "right", "gaps")
+    seen = lines.select(
+        *table, "row_no", "__ws", "is_bold", F.min("left").over(whole).alias("__left"), F.max("right").over(whole).alias("__right"),
+        F.collect_list("gaps").over(whole).alias("__gaps"),
+    )
+    edges = F.when(F.col("row_no") == 1, _edges(F.col("__left"), F.col("__right"), F.col("__gaps")))
+    known = seen.select(*table, "row_no", "__ws", "is_bold", edges.alias("edges")).withColumn("edges", F.first("edges", ignorenulls=True).over(whole))
+
+    bands = F.arrays_zip(F.slice("edges", F.lit(1), F.size("edges") - 1).alias("lo"), F.slice("edges", F.lit(2), F.size("edges")).alias("hi"))
+    within = lambda b: F.array_join(F.filter("__ws", lambda w: (w["at"] >= b["lo"]) & (w["at"] < b["hi"]))["text"], " ")
+    cells = F.transform(bands, within)
+    return known.select(
         *table, "row_no", F.posexplode(cells).alias("__c", "text"), ((F.col("row_no") == 1) & F.col("is_bold")).alias("is_header")
     ).select(*table, "row_no", (F.col("__c") + 1).alias("col_no"), "text", "is_header")
 
@@ -371,10 +469,9 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
     """Number the paragraphs of each page; table lines belong to none.
 
     What never continues a paragraph (another kind, a marker, a wide gap, a table) cuts the
-    page first; only the stretches in between are walked for their left edges.
+    page; in between, lines are walked for their left edges.
     """
-    page = list(page)
-    order = Window.partitionBy(*page).orderBy("line_no")
+    order, _ = _down(page)
     before = lambda c: F.lag(c).over(order)
     tall = F.greatest(F.lit(1.0), before("font_size"), F.col("font_size"))
     gap = before("baseline") - F.col("baseline")
@@ -383,33 +480,25 @@ def paragraph_groups(classified: DataFrame, page: Sequence[str] = PAGE) -> DataF
         before("line_no").isNull() | before(in_table) | (before("kind") != F.col("kind"))
         | (F.col("kind") == "ListItem") | (gap <= 0) | (gap > tall * 1.6)
     )
-    marked = classified.withColumn("__cut", F.when(cut | in_table, 1).otherwise(0)).withColumn("__tall", tall)
-    walked = _stretches(marked.withColumn("__stretch", F.sum("__cut").over(order)), classified, page)
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("count"), F.lit(0.0).alias("second"), F.lit(0.0).alias("previous"),
-        F.array().cast("array<int>").alias("breaks"),
-    )
+    marked = classified.withColumns({"__cut": F.coalesce(cut | in_table, F.lit(False)), "__tall": tall})
+    state = {"count": F.lit(0), "second": F.lit(0.0), "previous": F.lit(0.0)}
 
-    def step(acc: Column, line: Column) -> Column:
+    def begins(acc: Column, line: Column) -> Column:
         body = F.when(acc["count"] >= 2, acc["second"]).otherwise(acc["previous"])
         aligned = F.abs(line["left"] - body) <= F.greatest(F.lit(8.0), line["__tall"] * 1.2)
         indented = (
             (acc["count"] == 1) & (line["left"] < acc["previous"]) & (acc["previous"] - line["left"] <= line["__tall"] * 3)
         )
-        stays = (acc["i"] > 0) & (aligned | indented)
-        count = F.when(stays, acc["count"] + 1).otherwise(1)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            count.alias("count"),
-            F.when(count == 2, line["left"]).otherwise(acc["second"]).alias("second"),
-            line["left"].alias("previous"),
-            F.when(stays | (acc["i"] == 0), acc["breaks"]).otherwise(F.concat(acc["breaks"], F.array(acc["i"]))).alias("breaks"),
-        )
+        return line["__cut"] | ~F.coalesce(aligned | indented, F.lit(False))
+
+    def after(acc: Column, line: Column, begun: Column) -> dict[str, Column]:
+        count = F.when(begun, 1).otherwise(acc["count"] + 1)
+        return {"count": count, "second": F.when(count == 2, line["left"]).otherwise(acc["second"]), "previous": line["left"]}
 
-    lines = _runs(walked, F.aggregate("__lines", start, step, lambda acc: acc["breaks"]), page)
-    begins = F.when(~in_table & (F.col("__at") == 0), 1).otherwise(0)
+    lines = _starts(marked, page, F.struct("left", "__tall", "__cut"), state, begins, after)
+    begun = F.when(~in_table & (F.col("__at") == 0), 1).otherwise(0)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("__para", F.sum(begins).over(upto)).select(
+    return lines.withColumn("__para", F.sum(begun).over(upto)).select(
         *classified.columns, F.when(~in_table, F.col("__para")).cast("int").alias("para_no")
     )
 
@@ -435,10 +524,11 @@ def paragraph_build(
         F.max("top").alias("__top"), F.min("bottom").alias("__bottom"),
         F.first("kind").alias("kind"), F.first("min_left").alias("min_left"), F.first("max_right").alias("max_right"),
     )
-    hyphen = r"\p{L}[-‐]$"
+    # The end of a text is enough to tell; it may hold a line break.
+    hyphened = lambda text: F.substring(text, -4, 4).rlike(r"\p{L}[-‐]$")
 
     def join(acc: Column, line: Column) -> Column:
-        glued = F.when(acc.rlike(hyphen), F.concat(F.left(acc, F.length(acc) - 1), line["text"])).otherwise(
+        glued = F.when(hyphened(acc), F.concat(F.left(acc, F.length(acc) - 1), line["text"])).otherwise(
             F.concat(acc, F.lit(" "), line["text"])
         )
         return F.when(acc == "", line["text"]).otherwise(glued)

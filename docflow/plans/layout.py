@@ -43,19 +43,13 @@ m AS (SELECT l.doc_id, l.page_no, any_value(body_size) AS body_size, min(lft) AS
   FROM l JOIN b USING (doc_id, page_no) LEFT JOIN g USING (doc_id, page_no) GROUP BY ALL)"""
 
 
-def raw_words(spark, sf):
+def words(spark, sf):
+    """Words of the documents, in pieces: some lines further right, some words higher, some lines bold."""
     docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), 2_000, "doc_id")
     hyphened = docs.withColumn("text", F.replace("text", F.lit("e\n"), F.lit("e-\n")))
-    return L.words_from_text(hyphened, "doc_id", "text")
-
-
-def words(spark, sf):
-    shift = F.when(F.col("line_no") % 5 == 3, 20.0).otherwise(0.0)
-    off = (F.col("word_no") % 3) * 0.5
-    return raw_words(spark, sf).select(
-        "doc_id", "page_no", "word_no", "text", (F.col("left") + shift).alias("left"), (F.col("right") + shift).alias("right"),
-        (F.col("top") + off).alias("top"), (F.col("bottom") + off).alias("bottom"), "baseline", "font_size", "n_letters",
-        F.when(F.col("line_no") % 7 == 3, F.col("n_letters")).otherwise(0).alias("n_bold"),
+    return L.pieces_from_text(
+        hyphened, "doc_id", "text", shift=lambda line: F.when(line % 5 == 3, 20.0).otherwise(0.0), lifts=(0.0, 0.5, 1.0),
+        bold=lambda line: line % 7 == 3,
     )
 
 
@@ -140,7 +134,8 @@ f AS (SELECT doc_id, page_no, line_no, lft AS prev, 0.0::DOUBLE AS second, 1 AS
 
 
 def grouped(spark, sf):
-    return L.paragraph_groups(classified(spark, sf).withColumn("table_no", F.lit(None).cast("int")))
+    # Once lines are measured and told apart, their words are no longer needed.
+    return L.paragraph_groups(classified(spark, sf).drop("words").withColumn("table_no", F.lit(None).cast("int")))
 
 
 @query("paragraph_groups", f"WITH RECURSIVE {PARA_SQL} SELECT doc_id, page_no, line_no, para_no FROM f")
@@ -173,32 +168,29 @@ tw AS (SELECT doc_id, rn AS line_no, c, v, 50 + 150 * c + shift AS lft, 50 + 150
 
 
 def table_words(spark, sf):
-    """Line items written as table rows: four cells of three words at fixed places."""
+    """Line items written as table rows, a piece of a page each: four cells of three words at fixed places."""
     from pyspark.sql import Window
 
     row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     shift = (F.col("l_suppkey") % 3 + F.when(F.col("l_suppkey") % 10 == 0, 20).otherwise(0)).cast("double")
-    values = F.array(*(F.expr(f"CAST({v} AS STRING)") for v in CELL_VALUES))
-    shown = F.when(F.col("l_suppkey") % 7 == 0, F.slice(values, 1, 3)).otherwise(values)
     # A line item becomes twelve words.
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = dealt(items, 50_000, "l_orderkey").withColumn("row", row)
-    cells = rows.select(
-        F.col("l_orderkey").alias("doc_id"), "row", shift.alias("shift"), F.posexplode(shown).alias("c", "v")
+    rows = dealt(items, 50_000, "l_orderkey").select(
+        F.col("l_orderkey").alias("doc_id"), (800 - 14.0 * (row - 1)).alias("bottom"), shift.alias("shift"),
+        F.when(F.col("l_suppkey") % 7 == 0, 9).otherwise(12).alias("n"), *(F.expr(f"CAST({v} AS STRING)").alias(f"v{c}") for c, v in enumerate(CELL_VALUES)),
     )
-    at = 50 + 150.0 * F.col("c") + F.col("shift")
-    parts = F.array(
-        F.struct(F.lit("no").alias("text"), at.alias("left")),
-        F.struct(F.col("v").alias("text"), (at + 18).alias("left")),
-        F.struct(F.lit("x").alias("text"), (at + 24 + 6.0 * F.length("v")).alias("left")),
-    )
-    bottom = 800 - 14.0 * (F.col("row") - 1)
-    placed = cells.select("doc_id", "row", "c", F.posexplode(parts).alias("p", "w")).select(
-        "doc_id", F.lit(1).alias("page_no"), (F.col("c") * 3 + F.col("p")).alias("word_no"), "w.text", "w.left",
-        (F.col("w.left") + 6.0 * F.length("w.text")).alias("right"), (bottom + 10).alias("top"), bottom.alias("bottom"),
-        bottom.alias("baseline"), F.lit(11.0).alias("font_size"), F.length("w.text").alias("n_letters"), F.lit(0).alias("n_bold"),
-    )
-    return placed
+
+    def cell(c: int) -> list:
+        at, v = 50 + 150.0 * c + F.col("shift"), F.col(f"v{c}")
+        return [(F.lit("no"), F.lit(2), at), (v, F.length(v), at + 18), (F.lit("x"), F.lit(1), at + 24 + 6.0 * F.length(v))]
+
+    words = [word for c in range(len(CELL_VALUES)) for word in cell(c)]
+    some = lambda *values: F.slice(F.array(*values), F.lit(1), F.col("n"))
+    same = lambda value: F.array_repeat(value, F.col("n"))
+    return rows.select("doc_id", F.lit(1).alias("page_no"), L.piece(
+        some(*(left for _, _, left in words)), some(*(left + 6.0 * k for _, k, left in words)), same(F.col("bottom")), some(*(k for _, k, _ in words)),
+        same(F.lit(0)), some(*(F.lit(i) for i in range(len(words)))), some(*(text for text, _, _ in words)), F.col("bottom"), F.lit(11.0), 10.0,
+    ).alias("words"))
 
 
 def gapped(spark, sf):
@@ -206,7 +198,9 @@ def gapped(spark, sf):
 
 
 def tabled(spark, sf):
-    return L.detect_tables(gapped(spark, sf))
+    # Tables and cells need no more of a word than its place and its text.
+    slim = F.arrays_zip(*(F.col(f"words.{f}").alias(f) for f in ("left", "right", "text")))
+    return L.detect_tables(gapped(spark, sf).withColumn("words", slim))
 
 
 GAPS_SQL = TABLE_ROWS_SQL + """,
