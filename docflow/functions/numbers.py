@@ -34,7 +34,8 @@ def _body(text: Column) -> Column:
 def _digits(body: Column, base: int) -> tuple[Column, Column]:
     """Digit values before and after the separator of a number without faults."""
     if base <= MAX_SYMBOL_BASE:
-        sides = F.split(F.regexp_replace(F.upper(body), rf"[{_SPACER}]", ""), "[.,]")
+        # Only bases above ten have letters.
+        sides = F.split(F.regexp_replace(F.upper(body) if base > 10 else body, rf"[{_SPACER}]", ""), "[.,]")
         values = lambda side: F.transform(
             F.filter(F.split(side, ""), lambda c: c != ""), lambda c: (F.instr(F.lit(DIGITS), c) - 1).cast("bigint")
         )
@@ -230,51 +231,77 @@ def short_value(digits: Column, base: int, bits: int = 60) -> Column:
     return F.when(F.size(digits) <= bits // _bits(base), _value(digits, base))
 
 
+def _spelled(value: Column, count: Column, to: Target) -> Column:
+    """``count`` digits of a wide base, as ``_groups``, joined: at most ten, as a value has at most 60 bits.
+    Places are written out, as a lambda is not compiled."""
+    digit = lambda i: F.call_function("shiftright", value, i * to.bits).bitwiseAND((to.base - 1).cast("bigint")).cast("string")
+    return F.concat_ws(":", *(F.when(count > i, digit(F.lit(i))) for i in range(9, -1, -1)))
+
+
 def whole_text(value: Column, digits: Column, base: int, to: Target) -> Column:
     """A whole number in another base; ``value`` is its short value where it has one."""
     places = F.greatest(F.ceil(F.length(F.bin(value)) / to.bits).cast("int"), F.lit(1))
-    short = F.when(to.wide, F.array_join(_groups(value, places, to), ":")).otherwise(
-        F.call_function("conv", value.cast("string"), F.lit(10), to.base)
-    )
+    short = F.when(to.wide, _spelled(value, places, to)).otherwise(F.call_function("conv", value.cast("string"), F.lit(10), to.base))
     return F.when(value.isNotNull(), short).otherwise(_join(whole_symbols(digits, base, to), to))
 
 
-def part_text(value: Column, digits: Column, base: int, to: Target, limit: int) -> Column:
-    """Fraction digits in another base, and whether they are exact."""
+def part_scale(digits: Column, base: int, bits: int = 54) -> Column:
+    """The base to the power of how many digits a fraction has, null where it has no short value."""
     under = F.aggregate(digits, F.lit(1).cast("bigint"), lambda acc, _: acc * base)
-    # As many digits a round as surely fit: the rest is below ``under``.
-    bits = F.when(to.base == 10, 4).otherwise(to.bits)
-    room = lambda under: F.floor((63 - F.length(F.bin(under - 1))) / bits).cast("int")
+    return F.when(F.size(digits) <= bits // _bits(base), under)
+
+
+def part_width(under: Column) -> Column:
+    """Bits of what is left of a fraction, at most."""
+    return F.length(F.bin(under - 1))
+
+
+def part_room(under: Column, to: Target) -> Column:
+    """As many digits a round as surely fit: the rest is below ``under``."""
+    return F.floor((63 - part_width(under)) / F.when(to.base == 10, 4).otherwise(to.bits)).cast("int")
+
+
+def part_power(n: Column, to: Target) -> Column:
     tens = F.array(*(F.lit(10**n).cast("bigint") for n in range(16)))
-    power = lambda n: F.when(to.base == 10, F.get(tens, n)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), n * to.bits))
-    spell = lambda v, n: F.when(to.wide, F.concat(F.lit(":"), F.array_join(_groups(v, n, to), ":"))).otherwise(
-        F.call_function("lpad", F.call_function("conv", v.cast("string"), F.lit(10), to.base), n, F.lit("0"))
+    return F.when(to.base == 10, F.get(tens, n)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), n * to.bits))
+
+
+def part_spelled(value: Column, n: Column, to: Target) -> Column:
+    """The next ``n`` digits of a fraction; those of a wide base each behind a colon."""
+    return F.when(to.wide, F.concat(F.lit(":"), _spelled(value, n, to))).otherwise(
+        F.call_function("lpad", F.call_function("conv", value.cast("string"), F.lit(10), to.base), n, F.lit("0"))
     )
 
+
+def part_done(rest: Column, out: Column, to: Target) -> Column:
+    """Digits and whether they are exact, from what is left and the digits spelled."""
+    exact = rest == 0
+    # Zeros at the end of an exact fraction carry no value.
+    wide = F.substring(F.when(exact, F.regexp_replace(out, "(?::0)+$", "")).otherwise(out), 2, 1 << 30)
+    plain = F.when(exact, F.rtrim(out, F.lit("0"))).otherwise(out)
+    return F.struct(F.when(to.wide, wide).otherwise(plain).alias("digits"), exact.alias("exact"))
+
+
+def part_text(value: Column, under: Column, digits: Column, base: int, to: Target, limit: int) -> Column:
+    """Fraction digits in another base, and whether they are exact; ``value`` and ``under`` are its
+    short value and scale where it has them."""
     def short_of(u: Column) -> Column:
         start = F.struct(value.alias("top"), F.lit(0).alias("done"), F.lit("").alias("out"))
 
         def step(acc: Column, _: Column) -> Column:
             n = F.least(u["room"], limit - acc["done"])
-            shifted = acc["top"] * power(n)
+            shifted = acc["top"] * part_power(n, to)
             return F.when(acc["top"] == 0, acc).otherwise(
                 F.struct(
                     (shifted % u["under"]).alias("top"), (acc["done"] + n).alias("done"),
-                    F.concat(acc["out"], spell(_div(shifted, u["under"]), n)).alias("out"),
+                    F.concat(acc["out"], part_spelled(_div(shifted, u["under"]), n, to)).alias("out"),
                 )
             )
 
         return F.aggregate(F.sequence(F.lit(1), F.ceil(F.lit(limit) / u["room"]).cast("int")), start, step)
 
-    def finish(acc: Column) -> Column:
-        exact = acc["top"] == 0
-        # Zeros at the end of an exact fraction carry no value.
-        wide = F.substring(F.when(exact, F.regexp_replace(acc["out"], "(?::0)+$", "")).otherwise(acc["out"]), 2, 1 << 30)
-        plain = F.when(exact, F.rtrim(acc["out"], F.lit("0"))).otherwise(acc["out"])
-        return F.struct(F.when(to.wide, wide).otherwise(plain).alias("digits"), exact.alias("exact"))
-
-    sized = F.array(F.struct(under.alias("under"), room(under).alias("room")))
-    short = F.get(F.transform(F.transform(sized, short_of), finish), F.lit(0))
+    sized = F.array(F.struct(under.alias("under"), part_room(under, to).alias("room")))
+    short = F.get(F.transform(F.transform(sized, short_of), lambda acc: part_done(acc["top"], acc["out"], to)), F.lit(0))
     long = F.get(
         F.transform(
             F.array(part_symbols(digits, base, to, limit)),

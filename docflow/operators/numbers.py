@@ -20,11 +20,24 @@ def base_fanout(numbers: DataFrame, keys: Sequence[str], text: str, base: int, f
         *keys, "negative", "whole", "part",
         N.short_value(c("whole"), base).alias("whole_value"),
         N.short_value(c("part"), base, 54).alias("part_value"),
+        N.part_scale(c("part"), base).alias("under"),
     ).select("*", F.explode(F.when(c("whole").isNotNull(), N.targets())).alias("to"))
-    written = rows.select(
+    # Two rounds of digits are columns, which are compiled; a fraction that needs more is walked.
+    # Numbers come before texts, so that no step is too long a method to be compiled.
+    kept = [*keys, "negative", "whole", "part", "whole_value", "part_value", "under", "to"]
+    first = rows.select(*kept, N.part_room(c("under"), to).alias("room")).select(
+        *kept, (2 * c("room") >= limit).alias("short"), F.least(c("room"), F.lit(limit)).alias("n1"), (limit - F.least(c("room"), F.lit(limit))).alias("left"))
+    one = first.select(*kept, "short", "n1", F.least(c("n1"), c("left")).alias("n2"), (c("part_value") * N.part_power(c("n1"), to)).alias("top")).select(
+        *kept, "short", "n1", F.call_function("div", c("top"), c("under")).alias("d1"), (c("top") % c("under")).alias("rest"), "n2")
+    two = one.select(*kept, "short", "n1", "d1", "n2", (c("rest") * N.part_power(c("n2"), to)).alias("top")).select(
+        *kept, "short", "n1", "d1", "n2", F.call_function("div", c("top"), c("under")).alias("d2"), (c("top") % c("under")).alias("rest"))
+    # Zeros of a round that had nothing left to write go with the others at the end of an exact fraction.
+    spelled = F.concat(N.part_spelled(c("d1"), c("n1"), to), F.when(c("n2") > 0, N.part_spelled(c("d2"), c("n2"), to)).otherwise(""))
+    written = two.select(
         *keys, "to.base", "negative",
         N.whole_text(c("whole_value"), c("whole"), base, to).alias("w"),
-        N.part_text(c("part_value"), c("part"), base, to, limit).alias("f"),
+        F.when(c("short") & (F.size("part") > 0), N.part_done(c("rest"), spelled, to)).otherwise(
+            N.part_text(c("part_value"), c("under"), c("part"), base, to, limit)).alias("f"),
     )
     has_part = c("f.digits").rlike("[^0:]") | ~c("f.exact")
     minus = F.when(c("negative") & ((c("w") != "0") | has_part), "-").otherwise("")
