@@ -114,11 +114,11 @@ def pieces_from_text(docs: DataFrame, doc: str, text: str, lines_per_page: int =
     Lines lie ``shift(line)`` points further right, words by turns ``lifts`` points higher, and letters are
     bold in lines where ``bold(line)``; counted from 0."""
     line, page_no = F.col("__line"), (F.floor(F.col("__line") / lines_per_page) + 1).cast("int")
-    begins = F.aggregate(
-        F.split("__block", " "), F.struct("at", F.array().cast("array<int>").alias("all")),
-        lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"],
-    )
-    cut = _blocks(docs, doc, text).select(doc, "__line", "words", "__block", F.split("__block", " ").alias("__t"), begins.alias("__s"))
+    cut = _blocks(docs, doc, text).select(doc, "__line", "at", "words", "__block", F.split("__block", " ").alias("__t"))
+    # A token starts behind what stands before it in its block.
+    before = lambda i: F.length(F.call_function("substring_index", F.col("__block"), F.lit(" "), i)) + 1
+    begins = F.transform("__t", lambda _, i: F.col("at") + F.when(i > 0, before(i)).otherwise(0))
+    cut = cut.select(doc, "__line", "words", "__block", "__t", begins.alias("__s"))
     pairs = F.arrays_zip(F.col("__t").alias("t"), F.col("__s").alias("s"))
     solid = cut.select(doc, "__line", "words", "__block", F.when(F.array_contains("__t", ""), F.filter(pairs, lambda p: p["t"] != "")).otherwise(pairs).alias("__p"))
     left = 50.0 + (shift(line) if shift else F.lit(0.0))
@@ -227,6 +227,8 @@ def line_stats(lines: DataFrame) -> DataFrame:
     # Mostly all words of a line stand on one height, and then there is nothing to count.
     lowest = F.array_min(pick("baseline"))
     baseline = F.when(lowest == F.array_max(pick("baseline")), lowest).otherwise(weighted_median(weigh("baseline", lambda w: F.lit(True))))
+    # No word has bold letters, and none is unknown: looking for -1 gives null where one is.
+    plain = (F.array_max(pick("n_bold")) <= 0) & ~F.array_contains(pick("n_bold"), F.lit(-1)) & (F.array_min(pick("n_letters")) > 0)
     return lines.select(
         "*",
         trim_space(F.array_join(pick("text"), " ")).alias("text"),
@@ -236,7 +238,7 @@ def line_stats(lines: DataFrame) -> DataFrame:
         F.array_min(pick("bottom")).alias("bottom"),
         baseline.alias("baseline"),
         F.coalesce(size, F.lit(DEFAULT_FONT_SIZE)).alias("font_size"),
-        (add("n_bold") >= add("n_letters") * 0.7).alias("is_bold"),
+        F.when(plain, False).otherwise(add("n_bold") >= add("n_letters") * 0.7).alias("is_bold"),
     ).where("text <> ''")
 
 
